@@ -115,7 +115,7 @@ def recommend(
         blended.select(
             "cart_id",
             F.col("item_id").alias("menu_item_id"),
-            F.round("blend", 4).alias("score"),
+            F.round(on_grid(F.col("blend")) / 1e12, 4).alias("score"),
             F.when(F.col("_held"), fixed.REASON_SIMILAR).otherwise(fixed.REASON_POPULAR).alias("reason"),
             on_grid(F.col("blend")).alias("_grid"),
         )
