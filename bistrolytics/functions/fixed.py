@@ -17,6 +17,13 @@ BM25_B = 0.75
 BM25_EPSILON = 0.25
 PAD_TOKEN = "_pad_"
 
+# Characters that separate tokens (Unicode white space and U+001C..U+001F).
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Basket mining.
 MIN_TRANSACTIONS = 5
 SUPPORT_FLOOR = 0.001

@@ -4,22 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .fixed import ACK_TOKENS, PAD_TOKEN
-
-# Unicode white space plus the four ASCII separators U+001C..U+001F.
-_SPACE = r"[\s\x1c-\x1f]"
+from .fixed import ACK_TOKENS, PAD_TOKEN, SPACES
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def tokenise(text: Column) -> Column:
-    """Lower-cased white-space tokens; empty or null text gives the pad token."""
-    clean = strip(F.lower(F.coalesce(text, F.lit(""))))
-    return F.when(clean == "", F.array(F.lit(PAD_TOKEN))).otherwise(
-        F.split(clean, f"(?U){_SPACE}+")
-    )
+    """Lower-cased white-space tokens; empty or null text gives the pad token.
+
+    All separators become blanks first, so the split needs no regular expression.
+    """
+    blanks = F.translate(F.lower(F.coalesce(text, F.lit(""))), SPACES, " " * len(SPACES))
+    words = F.array_remove(F.split(blanks, " "), "")
+    return F.when(F.size(words) == 0, F.array(F.lit(PAD_TOKEN))).otherwise(words)
 
 
 def is_ack(text: Column) -> Column:

@@ -14,6 +14,11 @@ from ..sources.artifacts import serve_rules
 from ..sources.export import window_scan
 
 
+# Classes of partner items in the pair bound: one for each leading item, then hashed ones.
+_LEADING = 64
+_HASHED = 64
+
+
 def basket_lines(order_items: DataFrame) -> DataFrame:
     """(order_id, item_id, rows): distinct lines with their repeat count."""
     check_columns(order_items, "order_id", "item_id")
@@ -70,6 +75,32 @@ class Transactions:
     def min_count(self, support: float) -> int:
         return max(1, math.ceil(support * self.count))
 
+    def pair_bound(self) -> int:
+        """No pair of items is in more baskets than this.
+
+        Items fall into 128 classes: each leading item alone, the others by hash.
+        Partners are counted per item and class, so a line adds at most 128 rows
+        however large its basket, and they combine before the shuffle. The bound
+        is the exact pair count for leading items.
+        """
+        leading = self.item_counts.orderBy(F.col("freq").desc(), "item_id").limit(_LEADING)
+        numbered = leading.select(
+            "item_id", (F.row_number().over(Window.orderBy(F.col("freq").desc(), "item_id")) - 1).alias("_own")
+        )
+        hashed = F.lit(_LEADING) + F.pmod(F.xxhash64("item_id"), F.lit(_HASHED)).cast("int")
+        classed = self.lines.join(F.broadcast(numbered), "item_id", "left").select(
+            "order_id", "item_id", F.coalesce("_own", hashed).alias("class")
+        )
+        present = classed.groupBy("order_id", F.col("class").alias("partner")).agg(F.count(F.lit(1)).alias("n"))
+        partners = F.col("n") - (F.col("partner") == F.col("class")).cast("int")
+        bound = (
+            classed.join(present, "order_id")
+            .groupBy("item_id", "partner")
+            .agg(F.sum(partners).alias("together"))
+            .agg(F.max("together"))
+        )
+        return bound.first()[0] or 0
+
     def itemsets(self, support: float) -> DataFrame:
         """(items, freq): every itemset in at least ``ceil(support * N)`` baskets, items sorted.
 
@@ -120,13 +151,13 @@ def support_sweep(order_items: DataFrame, supports=fixed.SWEEP_SUPPORTS) -> Data
 def adaptive_itemsets(baskets: Transactions, min_support: float) -> DataFrame | None:
     """Itemsets at the first support, halving from ``min_support`` to 0.001, that has a pair.
 
-    None when there is none. At most ten runs; a support with fewer than two
-    frequent items needs no run.
+    None when there is none. Supports that no pair can reach are passed over
+    without a mining run.
     """
     support = float(min_support)
+    bound = baskets.pair_bound() if support >= fixed.SUPPORT_FLOOR else 0
     while support >= fixed.SUPPORT_FLOOR:
-        least = baskets.min_count(support)
-        if baskets.item_counts.where(F.col("freq") >= least).limit(2).count() == 2:
+        if baskets.min_count(support) <= bound:
             found = baskets.itemsets(support)
             if not found.where(F.size("items") >= 2).isEmpty():
                 return found

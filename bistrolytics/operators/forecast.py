@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fixed
 from ..functions.checks import check_choice, check_columns, check_range
-from ..functions.sizing import cut_lineage
+from ..functions.sizing import cut_lineage, pieces
 from ..functions.text import wall_clock_date
 from ..sources.export import window_scan
 
@@ -158,7 +158,8 @@ def train_forecast(features: DataFrame, max_iter: int = 150, seed: int = 42) ->
     settings keep their values, so forecasts are close but not equal.
     """
     check_range("max_iter", max_iter, 1, 10_000)
-    ready = _vectors(features).select("features", "value").persist()
+    ready = cut_lineage(_vectors(features).select("features", "value"))
+    ready = ready.coalesce(min(ready.rdd.getNumPartitions(), pieces(ready.count(), 50_000))).persist()
     try:
         model = GBTRegressor(
             featuresCol="features", labelCol="value", maxIter=max_iter, stepSize=0.05, maxDepth=4,

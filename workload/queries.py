@@ -220,7 +220,7 @@ def cosine_topk(spark, sf):
 def cosine_topk_cells(spark, sf):
     return _rounded(
         similarity.cosine_topk(
-            _vector_queries(spark, sf), src.vectors(spark, sf), 10, cell_rows=128, block_rows=64, broadcast_bytes=0
+            _vector_queries(spark, sf), src.vectors(spark, sf), 10, cell_rows=256, block_rows=256, broadcast_bytes=0
         )
     )
 
