@@ -14,11 +14,12 @@ def strip(text: Column) -> Column:
 def tokenise(text: Column) -> Column:
     """Lower-cased white-space tokens; empty or null text gives the pad token.
 
-    All separators become blanks first, so the split needs no regular expression.
+    All separators become blanks first, so the split needs no regular expression,
+    and emptiness is tested at the ends of the raw text, so the work is done once.
     """
-    blanks = F.translate(F.lower(F.coalesce(text, F.lit(""))), SPACES, " " * len(SPACES))
-    words = F.array_remove(F.split(blanks, " "), "")
-    return F.when(F.size(words) == 0, F.array(F.lit(PAD_TOKEN))).otherwise(words)
+    empty = F.coalesce(strip(text), F.lit("")) == ""
+    blanks = F.translate(F.lower(F.when(empty, F.lit(PAD_TOKEN)).otherwise(text)), SPACES, " " * len(SPACES))
+    return F.array_remove(F.split(blanks, " "), "")
 
 
 def is_ack(text: Column) -> Column:

@@ -6,59 +6,76 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import fixed
 from ..functions.checks import check_columns, check_range
-from ..functions.sizing import broadcast_if_fits
+from ..functions.sizing import broadcast_if_fits, cut_lineage
 from .fusion import on_grid
 from .similarity import cosine_topk, cosine_topk_outside_group
 
 SMALL_CART = 32
 
 
-def _small_cart_hits(lines: DataFrame, items: DataFrame, depth: int, small_cart: int, **search) -> DataFrame:
-    """(cart_id, item_id, rank) for carts of bounded size, from one shared neighbour list per item.
+def _attributes(items: DataFrame, ctr: DataFrame) -> DataFrame:
+    """(item_id, category, ctr): what the blend needs to know about a candidate."""
+    category = F.nullif(F.col("category").cast("string"), F.lit(""))
+    return items.select("item_id", category.alias("category")).join(ctr.select("item_id", "ctr"), "item_id", "left")
+
+
+def _small_cart_hits(
+    lines: DataFrame, items: DataFrame, facts: DataFrame, depth: int, small_cart: int, **search
+) -> DataFrame:
+    """(cart_id, item_id, rank, similar, ctr) for carts of bounded size, from one neighbour list per item.
 
     A cart removes at most ``small_cart`` entries from a list, so lists of
-    ``depth + small_cart`` always keep enough. Removing and re-ranking happen
-    inside the row; nothing is sorted again.
+    ``depth + small_cart`` always keep enough. A cart is one row with its members
+    and categories; removing, re-ranking and the category test happen inside the
+    row, and everything after it stays in the partitioning by cart.
     """
-    carts = lines.groupBy("cart_id").agg(F.collect_set("item_id").alias("members"))
+    carts = lines.groupBy("cart_id").agg(
+        F.collect_set("item_id").alias("members"), F.collect_set("category").alias("categories")
+    )
     asked = lines.select("item_id").distinct().join(items.select("item_id", "vector"), "item_id")
     near = cosine_topk(
-        asked.select(F.col("item_id").alias("query_id"), "vector"),
-        items.select("item_id", "vector"),
-        depth + small_cart,
-        **search,
+        asked.select(F.col("item_id").alias("query_id"), "vector"), items, depth + small_cart, **search
     )
-    lists = near.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("near")
+    entries = F.array_sort(F.collect_list(F.struct("rank", "item_id", "category", "ctr")))
+    lists = (
+        near.join(facts, "item_id", "left")
+        .groupBy("query_id")
+        .agg(entries.alias("near"))
+        .withColumnRenamed("query_id", "item_id")
     )
-    lists = lists.select(
-        F.col("query_id").alias("item_id"), F.transform("near", lambda n: n["item_id"]).alias("near")
-    )
-    lists = broadcast_if_fits(lists, asked.count(), 16 * (depth + small_cart))
-    others = F.filter("near", lambda n: ~F.array_contains("members", n))
+    lists = broadcast_if_fits(lists, items.count(), 64 * (depth + small_cart))
+    others = F.filter("near", lambda n: ~F.array_contains("members", n["item_id"]))
+    known = F.coalesce(F.array_contains("categories", F.col("n.category")), F.lit(False))
     return (
-        carts.select("cart_id", "members", F.explode("members").alias("item_id"))
+        carts.select("cart_id", "members", "categories", F.explode("members").alias("item_id"))
         .join(lists, "item_id")
-        .select("cart_id", F.posexplode(F.slice(others, 1, depth)).alias("place", "item_id"))
-        .select("cart_id", "item_id", (F.col("place") + 1).alias("rank"))
+        .select("cart_id", "categories", F.posexplode(F.slice(others, 1, depth)).alias("place", "n"))
+        .select(
+            "cart_id", F.col("n.item_id").alias("item_id"), (F.col("place") + 1).alias("rank"),
+            known.alias("similar"), F.col("n.ctr").alias("ctr"),
+        )
     )
 
 
-def _large_cart_hits(lines: DataFrame, items: DataFrame, depth: int, **search) -> DataFrame:
+def _large_cart_hits(lines: DataFrame, items: DataFrame, facts: DataFrame, depth: int, **search) -> DataFrame:
     """The same for carts of any size: members leave the item blocks before scoring."""
     asked = lines.join(items.select("item_id", "vector"), "item_id").select(
         F.struct("cart_id", F.col("item_id").alias("asked")).alias("key"), F.col("cart_id").alias("grp"), "vector"
     )
     near = cosine_topk_outside_group(
         asked.select(F.to_json("key").alias("query_id"), "grp", "vector"),
-        items.select("item_id", "vector"),
+        items,
         lines.select(F.col("cart_id").alias("grp"), "item_id"),
         depth,
         **search,
     )
     kind = dict(lines.dtypes)["cart_id"]
-    return near.select(
-        F.get_json_object("query_id", "$.cart_id").cast(kind).alias("cart_id"), "item_id", "rank"
+    held = lines.where(F.col("category").isNotNull()).select("cart_id", "category").distinct()
+    return (
+        near.select(F.get_json_object("query_id", "$.cart_id").cast(kind).alias("cart_id"), "item_id", "rank")
+        .join(facts, "item_id", "left")
+        .join(held.withColumn("_held", F.lit(True)), ["cart_id", "category"], "left")
+        .select("cart_id", "item_id", "rank", F.coalesce("_held", F.lit(False)).alias("similar"), "ctr")
     )
 
 
@@ -75,62 +92,54 @@ def recommend(
     check_columns(carts, "cart_id", "item_id")
     check_columns(items, "item_id", "vector", "category")
     depth = max(3 * k, 15)
-    lines = carts.where(F.col("item_id").isNotNull()).select("cart_id", "item_id").distinct()
-    usable = items.where(F.col("vector").isNotNull())
+    usable = items.where(F.col("vector").isNotNull()).select("item_id", "vector")
+    facts = _attributes(items, ctr)
+    # Only items of the catalog count; they are read several times, so they are written once.
+    lines = cut_lineage(
+        carts.join(facts.select("item_id", "category"), "item_id").select("cart_id", "item_id", "category").distinct()
+    )
 
     sizes = lines.groupBy("cart_id").agg(F.count(F.lit(1)).alias("_size"))
     large = sizes.where(F.col("_size") > small_cart).select("cart_id")
     if large.isEmpty():
-        hits = _small_cart_hits(lines, usable, depth, small_cart, **search)
+        hits = _small_cart_hits(lines, usable, facts, depth, small_cart, **search)
     else:
         hits = _small_cart_hits(
-            lines.join(large, "cart_id", "left_anti"), usable, depth, small_cart, **search
-        ).unionByName(_large_cart_hits(lines.join(large, "cart_id", "left_semi"), usable, depth, **search))
+            lines.join(large, "cart_id", "left_anti"), usable, facts, depth, small_cart, **search
+        ).unionByName(
+            _large_cart_hits(lines.join(large, "cart_id", "left_semi"), usable, facts, depth, **search)
+        )
 
     whole_cart = Window.partitionBy("cart_id")
     best = whole_cart.orderBy(F.col("_grid").desc(), "menu_item_id")
-    fused = hits.groupBy("cart_id", "item_id").agg(
-        F.sum(1.0 / (F.lit(float(fixed.RRF_K)) + F.col("rank"))).alias("rrf")
-    )
-    top_rrf = F.max("rrf").over(whole_cart)
-    share = F.col("rrf") / F.when(top_rrf > 0, top_rrf).otherwise(F.lit(1.0))
-    held = (
-        lines.join(items.select("item_id", "category"), "item_id")
-        .where(F.col("category").isNotNull() & (F.col("category").cast("string") != ""))
-        .select("cart_id", "category", F.lit(True).alias("_held"))
-        .distinct()
-    )
-    blended = (
-        fused.withColumn("share", share)
-        .join(ctr.select("item_id", "ctr"), "item_id", "left")
-        .join(items.select("item_id", "category"), "item_id", "left")
-        .join(held, ["cart_id", "category"], "left")
-        .withColumn(
-            "blend",
-            (fixed.VECTOR_WEIGHT * F.col("share") + fixed.CTR_WEIGHT * F.coalesce("ctr", F.lit(0.0)))
-            * F.when(F.col("_held"), fixed.SAME_CATEGORY_PENALTY).otherwise(1.0),
-        )
-    )
+    share = F.col("rrf") / F.when(F.col("_top") > 0, F.col("_top")).otherwise(F.lit(1.0))
+    penalty = F.when(F.col("similar"), F.lit(fixed.SAME_CATEGORY_PENALTY)).otherwise(F.lit(1.0))
+    blend = (fixed.VECTOR_WEIGHT * F.col("share") + fixed.CTR_WEIGHT * F.coalesce("ctr", F.lit(0.0))) * penalty
     ranked = (
-        blended.select(
+        hits.groupBy("cart_id", "item_id")
+        .agg(
+            F.sum(1.0 / (F.lit(float(fixed.RRF_K)) + F.col("rank"))).alias("rrf"),
+            F.max("similar").alias("similar"),
+            F.max("ctr").alias("ctr"),
+        )
+        .withColumn("_top", F.max("rrf").over(whole_cart))
+        .withColumn("share", share)
+        .select(
             "cart_id",
             F.col("item_id").alias("menu_item_id"),
-            F.round(on_grid(F.col("blend")) / 1e12, 4).alias("score"),
-            F.when(F.col("_held"), fixed.REASON_SIMILAR).otherwise(fixed.REASON_POPULAR).alias("reason"),
-            on_grid(F.col("blend")).alias("_grid"),
+            F.when(F.col("similar"), fixed.REASON_SIMILAR).otherwise(fixed.REASON_POPULAR).alias("reason"),
+            on_grid(blend).alias("_grid"),
         )
         .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
-        .drop("_grid")
-        .withColumn("source", F.lit("model"))
-    )
-    silent = (
-        carts.select("cart_id").distinct()
-        .join(ranked.select("cart_id").distinct(), "cart_id", "left_anti")
-        .withColumn("source", F.lit("fallback"))
+        .withColumn("score", F.round(F.col("_grid") / 1e12, 4))
     )
+    source = F.when(F.col("rank").isNull(), F.lit("fallback")).otherwise(F.lit("model"))
     return (
-        ranked.unionByName(silent, allowMissingColumns=True)
-        .withColumn("model_version", F.lit(fixed.RECOMMEND_VERSION))
-        .select("cart_id", "rank", "menu_item_id", "score", "reason", "source", "model_version")
+        carts.select("cart_id").distinct()
+        .join(ranked, "cart_id", "left")
+        .select(
+            "cart_id", "rank", "menu_item_id", "score", "reason", source.alias("source"),
+            F.lit(fixed.RECOMMEND_VERSION).alias("model_version"),
+        )
     )
