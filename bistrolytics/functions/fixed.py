@@ -83,3 +83,4 @@ ACK_CONTEXT = (
     "ngược lại, hỏi lại khách muốn đặt món nào."
 )
 CART_TOOL = "add_to_cart"
+DEFAULT_REPLY = "Dạ em ghi nhận ạ!"

@@ -47,14 +47,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, *key: str) -> DataFrame:
     """Spread a handful of input files over all cores before heavy work on each row.
 
     Large inputs have more files than cores and are left where they are.
     """
-    files = len(df.inputFiles())
-    if 0 < files < df.sparkSession.sparkContext.defaultParallelism:
-        return df.repartition(key)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if 0 < len(df.inputFiles()) < cores:
+        return df.repartition(*key) if key else df.repartition(cores)
     return df
 
 

@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.checks import check_choice, check_range
+from ..functions.sizing import spread
 from ..functions.text import tokenise
 
 MODES = {"search_document", "search_query"}
@@ -20,7 +21,7 @@ def hash_embed(df: DataFrame, text: str, dimension: int = 64) -> DataFrame:
     """Unit vectors of hashed token counts; all in the JVM. A stand-in, not a learned model."""
     check_range("dimension", dimension, 1, 1 << 16)
     counted = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dimension).transform(
-        df.withColumn("_tokens", tokenise(F.col(text)))
+        spread(df).withColumn("_tokens", tokenise(F.col(text)))
     )
     unit = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0).transform(counted)
     return unit.withColumn("vector", vector_to_array("_unit", "float32")).drop("_tokens", "_tf", "_unit")
@@ -52,4 +53,4 @@ def embed_batch(
                     raise ValueError("the embedder must return one vector of one length per text")
                 yield part.assign(vector=pd.Series(vectors, index=part.index))
 
-    return df.mapInPandas(embed, schema)
+    return spread(df).mapInPandas(embed, schema)

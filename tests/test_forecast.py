@@ -93,3 +93,14 @@ def test_failed_training_falls_back(spark, monkeypatch):
     monkeypatch.setattr(fc, "train_forecast", broken)
     got = fc.forecast(series(spark, range(20)), 2).collect()
     assert [r.source for r in got] == ["flat", "flat"]
+
+
+def test_metric_reads_its_window_and_status(spark):
+    rows = [("2024-03-01", 10.0, "SUCCESS"), ("2024-03-02", 30.0, "SUCCESS"), ("2024-03-02", 99.0, "FAILED"),
+            ("2023-01-01", 500.0, "SUCCESS")]
+    df = spark.createDataFrame(rows, "d string, amount double, status string").withColumn("ts", F.col("d").cast("timestamp"))
+    revenue = fc.forecast_metric(df, "revenue", "ts", 1, "2024-03-03", "amount").first()
+    orders = fc.forecast_metric(df, "orders", "ts", 1, "2024-03-03").first()
+    assert (revenue.value, orders.value) == (20.0, 1.5)
+    with pytest.raises(ValueError):
+        fc.forecast_metric(df, "visits", "ts", 1, "2024-03-03")

@@ -265,6 +265,10 @@ ORACLES["cosine_topk"] = _top(10)
 ORACLES["cosine_topk_cells"] = _top(10)
 ORACLES["cosine_topk_excluding"] = _top(5, "WHERE item_id NOT IN (query_id, query_id + 1)")
 
+ORACLES["embed_batch_custom"] = r"""
+SELECT doc_id, CAST(length(text) AS BIGINT) AS chars,
+       CAST(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS BIGINT) AS words FROM documents"""
+
 # Keyword and hybrid retrieval
 
 

@@ -237,6 +237,14 @@ def embed_batch(spark, sf):
     return embed.embed_batch(src.table(spark, sf, "documents").select("doc_id", "text"), "text")
 
 
+@query
+def embed_batch_custom(spark, sf):
+    """The batched path around a given embedder; this one counts characters and words."""
+    docs = src.table(spark, sf, "documents").select("doc_id", "text")
+    done = embed.embed_batch(docs, "text", lambda texts, mode: [[float(len(t)), float(len(t.split()))] for t in texts])
+    return done.select("doc_id", F.col("vector")[0].cast("long").alias("chars"), F.col("vector")[1].cast("long").alias("words"))
+
+
 # Keyword and hybrid retrieval
 
 
@@ -341,7 +349,7 @@ def response_parse(spark, sf):
     parsed = chat.parse_responses(src.model_responses(spark, sf), "openai")
     call = F.col("tool_calls")
     return parsed.select(
-        "conv_id", "turn", "reply_text", F.size(call).alias("calls"),
+        "conv_id", "turn", chat.final_reply(F.col("reply_text")).alias("reply_text"), F.size(call).alias("calls"),
         F.array_join(F.transform(call, lambda c: F.concat_ws("=", c["name"], c["arguments"])), ";").alias("tool_calls"),
     )
 
