@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions import fixed
 from ..functions.checks import check_columns, check_range
+from ..functions.sizing import cut_lineage
 
 # Capacity and refill per second by path class; None is every other path.
 DEFAULT_LIMITS = {
@@ -15,71 +17,221 @@ DEFAULT_LIMITS = {
 }
 
 
-def take(tokens: float | None, last: float, now: float, capacity: float, refill: float) -> tuple[float, bool]:
-    """Refill for the elapsed time, then spend one token if there is one."""
-    if tokens is None:
-        tokens = capacity
-    else:
-        tokens = min(capacity, tokens + max(0.0, now - last) * refill)
-    return (tokens - 1.0, True) if tokens >= 1.0 else (tokens, False)
+# Requests of one busy run that one task decides; longer runs are cut into chunks of about this size.
+CHUNK_ROWS = 200_000
+_NANOS = 1_000_000_000
+
+
+def serve(owed: int, now: int, gap: int, slack: int) -> tuple[int, bool]:
+    """One request against a bucket, all in nanoseconds.
+
+    ``owed`` is the time at which the bucket is full again, ``gap`` the time one
+    token takes and ``slack`` the time of all tokens but one. The bucket holds a
+    token as long as it is full again within ``slack``. Whole numbers keep the
+    result free of rounding, however the requests are cut up.
+    """
+    if owed <= now:
+        return now + gap, True
+    return (owed + gap, True) if owed - now <= slack else (owed, False)
+
+
+class Course:
+    """What a stretch of requests makes of every possible ``owed`` at its start.
+
+    The map is piecewise: from ``low`` to ``high`` the outcome is either fixed or
+    the start plus a shift. Pieces split where a decision differs and merge when
+    their outcomes agree again.
+    """
+
+    def __init__(self, first: int, gap: int, slack: int):
+        self.gap, self.slack = gap, slack
+        self.low = np.array([first], dtype=np.int64)
+        self.high = np.array([first + slack + gap], dtype=np.int64)
+        self.fixed = np.array([False])
+        self.value = np.zeros(1, dtype=np.int64)
+
+    def _split(self, edge: int) -> None:
+        """Cut pieces whose outcomes lie on both sides of ``edge``."""
+        border = edge - self.value
+        cut = (self.low <= border) & (border < self.high) & ~self.fixed
+        at = np.flatnonzero(cut)
+        if len(at):
+            twice = np.repeat(np.arange(len(cut)), 1 + cut)
+            border, right = border[at], at + np.arange(1, len(at) + 1)
+            self.low, self.high = self.low[twice], self.high[twice]
+            self.fixed, self.value = self.fixed[twice], self.value[twice]
+            self.high[right - 1] = border
+            self.low[right] = border + 1
+
+    def serve(self, now: int) -> None:
+        self._split(now)
+        self._split(now + self.slack)
+        stop = np.where(self.fixed, self.value, self.high + self.value)
+        full = stop <= now
+        self.value += self.gap * (stop <= now + self.slack)
+        if full.any():
+            self.fixed |= full
+            self.value[full] = now + self.gap
+        if len(stop) > 1:
+            differs = (self.value[1:] != self.value[:-1]) | (self.fixed[1:] != self.fixed[:-1])
+            if not differs.all():
+                keep = np.flatnonzero(np.concatenate(([True], differs)))
+                last = np.concatenate((keep[1:] - 1, [len(stop) - 1]))
+                self.low, self.high = self.low[keep], self.high[last]
+                self.fixed, self.value = self.fixed[keep], self.value[keep]
+
+    @staticmethod
+    def end(low, fixed, value, owed: int) -> int:
+        """The outcome for one start; a start before the first request counts as its time."""
+        owed = max(int(owed), int(low[0]))
+        at = int(np.searchsorted(low, owed, side="right")) - 1
+        return int(value[at]) if fixed[at] else owed + int(value[at])
 
 
 def with_limits(log: DataFrame, limits: dict) -> DataFrame:
-    capacity, refill = F.lit(float(limits[None][0])), F.lit(float(limits[None][1]))
-    for path, (most, rate) in limits.items():
-        check_range("capacity", most, 1, 10**9)
-        check_range("refill_per_second", rate, 1e-12, 10**9)
-        if path is not None:
-            capacity = F.when(F.col("path") == path, F.lit(float(most))).otherwise(capacity)
-            refill = F.when(F.col("path") == path, F.lit(float(rate))).otherwise(refill)
-    return log.withColumn("_capacity", capacity).withColumn("_refill", refill)
+    """``log`` with the time, the token gap and the slack of its path's limit, in nanoseconds."""
+    gap = slack = None
+    for path, (capacity, rate) in sorted(limits.items(), key=lambda item: item[0] is not None):
+        check_range("capacity", capacity, 1, 10**9)
+        check_range("refill_per_second", rate, 1e-9, 10**9)
+        check_range("capacity / refill_per_second", capacity / rate, 1e-9, 10**9)
+        one = max(1, round(_NANOS / rate))
+        g, s = F.lit(one).cast("long"), F.lit((int(capacity) - 1) * one).cast("long")
+        if path is None:
+            gap, slack = g, s
+        else:
+            gap, slack = F.when(F.col("path") == path, g).otherwise(gap), F.when(F.col("path") == path, s).otherwise(slack)
+    at = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    return log.withColumn("_at", at).withColumn("_gap", gap).withColumn("_slack", slack)
 
 
-def token_bucket(log: DataFrame, limits: dict | None = None) -> DataFrame:
-    """``log`` with ``allowed``. ``log(request_id, caller, path, ts)``; equal times go by request_id.
+_KEY = ["caller", "path"]
+
+
+def _stretches(timed: DataFrame) -> DataFrame:
+    """(caller, path, _stretch, _run, _rows, _before, _run_rows): the busy stretches of every caller and path.
 
-    A pause of capacity / refill seconds fills a bucket whatever came before, so
-    requests separated by an idle stretch of that length are independent. Time
-    is cut into stretches of it; busy stretches in a row form a run, and runs,
-    not callers, are what is spread over tasks. A run is read in order with one
-    bucket of state and is never held in memory.
+    Counted before any window, so a window sees one row per stretch, not per request.
     """
-    check_columns(log, "request_id", "caller", "path", "ts")
-    key = ["caller", "path"]
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
-    timed = with_limits(log, limits or DEFAULT_LIMITS).withColumn("_at", seconds)
-    timed = timed.withColumn("_stretch", F.floor(F.col("_at") * F.col("_refill") / F.col("_capacity")))
-
-    in_time = Window.partitionBy(*key).orderBy("_stretch")
-    gap = F.col("_stretch") - F.lag("_stretch").over(in_time)
-    runs = (
-        timed.select(*key, "_stretch")
-        .distinct()
-        .withColumn("_opens", F.coalesce(gap > 1, F.lit(True)).cast("int"))
+    in_time = Window.partitionBy(*_KEY).orderBy("_stretch")
+    opens = F.coalesce(F.col("_stretch") - F.lag("_stretch").over(in_time) > 1, F.lit(True))
+    run = Window.partitionBy(*_KEY, "_run")
+    return (
+        timed.groupBy(*_KEY, "_stretch")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_opens", opens.cast("int"))
         .withColumn("_run", F.sum("_opens").over(in_time))
+        .withColumn("_before", F.sum("_rows").over(run.orderBy("_stretch")) - F.col("_rows"))
+        .withColumn("_run_rows", F.sum("_rows").over(run))
         .drop("_opens")
     )
-    ordered = (
-        timed.join(runs, [*key, "_stretch"])
-        .repartition(*key, "_run")
-        .sortWithinPartitions(*key, "_run", "_at", "request_id")
-        .select(*log.columns, "_run", "_at", "_capacity", "_refill")
-    )
-    schema = T.StructType([*log.schema.fields, T.StructField("allowed", T.BooleanType())])
-    columns = log.columns
+
+
+def _in_order(df: DataFrame, *unit: str) -> DataFrame:
+    return df.repartition(*_KEY, *unit).sortWithinPartitions(*_KEY, *unit, "_at", "request_id")
+
+
+def _openings(batches, *unit: str):
+    """Sorted batches, each with a flag per row that opens a new unit."""
+    last = None
+    for batch in batches:
+        if len(batch):
+            opens = np.zeros(len(batch), dtype=bool)
+            names = [batch[c].to_numpy() for c in (*_KEY, *unit)]
+            for column in names:
+                opens[1:] |= column[1:] != column[:-1]
+            opens[0] = last != tuple(column[0] for column in names)
+            last = tuple(column[-1] for column in names)
+            yield batch, opens.tolist()
+
+
+def _decide(ordered: DataFrame, columns: list[str], fields: list, *unit: str) -> DataFrame:
+    """Serve each unit's requests in order, from the unit's ``_owed``."""
+    schema = T.StructType([*fields, T.StructField("allowed", T.BooleanType())])
 
     def replay(batches):
-        current, tokens, last = None, None, 0.0
-        for batch in batches:
+        owed = 0
+        for batch, opens in _openings(batches, *unit):
             flags = []
-            for caller, path, run, at, capacity, refill in zip(
-                batch["caller"], batch["path"], batch["_run"], batch["_at"], batch["_capacity"], batch["_refill"]
+            for new, start, now, gap, slack in zip(
+                opens, *[batch[c].tolist() for c in ("_owed", "_at", "_gap", "_slack")]
             ):
-                if (caller, path, run) != current:
-                    current, tokens = (caller, path, run), None
-                tokens, allowed = take(tokens, last, at, capacity, refill)
-                last = at
+                owed, allowed = serve(start if new else owed, now, gap, slack)
                 flags.append(allowed)
-            yield batch[columns].assign(allowed=pd.Series(flags, index=batch.index, dtype="bool"))
+            yield batch[columns].assign(allowed=flags)
 
     return ordered.mapInPandas(replay, schema)
+
+
+def _chunk_starts(chunked: DataFrame) -> DataFrame:
+    """(caller, path, _run, _chunk, _owed): the bucket at the start of every chunk of the long runs.
+
+    Chunks are summed up independently; only their summaries, a few pieces per
+    chunk, are gone through in order.
+    """
+    names = {f.name: f.dataType.simpleString() for f in chunked.schema.fields}
+    head = f"caller {names['caller']}, path {names['path']}, _run long, _chunk long"
+    courses = _in_order(chunked.select(*_KEY, "_run", "_chunk", "_at", "_gap", "_slack", "request_id"), "_run", "_chunk")
+
+    def summarise(batches):
+        name, course = None, None
+        row = lambda: pd.DataFrame(
+            [(*name, course.low.tolist(), course.fixed.tolist(), course.value.tolist())],
+            columns=[*_KEY, "_run", "_chunk", "low", "fixed", "value"],
+        )
+        for batch, opens in _openings(batches, "_run", "_chunk"):
+            for at, (new, now) in enumerate(zip(opens, batch["_at"].tolist())):
+                if new:
+                    if course is not None:
+                        yield row()
+                    first = batch.iloc[at]
+                    name = tuple(first[c] for c in (*_KEY, "_run", "_chunk"))
+                    course = Course(now, int(first["_gap"]), int(first["_slack"]))
+                course.serve(now)
+        if course is not None:
+            yield row()
+
+    def chain(batches):
+        owed = 0
+        for batch, opens in _openings(batches, "_run"):
+            starts = []
+            for new, low, fixed_, value in zip(opens, batch["low"], batch["fixed"], batch["value"]):
+                owed = 0 if new else owed
+                starts.append(owed)
+                owed = Course.end(low, fixed_, value, owed)
+            yield batch[[*_KEY, "_run", "_chunk"]].assign(_owed=starts)
+
+    pieces_ = f"{head}, low array<bigint>, fixed array<boolean>, value array<bigint>"
+    summed = courses.mapInPandas(summarise, pieces_)
+    in_turn = summed.repartition(*_KEY, "_run").sortWithinPartitions(*_KEY, "_run", "_chunk")
+    return in_turn.mapInPandas(chain, f"{head}, _owed long")
+
+
+def token_bucket(log: DataFrame, limits: dict | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``log`` with ``allowed``. ``log(request_id, caller, path, ts)``; equal times go by request_id.
+
+    A pause of capacity / refill seconds fills a bucket whatever came before.
+    Time is cut into stretches of that length; busy stretches in a row form a
+    run, and runs, not callers, are what is spread over tasks. A run longer than
+    ``chunk_rows`` is cut into chunks by time: each chunk's effect on any bucket
+    is worked out in parallel, the effects are chained, and the chunks are then
+    decided in parallel. No task holds a run in memory.
+    """
+    check_columns(log, "request_id", "caller", "path", "ts")
+    check_range("chunk_rows", chunk_rows, 1, 10**9)
+    columns, fields = log.columns, log.schema.fields
+    whole = F.col("_slack") + F.col("_gap")
+    timed = with_limits(log, limits or DEFAULT_LIMITS).withColumn("_stretch", F.floor(F.col("_at") / whole))
+    runs = cut_lineage(_stretches(timed))
+    placed = timed.join(runs, [*_KEY, "_stretch"])
+    short = placed.where(F.col("_run_rows") <= chunk_rows).withColumn("_owed", F.lit(0).cast("long"))
+    decided = _decide(_in_order(short, "_run"), columns, fields, "_run")
+    if runs.where(F.col("_run_rows") > chunk_rows).isEmpty():
+        return decided
+    within = F.floor((F.col("_at") - F.col("_stretch") * whole) / whole * F.col("_rows"))
+    chunked = placed.where(F.col("_run_rows") > chunk_rows).withColumn(
+        "_chunk", F.floor((F.col("_before") + within) / chunk_rows)
+    )
+    starts = cut_lineage(_chunk_starts(chunked))
+    ready = chunked.join(starts, [*_KEY, "_run", "_chunk"])
+    return decided.unionByName(_decide(_in_order(ready, "_run", "_chunk"), columns, fields, "_run", "_chunk"))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.accesslog import DEFAULT_LIMITS, take, with_limits
+from ..operators.accesslog import DEFAULT_LIMITS, serve, with_limits
 
 _OUT = "request_id long, caller string, path string, ts timestamp, allowed boolean"
 
@@ -21,22 +21,20 @@ def flag_requests(log: DataFrame, limits: dict | None = None) -> DataFrame:
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tokens, last = state.get if state.exists else (None, 0.0)
+        (owed,) = state.get if state.exists else (0,)
         for batch in batches:
-            batch = batch.sort_values(["at", "request_id"])
+            batch = batch.sort_values(["_at", "request_id"])
             flags = []
-            for at, capacity, refill in zip(batch["at"], batch["_capacity"], batch["_refill"]):
-                tokens, allowed = take(tokens, last, at, capacity, refill)
-                last = at
+            for now, gap, slack in zip(batch["_at"].tolist(), batch["_gap"].tolist(), batch["_slack"].tolist()):
+                owed, allowed = serve(owed, now, gap, slack)
                 flags.append(allowed)
             yield batch[["request_id", "caller", "path", "ts"]].assign(allowed=flags)
-        state.update((tokens, last))
+        state.update((owed,))
 
     timed = with_limits(log, limits or DEFAULT_LIMITS).select(
         F.col("request_id").cast("long"), F.col("caller").cast("string"), F.col("path").cast("string"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("at"), "_capacity", "_refill",
+        F.col("ts").cast("timestamp").alias("ts"), "_at", "_gap", "_slack",
     )
     return timed.groupBy("caller", "path").applyInPandasWithState(
-        step, _OUT, "tokens double, last double", "append", GroupStateTimeout.NoTimeout
+        step, _OUT, "owed long", "append", GroupStateTimeout.NoTimeout
     )
