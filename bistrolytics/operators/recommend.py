@@ -79,6 +79,15 @@ def _large_cart_hits(lines: DataFrame, items: DataFrame, facts: DataFrame, depth
     )
 
 
+def _fused(hits: DataFrame) -> DataFrame:
+    """(cart_id, item_id, rrf, similar, ctr): the votes of a cart's items for each candidate."""
+    return hits.groupBy("cart_id", "item_id").agg(
+        F.sum(1.0 / (F.lit(float(fixed.RRF_K)) + F.col("rank"))).alias("rrf"),
+        F.max("similar").alias("similar"),
+        F.max("ctr").alias("ctr"),
+    )
+
+
 def recommend(
     carts: DataFrame, items: DataFrame, ctr: DataFrame, k: int, small_cart: int = SMALL_CART, **search
 ) -> DataFrame:
@@ -102,28 +111,24 @@ def recommend(
     sizes = lines.groupBy("cart_id").agg(F.count(F.lit(1)).alias("_size"))
     large = sizes.where(F.col("_size") > small_cart).select("cart_id")
     if large.isEmpty():
-        hits = _small_cart_hits(lines, usable, facts, depth, small_cart, **search)
+        fused = _fused(_small_cart_hits(lines, usable, facts, depth, small_cart, **search))
+        topped = fused.withColumn("_top", F.max("rrf").over(Window.partitionBy("cart_id")))
     else:
-        hits = _small_cart_hits(
-            lines.join(large, "cart_id", "left_anti"), usable, facts, depth, small_cart, **search
-        ).unionByName(
-            _large_cart_hits(lines.join(large, "cart_id", "left_semi"), usable, facts, depth, **search)
-        )
-
-    whole_cart = Window.partitionBy("cart_id")
-    best = whole_cart.orderBy(F.col("_grid").desc(), "menu_item_id")
+        small_lines = lines.join(large, "cart_id", "left_anti")
+        fused = _fused(_small_cart_hits(small_lines, usable, facts, depth, small_cart, **search))
+        topped = fused.withColumn("_top", F.max("rrf").over(Window.partitionBy("cart_id")))
+        # The best sum of a large cart is an aggregate: a window would hold all its candidates in one task.
+        large_lines = lines.join(large, "cart_id", "left_semi")
+        wide = cut_lineage(_fused(_large_cart_hits(large_lines, usable, facts, depth, **search)))
+        tops = wide.groupBy("cart_id").agg(F.max("rrf").alias("_top"))
+        topped = topped.unionByName(wide.join(tops, "cart_id"))
+
+    best = Window.partitionBy("cart_id").orderBy(F.col("_grid").desc(), "menu_item_id")
     share = F.col("rrf") / F.when(F.col("_top") > 0, F.col("_top")).otherwise(F.lit(1.0))
     penalty = F.when(F.col("similar"), F.lit(fixed.SAME_CATEGORY_PENALTY)).otherwise(F.lit(1.0))
     blend = (fixed.VECTOR_WEIGHT * F.col("share") + fixed.CTR_WEIGHT * F.coalesce("ctr", F.lit(0.0))) * penalty
     ranked = (
-        hits.groupBy("cart_id", "item_id")
-        .agg(
-            F.sum(1.0 / (F.lit(float(fixed.RRF_K)) + F.col("rank"))).alias("rrf"),
-            F.max("similar").alias("similar"),
-            F.max("ctr").alias("ctr"),
-        )
-        .withColumn("_top", F.max("rrf").over(whole_cart))
-        .withColumn("share", share)
+        topped.withColumn("share", share)
         .select(
             "cart_id",
             F.col("item_id").alias("menu_item_id"),
