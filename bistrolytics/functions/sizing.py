@@ -26,24 +26,29 @@ def broadcast_if_fits(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return df
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder name under the cluster's shared checkpoint folder.
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder.
 
-    Only where the session names no such folder (tests on one machine) a
-    temporary folder is made and set.
+    Only where the session names none (tests on one machine) a temporary folder
+    is made and set.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="bistrolytics-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A new folder name under the shared folder."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; survives the loss of executors."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(scratch_dir(df.sparkSession, "lineage"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

@@ -19,37 +19,38 @@ _LEADING = 64
 _HASHED = 64
 
 
-def basket_lines(order_items: DataFrame) -> DataFrame:
-    """(order_id, item_id, rows): distinct lines with their repeat count."""
+def _readable(order_items: DataFrame) -> DataFrame:
     check_columns(order_items, "order_id", "item_id")
-    return (
-        order_items.where(F.col("order_id").isNotNull() & F.col("item_id").isNotNull())
-        .groupBy("order_id", "item_id")
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
-
-
-def _sizes(lines: DataFrame) -> DataFrame:
-    return lines.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("basket_size"), F.sum("rows").alias("rows")
+    return order_items.select("order_id", "item_id").where(
+        F.col("order_id").isNotNull() & F.col("item_id").isNotNull()
     )
 
 
 def multi_item_lines(order_items: DataFrame) -> DataFrame:
-    """Distinct lines of orders with 2 or more different items."""
-    lines = basket_lines(order_items)
-    multi = _sizes(lines).where(F.col("basket_size") >= 2).select("order_id")
-    return lines.select("order_id", "item_id").join(multi, "order_id", "left_semi")
+    """Distinct (order_id, item_id) of orders with 2 or more different items.
+
+    Repeats go before anything is joined, so an order weighs no more than its
+    different items. Both uses of the distinct lines read one shuffle.
+    """
+    lines = _readable(order_items).distinct()
+    multi = lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") >= 2)
+    return lines.join(multi.select("order_id"), "order_id", "left_semi")
 
 
 def basket_profile(order_items: DataFrame) -> DataFrame:
-    """One row: raw rows, orders, orders with 2 or more items, different items in those."""
-    sizes = _sizes(basket_lines(order_items))
+    """One row: raw rows, orders, orders with 2 or more items, different items in those.
+
+    An order has several items when its lowest and highest differ, which is an
+    aggregate that combines before the shuffle.
+    """
+    orders = _readable(order_items).groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("rows"), (F.min("item_id") < F.max("item_id")).alias("multi")
+    )
     items = multi_item_lines(order_items).select(F.count_distinct("item_id")).scalar()
-    return sizes.agg(
-        F.sum("rows").alias("raw_rows"),
+    return orders.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("raw_rows"),
         F.count(F.lit(1)).alias("unique_orders"),
-        F.count_if(F.col("basket_size") >= 2).alias("multi_item_orders"),
+        F.count_if("multi").alias("multi_item_orders"),
         items.alias("unique_items"),
     )
 
@@ -57,7 +58,9 @@ def basket_profile(order_items: DataFrame) -> DataFrame:
 def basket_sizes(order_items: DataFrame) -> DataFrame:
     """How many orders have each number of different items, from 2 up."""
     return (
-        _sizes(basket_lines(order_items))
+        _readable(order_items).distinct()
+        .groupBy("order_id")
+        .agg(F.count(F.lit(1)).alias("basket_size"))
         .where(F.col("basket_size") >= 2)
         .groupBy("basket_size")
         .agg(F.count(F.lit(1)).alias("orders"))

@@ -378,7 +378,7 @@ SELECT cart_id, CAST(rank AS INT) AS rank, item_id AS menu_item_id,
        '{RECOMMEND_VERSION}' AS model_version
 FROM ranked WHERE rank <= 5
 UNION ALL
-SELECT cart_id, NULL, NULL, NULL, NULL, 'fallback', '{RECOMMEND_VERSION}' FROM ({_FALLBACK_CARTS})"""
+SELECT cart_id, 0, -1, 0.0, '', 'fallback', '{RECOMMEND_VERSION}' FROM ({_FALLBACK_CARTS})"""
 
 # Chat
 
@@ -403,8 +403,8 @@ blocks AS (
     || ' | Đặc tính: ' || lang || ', ' || source, chr(10) ORDER BY rank) AS context
   FROM best b JOIN documents d ON d.doc_id = b.doc_id GROUP BY 1)
 SELECT conv_id, turn, {_IS_ACK} AS is_ack, CAST(coalesce(n_hits, 0) AS INT) AS n_hits,
-       CASE WHEN {_IS_ACK} THEN {quoted(ACK_CONTEXT)} ELSE context END AS context,
-       CASE WHEN NOT {_IS_ACK} AND n_hits IS NULL THEN {quoted(NO_MENU_REPLY)} END AS reply
+       CASE WHEN {_IS_ACK} THEN {quoted(ACK_CONTEXT)} ELSE coalesce(context, '') END AS context,
+       CASE WHEN NOT {_IS_ACK} AND n_hits IS NULL THEN {quoted(NO_MENU_REPLY)} ELSE '' END AS reply
 FROM turns LEFT JOIN blocks ON query_id = conv_id || ':' || turn WHERE role = 'user'"""
 
 _POSITIONS = f"""
@@ -504,7 +504,8 @@ last AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, even
 started AS (
   SELECT job_id, max(ts) FILTER (WHERE status = 'PENDING') AS started_at,
          max(ts) FILTER (WHERE status IN ('COMPLETED', 'FAILED')) AS ended FROM log GROUP BY 1)
-SELECT job_id, status, message, started_at, CASE WHEN ended >= started_at THEN ended END AS completed_at
+SELECT job_id, status, message, epoch_us(started_at) AS started_at,
+       coalesce(CASE WHEN ended >= started_at THEN epoch_us(ended) END, 0) AS completed_at
 FROM last JOIN started USING (job_id)
 WHERE age = 1 AND started_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 24 HOUR"""
 

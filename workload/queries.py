@@ -298,7 +298,8 @@ def _recommended(spark, sf):
 
 @query
 def recommend_carts(spark, sf):
-    return _recommended(spark, sf)
+    """Fallback rows carry no item; zeros and blanks stand for that in the comparison."""
+    return _recommended(spark, sf).fillna({"rank": 0, "menu_item_id": -1, "score": 0.0, "reason": ""})
 
 
 @query
@@ -321,7 +322,7 @@ def _rag(spark, sf):
 
 @query
 def rag_context(spark, sf):
-    return _rag(spark, sf)
+    return _rag(spark, sf).fillna("", ["context", "reply"])
 
 
 @query
@@ -471,7 +472,9 @@ def export_read(spark, sf):
 
 @query
 def job_states(spark, sf):
-    return job_status(src.run_log(spark, sf), "2024-01-31 00:00:00")
+    states = job_status(src.run_log(spark, sf), "2024-01-31 00:00:00")
+    micros = lambda c: F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(0)).alias(c)
+    return states.select("job_id", "status", "message", micros("started_at"), micros("completed_at"))
 
 
 @query
