@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bistrolytics.functions.sizing import scratch_dir
 
-from . import decontaminate, language, quality_rules, token_counts, token_files
+from . import decontaminate, language, quality_rules, repeats, token_counts, token_files
 
 QUERIES = {}
 
@@ -28,6 +28,11 @@ def op1_token_files(spark, sf):
     return token_files.positions(spark, path)
 
 
+@query
+def op2_repeats(spark, sf):
+    return repeats.digest(table(spark, sf, "documents"))
+
+
 @query
 def op3_decontaminate(spark, sf):
     return decontaminate.digest(decontaminate.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark")))

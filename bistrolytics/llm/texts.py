@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
+from bistrolytics.functions.sizing import scratch_dir
+
 SLICE_BYTES = 4 << 20
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -128,3 +130,10 @@ def per_document(
 def places(counts: list[int] | np.ndarray) -> np.ndarray:
     """Start of each document in the concatenated words, with the end."""
     return np.concatenate([[0], np.cumsum(np.asarray(counts, np.int64))]).astype(np.int64)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the shared folder: cuts the lineage, and is read instead of made again."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
