@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bistrolytics.functions.sizing import scratch_dir
 
-from . import decontaminate, language, quality_rules, repeats, token_counts, token_files
+from . import decontaminate, language, quality_rules, repeats, similar, token_counts, token_files
 
 QUERIES = {}
 
@@ -51,6 +51,11 @@ def op6_token_counts(spark, sf):
     return token_counts.context_table(token_counts.histogram(counted))
 
 
+@query
+def op7_jaccard_join(spark, sf):
+    return similar.similar(table(spark, sf, "documents"))
+
+
 @query
 def op10_language(spark, sf):
     docs = table(spark, sf, "documents")
