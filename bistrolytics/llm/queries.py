@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bistrolytics.functions.sizing import scratch_dir
 
-from . import decontaminate, language, quality_rules, repeats, similar, token_counts, token_files
+from . import decontaminate, language, licenses, quality, quality_rules, repeats, similar, token_counts, token_files
 
 QUERIES = {}
 
@@ -38,6 +38,11 @@ def op3_decontaminate(spark, sf):
     return decontaminate.digest(decontaminate.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark")))
 
 
+@query
+def op4_license_scan(spark, sf):
+    return licenses.scan(table(spark, sf, "documents")).withColumn("licenses", F.array_join("licenses", ","))
+
+
 @query
 def op5_quality_rules(spark, sf):
     return quality_rules.score(table(spark, sf, "documents"))
@@ -56,6 +61,12 @@ def op7_jaccard_join(spark, sf):
     return similar.similar(table(spark, sf, "documents"))
 
 
+@query
+def op9_quality_classifier(spark, sf):
+    docs = table(spark, sf, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf, "labels")))
+
+
 @query
 def op10_language(spark, sf):
     docs = table(spark, sf, "documents")

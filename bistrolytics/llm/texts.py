@@ -96,35 +96,41 @@ def per_document(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: tuple[str, ...] = (),
+    extra: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per document: its id, the columns of ``keep``, and what ``make()`` derives.
 
     ``make`` runs once per task; what it returns gets the texts of a slice (bytes, or None for
-    null) and gives a list or array for each of ``fields`` (name, Spark type).
+    null), then the values of the ``extra`` columns, and gives a list or array for each of
+    ``fields`` (name, Spark type). Inside, columns go by number, so no names can clash.
     """
     head = [id_col, *keep]
+    inner = [f"c{k}" for k in range(len(head))]
     schema = StructType(
-        [docs.schema[c] for c in head] + [StructField(name, kind) for name, kind in fields]
+        [StructField(n, docs.schema[c].dataType) for n, c in zip(inner, head)]
+        + [StructField(f"m{k}", kind) for k, (_, kind) in enumerate(fields)]
     )
-    names = [name for name, _ in fields]
 
     def run(batches):
         derive = make()
         arrow = to_arrow_schema(schema)
         for batch in batches:
-            batch = batch.set_column(
-                batch.schema.get_field_index("_text"), "_text", batch.column("_text").cast(pa.binary())
-            )
-            for part in cut(batch, "_text"):
-                made = derive(part.column("_text").to_pylist())
-                columns = [part.column(i).cast(arrow.field(i).type) for i in range(len(head))]
-                for k, name in enumerate(names, len(head)):
+            at = batch.schema.get_field_index("text")
+            batch = batch.set_column(at, "text", batch.column(at).cast(pa.binary()))
+            for part in cut(batch, "text"):
+                more = [part.column(at + 1 + k).to_pylist() for k in range(len(extra))]
+                made = derive(part.column(at).to_pylist(), *more)
+                columns = [part.column(k).cast(arrow.field(k).type) for k in range(len(head))]
+                for k, (name, _) in enumerate(fields, len(head)):
                     value = made[name]
                     columns.append(value if isinstance(value, pa.Array) else pa.array(value, arrow.field(k).type))
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    source = docs.select(*head, docs[text_col].cast("string").alias("_text"))
-    return source.mapInArrow(run, schema)
+    source = docs.select(
+        *[docs[c].alias(n) for n, c in zip(inner, head)], docs[text_col].cast("string").alias("text"),
+        *[docs[c].alias(f"x{k}") for k, c in enumerate(extra)],
+    )
+    return source.mapInArrow(run, schema).toDF(*head, *[name for name, _ in fields])
 
 
 def places(counts: list[int] | np.ndarray) -> np.ndarray:
