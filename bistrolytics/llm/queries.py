@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bistrolytics.functions.sizing import scratch_dir
 
-from . import decontaminate, language, licenses, quality, quality_rules, repeats, similar, token_counts, token_files
+from . import byte_bpe, decontaminate, language, licenses, quality, quality_rules, repeats, similar, token_counts, token_files
 
 QUERIES = {}
 
@@ -61,6 +61,13 @@ def op7_jaccard_join(spark, sf):
     return similar.similar(table(spark, sf, "documents"))
 
 
+@query
+def op8_byte_bpe(spark, sf):
+    return byte_bpe.digest(
+        table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+
+
 @query
 def op9_quality_classifier(spark, sf):
     docs = table(spark, sf, "documents")

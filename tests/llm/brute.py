@@ -112,3 +112,11 @@ def components(docs, percent=75):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return [(i, len(sets[i]), find(i)) for i in ids]
+
+
+def bpe_rows(docs, encoding):
+    out = []
+    for doc_id, text in sorted(docs):
+        ids = encoding.encode_ordinary(text or "")
+        out.append((doc_id, len(ids), sha(np.asarray(ids, "<u4").tobytes()), sha((text or "").encode())))
+    return out
