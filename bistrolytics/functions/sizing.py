@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import re
 import tempfile
 import uuid
 
@@ -29,11 +31,13 @@ def broadcast_if_fits(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder.
 
-    Only where the session names none (tests on one machine) a temporary folder
-    is made and set.
+    Only where a session on one machine names none (tests) a temporary folder is
+    made and set; on a cluster a missing folder is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="bistrolytics-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -78,9 +82,14 @@ def running_index(df: DataFrame, keys: list[str], order: str, name: str, width:
     )
     inside = Window.partitionBy(*keys, "_range").orderBy(order)
     return (
-        ranged.join(offsets, [*keys, "_range"])
+        ranged.join(
+            offsets.select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), "_offset"),
+            functools.reduce(
+                lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate(keys)], F.col("_range") == F.col("_r")
+            ),
+        )
         .withColumn(name, F.col("_offset") + F.row_number().over(inside) - 1)
-        .drop("_range", "_offset")
+        .drop("_range", "_offset", "_r", *[f"_o{i}" for i in range(len(keys))])
     )
 
 

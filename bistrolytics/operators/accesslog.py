@@ -102,14 +102,21 @@ def with_limits(log: DataFrame, limits: dict) -> DataFrame:
         else:
             gap, slack = F.when(F.col("path") == path, g).otherwise(gap), F.when(F.col("path") == path, s).otherwise(slack)
     at = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
-    return log.withColumn("_at", at).withColumn("_gap", gap).withColumn("_slack", slack)
+    return log.withColumns(
+        {
+            "_at": at, "_gap": gap, "_slack": slack,
+            "_caller": F.coalesce(F.col("caller").cast("string"), F.lit("unknown")),
+            "_path": F.coalesce(F.col("path").cast("string"), F.lit("")),
+        }
+    )
 
 
-_KEY = ["caller", "path"]
+#: A missing caller counts as "unknown" and a missing path as the empty one.
+_KEY = ["_caller", "_path"]
 
 
 def _stretches(timed: DataFrame) -> DataFrame:
-    """(caller, path, _stretch, _run, _rows, _before, _run_rows): the busy stretches of every caller and path.
+    """(key, _stretch, _run, _rows, _before, _run_rows): the busy stretches of every caller and path.
 
     Counted before any window, so a window sees one row per stretch, not per request.
     """
@@ -164,13 +171,12 @@ def _decide(ordered: DataFrame, columns: list[str], fields: list, *unit: str) ->
 
 
 def _chunk_starts(chunked: DataFrame) -> DataFrame:
-    """(caller, path, _run, _chunk, _owed): the bucket at the start of every chunk of the long runs.
+    """(key, _run, _chunk, _owed): the bucket at the start of every chunk of the long runs.
 
     Chunks are summed up independently; only their summaries, a few pieces per
     chunk, are gone through in order.
     """
-    names = {f.name: f.dataType.simpleString() for f in chunked.schema.fields}
-    head = f"caller {names['caller']}, path {names['path']}, _run long, _chunk long"
+    head = "_caller string, _path string, _run long, _chunk long"
     courses = _in_order(chunked.select(*_KEY, "_run", "_chunk", "_at", "_gap", "_slack", "request_id"), "_run", "_chunk")
 
     def summarise(batches):
@@ -215,17 +221,20 @@ def token_bucket(log: DataFrame, limits: dict | None = None, chunk_rows: int = C
     run, and runs, not callers, are what is spread over tasks. A run longer than
     ``chunk_rows`` is cut into chunks by time: each chunk's effect on any bucket
     is worked out in parallel, the effects are chained, and the chunks are then
-    decided in parallel. No task holds a run in memory.
+    decided in parallel. No task holds a run in memory. A request without a time is
+    not decided (``allowed`` is null).
     """
     check_columns(log, "request_id", "caller", "path", "ts")
     check_range("chunk_rows", chunk_rows, 1, 10**9)
     columns, fields = log.columns, log.schema.fields
     whole = F.col("_slack") + F.col("_gap")
-    timed = with_limits(log, limits or DEFAULT_LIMITS).withColumn("_stretch", F.floor(F.col("_at") / whole))
+    everything = with_limits(log, limits or DEFAULT_LIMITS)
+    timed = everything.where(F.col("_at").isNotNull()).withColumn("_stretch", F.floor(F.col("_at") / whole))
+    undated = everything.where(F.col("_at").isNull()).select(*columns, F.lit(None).cast("boolean").alias("allowed"))
     runs = cut_lineage(_stretches(timed))
     placed = timed.join(runs, [*_KEY, "_stretch"])
     short = placed.where(F.col("_run_rows") <= chunk_rows).withColumn("_owed", F.lit(0).cast("long"))
-    decided = _decide(_in_order(short, "_run"), columns, fields, "_run")
+    decided = _decide(_in_order(short, "_run"), columns, fields, "_run").unionByName(undated)
     if runs.where(F.col("_run_rows") > chunk_rows).isEmpty():
         return decided
     within = F.floor((F.col("_at") - F.col("_stretch") * whole) / whole * F.col("_rows"))

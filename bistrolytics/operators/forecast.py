@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import logging
 from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fixed
@@ -25,8 +26,9 @@ def daily_metric(df: DataFrame, ts: str, value: str | None = None, series: str |
     """(series, date, value): rows per day, or the sum of ``value`` per day.
 
     Text timestamps use the date as written; rows without a readable date are
-    left out, an unreadable value counts as 0. Sums are exact (decimal), so the
-    result does not depend on how the rows were partitioned.
+    left out, an unreadable value counts as 0. Sums are exact to six decimals, so
+    the result does not depend on how the rows were partitioned; a number too
+    large for that is an error.
     """
     kind = dict(df.dtypes)[ts]
     day = wall_clock_date(F.col(ts)) if kind == "string" else F.to_date(ts)
@@ -34,7 +36,12 @@ def daily_metric(df: DataFrame, ts: str, value: str | None = None, series: str |
     if value is None:
         measure = F.count(F.lit(1)).cast("double")
     else:
-        amount = F.coalesce(F.col(value).try_cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
+        number, exact = F.col(value).try_cast("double"), F.col(value).try_cast("decimal(38,6)")
+        amount = (
+            F.when(exact.isNotNull(), exact)
+            .when(number.isNull() | F.isnan(number), F.lit(0).cast("decimal(38,6)"))
+            .otherwise(F.raise_error(F.lit("an amount is too large to be summed exactly")).cast("decimal(38,6)"))
+        )
         measure = F.sum(amount).cast("double")
     return (
         df.select(key.alias("series"), day.alias("date"), *([value] if value else []))
@@ -103,7 +110,7 @@ def flat_forecast(daily: DataFrame, horizon: int) -> DataFrame:
         daily.withColumn("_age", F.row_number().over(recent))
         .where(F.col("_age") <= 7)
         .groupBy("series")
-        .agg(F.avg("value").alias("base"))
+        .agg((F.sum(F.col("value").cast("decimal(38,6)")).cast("double") / F.count(F.lit(1))).alias("base"))
     )
     return base.select(
         "series",
@@ -116,11 +123,16 @@ def flat_forecast(daily: DataFrame, horizon: int) -> DataFrame:
 
 @dataclass
 class Forecaster:
-    """A fitted tree ensemble and the deviation of its residuals (None when unknown)."""
+    """Trees fitted on series divided by their mean, and the deviation of their residuals in that unit."""
 
     model: GBTRegressionModel
     residual_std: float | None = None
 
+    def score(self, inputs: DataFrame) -> DataFrame:
+        """Feature rows with ``_scale``, and the ``prediction`` in the series' own unit."""
+        scored = self.model.transform(_vectors(inputs)).drop("features")
+        return scored.withColumn("prediction", F.col("prediction") * F.col("_scale"))
+
     def save(self, path: str) -> None:
         spark = SparkSession.active()
         self.model.write().overwrite().save(f"{path}/model")
@@ -138,27 +150,43 @@ class Forecaster:
         return Forecaster(GBTRegressionModel.load(f"{path}/model"), residual and residual["residual_std"])
 
 
-def _vectors(features: DataFrame) -> DataFrame:
-    return features.withColumn(
-        "features", array_to_vector(F.array(*[F.col(c).cast("double") for c in FEATURES]))
-    )
+@dataclass
+class LinearForecaster:
+    """A fixed linear combination of features, for rules of thumb and for checks."""
+
+    weights: dict[str, float]
+    intercept: float = 0.0
+    residual_std: float | None = None
+
+    def score(self, inputs: DataFrame) -> DataFrame:
+        terms = [F.lit(w) * F.col(name) for name, w in self.weights.items()]
+        return inputs.withColumn("prediction", functools.reduce(lambda a, b: a + b, terms, F.lit(self.intercept)))
 
 
-def residual_std(model: GBTRegressionModel, features: DataFrame) -> float:
-    """Population deviation of value minus prediction over the given rows."""
-    scored = model.transform(_vectors(features))
-    row = scored.agg(F.stddev_pop(F.col("value") - F.col("prediction")).alias("s")).first()
-    return max(0.0, row["s"] or 0.0)
+_SCALED = {"roll_mean_7", "roll_std_7", *[f"lag_{k}" for k in range(1, 8)]}
+
+
+def _with_scale(features: DataFrame) -> DataFrame:
+    """``_scale``: the mean size of a series' values, 1 where they are all 0."""
+    mean = F.avg(F.abs("value")).over(Window.partitionBy("series"))
+    return features.withColumn("_scale", F.when(mean > 0, mean).otherwise(F.lit(1.0)))
+
+
+def _vectors(features: DataFrame) -> DataFrame:
+    """Feature vectors; amounts are divided by the series' scale, so that no series drowns another."""
+    columns = [F.col(c) / F.col("_scale") if c in _SCALED else F.col(c) for c in FEATURES]
+    return features.withColumn("features", array_to_vector(F.array(*[c.cast("double") for c in columns])))
 
 
 def train_forecast(features: DataFrame, max_iter: int = 150, seed: int = 42) -> Forecaster:
-    """Boosted trees on the 12 feature columns of all series.
+    """Boosted trees on the 12 feature columns of all series, each divided by its mean.
 
     Leaf-wise trees of 15 leaves become level-wise trees of depth 4; the other
     settings keep their values, so forecasts are close but not equal.
     """
     check_range("max_iter", max_iter, 1, 10_000)
-    ready = cut_lineage(_vectors(features).select("features", "value"))
+    scaled = _vectors(_with_scale(features))
+    ready = cut_lineage(scaled.select("features", (F.col("value") / F.col("_scale")).alias("value")))
     ready = ready.coalesce(min(ready.rdd.getNumPartitions(), pieces(ready.count(), 50_000))).persist()
     try:
         model = GBTRegressor(
@@ -175,38 +203,45 @@ def train_forecast(features: DataFrame, max_iter: int = 150, seed: int = 42) ->
         ready.unpersist()
 
 
-def _last_week(features: DataFrame) -> DataFrame:
-    """One row per series: its last date and its last 7 values, newest first."""
+def _last_week(scored: DataFrame) -> DataFrame:
+    """One row per series: last date, last 7 values (newest first), scale and deviation of its residuals."""
     newest = F.max_by(
         F.struct("date", F.array("value", *[f"lag_{k}" for k in range(1, 7)]).alias("week")), F.col("date")
     )
-    return features.groupBy("series").agg(newest.alias("s")).select(
-        "series", F.col("s.date").alias("last_date"), F.col("s.week").alias("week")
-    )
+    return scored.groupBy("series").agg(
+        newest.alias("s"), F.first("_scale").alias("_scale"),
+        F.stddev_pop(F.col("value") - F.col("prediction")).alias("_sigma"),
+    ).select("series", F.col("s.date").alias("last_date"), F.col("s.week").alias("week"), "_scale", "_sigma")
 
 
-def predict_recursive(forecaster: Forecaster, features: DataFrame, horizon: int, cut_every: int = 5) -> DataFrame:
+def predict_recursive(
+    forecaster: Forecaster | LinearForecaster, features: DataFrame, horizon: int, cut_every: int = 5
+) -> DataFrame:
     """Day-by-day forecast; each predicted value becomes the newest lag of the next day.
 
-    All series advance together, one narrow pass per day with no shuffle. The
-    deviation of the week is the population one here, unlike in training. The
-    plan would grow with every day, so it is cut every few days.
+    All series advance together, one narrow pass per day with no shuffle. The margin
+    comes from the series' own residuals (the model's, where those are all 0). The
+    deviation of the week is the population one here, unlike in training. The plan
+    would grow with every day, so it is cut every few days.
     """
     check_range("horizon", horizon, 1, 30)
-    sigma = forecaster.residual_std
-    if not sigma or sigma <= 0:
-        sigma = residual_std(forecaster.model, features)
-    margin = fixed.MARGIN_SIGMAS * sigma
+    known = F.lit(float(forecaster.residual_std or 0.0)) * F.col("_scale")
+    sigma = F.when(F.col("_sigma") > 0, F.col("_sigma")).otherwise(known)
+    margin = F.col("margin")
 
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-    state = _last_week(features).withColumn("path", F.array().cast("array<double>"))
+    state = (
+        _last_week(forecaster.score(_with_scale(features)))
+        .withColumn("margin", F.lit(fixed.MARGIN_SIGMAS) * sigma).drop("_sigma")
+        .withColumn("path", F.array().cast("array<double>"))
+    )
     for day in range(1, horizon + 1):
         mean = total(F.col("week")) / 7
         spread = F.sqrt(total(F.transform("week", lambda x: (x - F.col("_mean")) * (x - F.col("_mean")))) / 7)
         inputs = (
             state.withColumn("_mean", mean)
             .select(
-                "series", "last_date", "week", "path",
+                "series", "last_date", "week", "path", "_scale", "margin",
                 *[F.col("week")[k - 1].alias(f"lag_{k}") for k in range(1, 8)],
                 F.col("_mean").alias("roll_mean_7"),
                 spread.alias("roll_std_7"),
@@ -214,10 +249,10 @@ def predict_recursive(forecaster: Forecaster, features: DataFrame, horizon: int,
             )
         )
         state = (
-            forecaster.model.transform(_vectors(inputs))
+            forecaster.score(inputs)
             .withColumn("value", F.greatest(F.lit(0.0), F.col("prediction")))
             .select(
-                "series", "last_date",
+                "series", "last_date", "_scale", "margin",
                 F.concat(F.array("value"), F.slice("week", 1, 6)).alias("week"),
                 F.concat("path", F.array("value")).alias("path"),
             )
@@ -225,7 +260,7 @@ def predict_recursive(forecaster: Forecaster, features: DataFrame, horizon: int,
         if day % cut_every == 0 or day == horizon:
             state = cut_lineage(state)
     value = F.col("v")
-    return state.select("series", F.posexplode("path").alias("p", "v")).select(
+    return state.select("series", "margin", F.posexplode("path").alias("p", "v")).select(
         "series",
         (F.col("p") + 1).alias("day"),
         F.round(value, 2).alias("value"),
@@ -242,16 +277,18 @@ def route_series(daily: DataFrame) -> DataFrame:
     )
 
 
-def forecast(daily: DataFrame, horizon: int, model: Forecaster | None = None, max_iter: int = 150) -> DataFrame:
+def forecast(daily: DataFrame, horizon: int, model: Forecaster | LinearForecaster | None = None, max_iter: int = 150) -> DataFrame:
     """Per series: trees where 14 or more days were observed, otherwise the flat forecast.
 
-    A given model is preferred over training one here; a fit that fails falls
-    back to the flat forecast for every series. ``daily`` is the window's own
+    A given model is preferred over training one here; a fit that the data do not
+    allow falls back to the flat forecast for every series, with source
+    "flat (no fit)". Errors of the cluster are passed on. ``daily`` is the window's own
     history (at least 90 days back in the service's use).
     """
     check_range("horizon", horizon, 1, 30)
     daily = cut_lineage(daily.select("series", "date", "value"))
-    routed = daily.join(route_series(daily).select("series", "source"), "series")
+    days = F.count(F.lit(1)).over(Window.partitionBy("series"))
+    routed = daily.withColumn("source", F.when(days < fixed.MIN_HISTORY_DAYS, F.lit("flat")).otherwise(F.lit("model")))
     enough = routed.where(F.col("source") == "model").drop("source")
     short = routed.where(F.col("source") == "flat").drop("source")
     flat = flat_forecast(short, horizon).withColumn("source", F.lit("flat"))
@@ -260,9 +297,9 @@ def forecast(daily: DataFrame, horizon: int, model: Forecaster | None = None, ma
     features = build_features(enough)
     try:
         fitted = model or train_forecast(features, max_iter)
-    except Exception as error:
+    except (ValueError, ArithmeticError, IllegalArgumentException) as error:
         logger.warning("training failed, flat forecast instead: %s", error)
-        return flat_forecast(daily, horizon).withColumn("source", F.lit("flat"))
+        return flat_forecast(daily, horizon).withColumn("source", F.lit("flat (no fit)"))
     trees = predict_recursive(fitted, features, horizon).withColumn("source", F.lit("model"))
     return trees.unionByName(flat)
 

@@ -16,25 +16,27 @@ _OUT = "request_id long, caller string, path string, ts timestamp, allowed boole
 def flag_requests(log: DataFrame, limits: dict | None = None) -> DataFrame:
     """Streaming ``token_bucket``: the bucket of each caller and path is kept as state.
 
-    Requests are taken in order of time within an Arrow batch and in order of
-    arrival across batches, as a live limiter does.
+    Within a micro-batch requests are taken in order of time, whatever Arrow's batch size; across
+    micro-batches in order of arrival, as a live limiter does. A caller's requests of one micro-batch
+    are held by a task as three numbers each, so the source's limit per trigger bounds its memory.
+    Requests without a time are left out.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (owed,) = state.get if state.exists else (0,)
-        for batch in batches:
-            batch = batch.sort_values(["_at", "request_id"])
-            flags = []
-            for now, gap, slack in zip(batch["_at"].tolist(), batch["_gap"].tolist(), batch["_slack"].tolist()):
-                owed, allowed = serve(owed, now, gap, slack)
-                flags.append(allowed)
-            yield batch[["request_id", "caller", "path", "ts"]].assign(allowed=flags)
+        parts = [part for part in batches if len(part)]
+        whole = pd.concat(parts, ignore_index=True).sort_values(["_at", "request_id"], ignore_index=True)
+        flags = []
+        for now, gap, slack in zip(whole["_at"].tolist(), whole["_gap"].tolist(), whole["_slack"].tolist()):
+            owed, allowed = serve(owed, now, gap, slack)
+            flags.append(allowed)
         state.update((owed,))
+        yield whole[["request_id", "caller", "path", "ts"]].assign(allowed=flags)
 
     timed = with_limits(log, limits or DEFAULT_LIMITS).select(
         F.col("request_id").cast("long"), F.col("caller").cast("string"), F.col("path").cast("string"),
-        F.col("ts").cast("timestamp").alias("ts"), "_at", "_gap", "_slack",
-    )
-    return timed.groupBy("caller", "path").applyInPandasWithState(
+        F.col("ts").cast("timestamp").alias("ts"), "_at", "_gap", "_slack", "_caller", "_path",
+    ).where(F.col("_at").isNotNull())
+    return timed.groupBy("_caller", "_path").applyInPandasWithState(
         step, _OUT, "owed long", "append", GroupStateTimeout.NoTimeout
     )

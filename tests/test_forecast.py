@@ -60,7 +60,8 @@ def test_forecast_routes_predicts_and_reloads(spark, tmp_path):
     for r in got:
         assert 0 <= r.lower_bound <= r.value <= r.upper_bound
     by_day = {r.day: r for r in got if r.series == "long"}
-    margin = 1.5 * model.residual_std
+    level = fc.build_features(long).agg(F.avg("value")).first()[0]
+    margin = 1.5 * model.residual_std * level
     assert sorted(by_day) == list(range(1, 10))
     assert by_day[3].upper_bound - by_day[3].value == pytest.approx(margin, abs=0.011)
 
@@ -69,6 +70,7 @@ def test_recursion_feeds_predictions_back(spark):
     """Step two must see step one's value as its newest lag."""
     frame = fc.build_features(series(spark, [5 + (i * i) % 11 for i in range(40)]))
     model = fc.train_forecast(frame, max_iter=3)
+    scale = frame.agg(F.avg("value")).first()[0]
     last = frame.orderBy(F.col("date").desc()).first()
     week = [last.value, *[last[f"lag_{k}"] for k in range(1, 7)]]
     want = []
@@ -79,7 +81,8 @@ def test_recursion_feeds_predictions_back(spark):
         x = [*week, mean, std, date.weekday(), int(date.weekday() >= 5), date.month]
         from pyspark.ml.linalg import Vectors
 
-        value = max(0.0, model.model.predict(Vectors.dense(x)))
+        scaled = [v / scale for v in x[:9]] + x[9:]
+        value = max(0.0, model.model.predict(Vectors.dense(scaled)) * scale)
         want.append(round(value, 2))
         week = [value, *week[:6]]
     got = fc.predict_recursive(model, frame, 3, cut_every=2).orderBy("day").collect()
@@ -88,11 +91,40 @@ def test_recursion_feeds_predictions_back(spark):
 
 def test_failed_training_falls_back(spark, monkeypatch):
     def broken(*_):
-        raise RuntimeError("no fit")
+        raise ValueError("no fit")
 
     monkeypatch.setattr(fc, "train_forecast", broken)
     got = fc.forecast(series(spark, range(20)), 2).collect()
-    assert [r.source for r in got] == ["flat", "flat"]
+    assert [r.source for r in got] == ["flat (no fit)"] * 2
+
+    def lost(*_):
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(fc, "train_forecast", lost)
+    with pytest.raises(RuntimeError):
+        fc.forecast(series(spark, range(20)), 2)
+
+
+def test_each_series_has_its_own_level_and_margin(spark):
+    small = [1 + (i % 7) * 0.1 for i in range(80)]
+    large = [10_000 + (i * 7919 % 13) * 700 for i in range(80)]
+    daily = series(spark, small, "small").unionByName(series(spark, large, "large")).unionByName(series(spark, [5.0] * 20, None))
+    got = fc.forecast(daily, 3, max_iter=20).collect()
+    assert {r.series for r in got} == {"small", "large", None}
+    for r in got:
+        if r.series == "small":
+            assert 0.5 < r.value < 2.5 and r.upper_bound - r.value < 1
+        if r.series == "large":
+            assert r.value > 5_000 and r.upper_bound - r.value > 10
+
+
+def test_amounts_keep_small_and_large_numbers(spark):
+    rows = [("2024-03-01", "0.004"), ("2024-03-01", "0.004"), ("2024-03-02", "2e16"), ("2024-03-03", "none"), ("2024-03-03", "NaN")]
+    df = spark.createDataFrame(rows, "ts string, amount string")
+    got = {str(r.date): r.value for r in fc.daily_metric(df, "ts", "amount").collect()}
+    assert got == {"2024-03-01": 0.008, "2024-03-02": 2e16, "2024-03-03": 0.0}
+    with pytest.raises(Exception, match="too large"):
+        fc.daily_metric(spark.createDataFrame([("2024-03-01", 1e40)], "ts string, amount double"), "ts", "amount").collect()
 
 
 def test_metric_reads_its_window_and_status(spark):

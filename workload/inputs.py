@@ -139,14 +139,15 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, turn, role, text, vector): all turns; the vector has the conversation's id.
 
-    Every fifth opening turn is a short confirmation, so that branch takes part.
+    In every fifth conversation a short confirmation is added for each later user turn, so that
+    branch takes part.
     """
     c, e = table(spark, sf_dir, "conversations"), table(spark, sf_dir, "embeddings")
-    ack = (F.col("role") == "user") & (F.col("turn") > 0) & (F.col("conv_id") % 5 == 0)
-    return c.join(e, c.conv_id == e.vec_id, "left").select(
-        "conv_id", "turn", "role",
-        F.when(ack, F.lit("Ok !!").cast("string")).otherwise(F.col("text")).alias("text"),
-        F.col("embedding").alias("vector"),
+    later = c.where((F.col("role") == "user") & (F.col("turn") > 0) & (F.col("conv_id") % 5 == 0))
+    added = later.select("conv_id", (F.col("turn") + 10000).alias("turn"), "role", F.lit("Ok !!").alias("text"))
+    turns = c.select("conv_id", "turn", "role", "text").unionByName(added)
+    return turns.join(e, turns.conv_id == e.vec_id, "left").select(
+        "conv_id", "turn", "role", "text", F.col("embedding").alias("vector")
     )
 
 

@@ -78,6 +78,57 @@ SELECT o_custkey AS series, count(DISTINCT CAST(o_orderdate AS DATE)) AS observe
        CASE WHEN count(DISTINCT CAST(o_orderdate AS DATE)) < 14 THEN 'flat' ELSE 'model' END AS source
 FROM orders GROUP BY 1"""
 
+
+
+def _cents(value: str) -> str:
+    """Rounded half up by the digits of a double."""
+    return f"CAST(round(CAST(CAST({value} AS VARCHAR) AS DECIMAL(38,12)), 2) AS DOUBLE)"
+
+
+# Trees cannot be said in SQL; a fixed linear rule takes their place in the same forecast.
+_CUSTOMER_DAYS = """
+SELECT o_custkey AS series, CAST(o_orderdate AS DATE) AS date, CAST(sum(CAST(o_totalprice AS DECIMAL(38,6))) AS DOUBLE) AS value
+FROM orders GROUP BY 1, 2"""
+ORACLES["forecast_linear"] = f"""
+WITH RECURSIVE every AS ({_CUSTOMER_DAYS}),
+routed AS (SELECT *, count(*) OVER (PARTITION BY series) AS days FROM every),
+days AS (
+  SELECT series, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date
+  FROM routed WHERE days >= 14 GROUP BY series),
+filled AS (
+  SELECT days.series, days.date, coalesce(every.value, 0.0) AS value
+  FROM days LEFT JOIN every ON every.series = days.series AND every.date = days.date),
+framed AS (
+  SELECT series, date, value, {_LAGS},
+    avg(value) OVER (PARTITION BY series ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS roll_mean,
+    coalesce(stddev_samp(value) OVER (PARTITION BY series ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 0.0) AS roll_std
+  FROM filled WINDOW w AS (PARTITION BY series ORDER BY date)),
+scored AS (
+  SELECT *, 4.0 + 0.25 * lag_1 + 0.25 * lag_7 + 0.375 * roll_mean + 0.0625 * roll_std
+            + 8.0 * CAST(isodow(date) >= 6 AS INT) + 0.5 * month(date) AS prediction
+  FROM framed WHERE lag_7 IS NOT NULL),
+start AS (
+  SELECT series, max(date) AS last, 1.5 * stddev_pop(value - prediction) AS margin,
+    arg_max([value, lag_1, lag_2, lag_3, lag_4, lag_5, lag_6], date) AS week
+  FROM scored GROUP BY series),
+walk AS (
+  SELECT series, last, margin, 0 AS day, CAST(NULL AS DOUBLE) AS value, week FROM start
+  UNION ALL
+  SELECT series, last, margin, day + 1, v, list_prepend(v, week[1:6]) FROM (
+    SELECT *, greatest(0.0, 4.0 + 0.25 * week[1] + 0.25 * week[7] + 0.375 * list_avg(week) + 0.0625 * list_stddev_pop(week)
+        + 8.0 * CAST(isodow(last + day + 1) >= 6 AS INT) + 0.5 * month(last + day + 1)) AS v
+    FROM walk WHERE day < 9)),
+short AS (
+  SELECT series, CAST(sum(CAST(value AS DECIMAL(38,6))) AS DOUBLE) / count(*) AS base FROM (
+    SELECT *, row_number() OVER (PARTITION BY series ORDER BY date DESC) AS age FROM routed WHERE days < 14)
+  WHERE age <= 7 GROUP BY series)
+SELECT series, CAST(day AS INT) AS day, round(value, 2) AS value, round(greatest(0.0, value - margin), 2) AS lower_bound,
+       round(value + margin, 2) AS upper_bound, 'model' AS source
+FROM walk WHERE day > 0
+UNION ALL
+SELECT series, CAST(day AS INT), {_cents("base")}, {_cents("base * 0.8")}, {_cents("base * 1.2")}, 'flat'
+FROM short, range(1, 10) AS r(day)"""
+
 # Click-through counters
 
 _COUNTERS = f"""
@@ -384,8 +435,9 @@ SELECT cart_id, 0, -1, 0.0, '', 'fallback', '{RECOMMEND_VERSION}' FROM ({_FALLBA
 
 _TURNS = """
 turns AS (
-  SELECT conv_id, turn, role,
-         CASE WHEN role = 'user' AND turn > 0 AND conv_id % 5 = 0 THEN 'Ok !!' ELSE text END AS text FROM conversations)"""
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL
+  SELECT conv_id, turn + 10000, 'user', 'Ok !!' FROM conversations WHERE role = 'user' AND turn > 0 AND conv_id % 5 = 0)"""
 _ACK_LIST = ", ".join(quoted(t) for t in ACK_TOKENS)
 _IS_ACK = f"regexp_replace(lower(trim(text, ' \t\n\r')), '[.!?,;:]+$', '') IN ({_ACK_LIST})"
 
@@ -524,6 +576,4 @@ walk AS (
          least(l.cap, w.tokens + (l.secs - w.secs) * l.refill) >= 1
   FROM walk w JOIN log l ON l.user_id = w.user_id AND l.event_type = w.event_type AND l.i = w.i + 1)"""
 ORACLES["token_bucket"] = f"{_BUCKETS} SELECT event_id AS request_id, allowed FROM walk"
-ORACLES["token_bucket_stream"] = f"""
-{_BUCKETS} SELECT CAST(user_id AS VARCHAR) AS caller, event_type AS path, count(*) AS requests,
-       count(*) FILTER (WHERE allowed) AS allowed FROM walk GROUP BY 1, 2"""
+ORACLES["token_bucket_stream"] = ORACLES["token_bucket"]

@@ -84,7 +84,14 @@ def forecast_routing(spark, sf):
 
 @query
 def forecast_gbt(spark, sf):
-    return forecast.forecast(_daily_by_priority(spark, sf), 7, max_iter=20)
+    return forecast.forecast(_daily_by_priority(spark, sf), 7)
+
+
+@query
+def forecast_linear(spark, sf):
+    weights = {"lag_1": 0.25, "lag_7": 0.25, "roll_mean_7": 0.375, "roll_std_7": 0.0625, "is_weekend": 8.0, "month": 0.5}
+    rule = forecast.LinearForecaster(weights, 4.0)
+    return forecast.forecast(_daily_by_customer(spark, sf), 9, rule).withColumn("series", F.col("series").cast("long"))
 
 
 # Click-through counters
@@ -494,9 +501,7 @@ def token_bucket_stream(spark, sf):
         .option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
     )
     out = spark.read.schema(flagged.schema).parquet(f"{home}/out")
-    return out.groupBy("caller", "path").agg(
-        F.count(F.lit(1)).alias("requests"), F.count_if("allowed").alias("allowed")
-    )
+    return out.select("request_id", "allowed")
 
 
 @query
@@ -507,4 +512,4 @@ def retrain_job(spark, sf):
         "orders": lambda: src.payments(spark, sf),
         "payments": lambda: src.payments(spark, sf),
     }
-    return retrain(spark, inputs, home, src.AS_OF, "job-1", max_iter=5).select("job_id", "status", "message")
+    return retrain(spark, inputs, home, src.AS_OF, "job-1").select("job_id", "status", "message")
