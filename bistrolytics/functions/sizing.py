@@ -56,17 +56,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread(df: DataFrame, *key: str) -> DataFrame:
-    """Spread a handful of input files over all cores before heavy work on each row.
-
-    Large inputs have more files than cores and are left where they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if 0 < len(df.inputFiles()) < cores:
-        return df.repartition(*key) if key else df.repartition(cores)
-    return df
-
-
 def running_index(df: DataFrame, keys: list[str], order: str, name: str, width: int = 4096) -> DataFrame:
     """0-based position of each row within ``keys`` by a unique integer ``order`` column.
 
