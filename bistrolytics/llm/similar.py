@@ -11,11 +11,12 @@
 3. *Prefix tree.* Candidate sets of a probing document reach a task sorted like the paths of a
    trie. The traversal keeps the partial overlap of the current path, starts each set where it
    leaves the path before, and drops what the remaining lengths cannot bring to the asked overlap.
-4. *Components.* The first candidates are neighbours by size within each posting list (linear in
-   the postings). Later rounds look only at lists that still hold several components, and there
-   only at pairs of different components that sizes and positions allow, with one side outside the
-   list's largest component. The last round takes all such pairs, so no link between components is
-   lost, while a group of thousands of near copies is never paired out.
+4. *Components.* The first candidates are, within each posting list, neighbours by size and the
+   member with the fewest shingles of its own, its hub (linear in the postings). Later rounds look
+   only at lists that still hold several components: first at members outside the largest one with
+   that one's hub, then at all pairs of different components that sizes and positions allow, with
+   one side outside the largest. So no link between components is lost, while a group of thousands
+   of near copies is never paired out.
 
 No list, group or set of links is gathered; sizes of blocks and buckets are bounded.
 
@@ -311,12 +312,15 @@ def _merged(comps: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def postings(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, doc, n, i): prefixes in global order; i is the place among all shingles of the set."""
+    """(token, doc, n, u, i): prefixes in global order.
+
+    u counts the set's shingles that no other set has, i is the place among all its shingles.
+    """
     unshared = F.col("n") - F.size("tokens")
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     rows = sets.select(
         "doc", "n", unshared.alias("_u"), F.posexplode(F.slice("tokens", F.lit(1), F.greatest(F.lit(0), prefix - unshared).cast("int")))
-    ).select(F.col("col").alias("token"), "doc", "n", (F.col("pos") + F.col("_u")).alias("i"))
+    ).select(F.col("col").alias("token"), "doc", "n", F.col("_u").alias("u"), (F.col("pos") + F.col("_u")).alias("i"))
     shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("token")
     return written(rows.join(shared, "token"), "postings")
 
@@ -328,6 +332,30 @@ def _fits(percent: int):
     return (room >= need) & (F.least("n", "m") >= need)
 
 
+def _hub():
+    """Orders members of a list: fewest shingles of their own first."""
+    return F.struct("u", "doc", "n", "i")
+
+
+def _with_hub(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members of posting lists with the hub of their list, where sizes and places allow a link."""
+    hub = hubs.select("token", F.col("hub.doc").alias("a"), F.col("hub.n").alias("n"), F.col("hub.i").alias("i"))
+    other = members.select("token", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"))
+    return other.join(hub, "token").where((F.col("a") != F.col("b")) & _fits(percent)).select("a", "b").distinct()
+
+
+def _mixed(posts: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of lists with several components: members outside the largest, all members, the largest's hub."""
+    placed = posts.join(comps, "doc")
+    in_list = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("_c"), F.min(_hub()).alias("hub"))
+    largest = (
+        in_list.groupBy("token").agg(F.max(F.struct("_c", "comp", "hub")).alias("_m"), F.count(F.lit(1)).alias("_n"))
+        .where("_n > 1").select("token", F.col("_m.comp").alias("main"), F.col("_m.hub").alias("hub"))
+    )
+    inside = placed.join(largest.select("token", "main"), "token")
+    return inside.where("comp <> main"), inside, largest.select("token", "hub")
+
+
 def similar(
     docs: DataFrame, length: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -346,31 +374,20 @@ def similar(
     near = posts.select(
         F.col("doc").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.lag("doc").over(by_size).alias("a"),
         F.lag("n").over(by_size).alias("n"), F.lag("i").over(by_size).alias("i"),
-    ).where(F.col("a").isNotNull() & (F.col("a") != F.col("b")) & _fits(percent))
-    comps = _merged(comps, links(near.select("a", "b").distinct(), sets, percent))
-
-    for everything in (False, True):
-        placed = posts.join(comps, "doc")
-        in_list = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("_c"))
-        largest = (
-            in_list.groupBy("token").agg(F.max(F.struct("_c", "comp")).alias("_m"), F.count(F.lit(1)).alias("_n"))
-            .where("_n > 1").select("token", F.col("_m.comp").alias("main"))
-        )
-        mixed = placed.join(largest, "token")
-        outside = mixed.where("comp <> main").select("token", F.col("doc").alias("a"), "n", "i", F.col("comp").alias("ca"))
-        inside = mixed.select("token", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("comp").alias("cb"), "main")
-        if not everything:
-            # a few partners for each component outside, before all of them are asked
-            inside = inside.where("cb = main")
-        pairs = outside.join(inside, "token").where(
-            (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & _fits(percent)
-        )
-        if everything:
-            pairs = pairs.select("a", "b").distinct()
-        else:
-            near_size = F.struct(F.abs(F.col("n") - F.col("m")), F.xxhash64("token", "b"), "b")
-            pairs = pairs.groupBy("a", "token").agg(F.min(near_size).alias("_b")).select("a", F.col("_b.b").alias("b")).distinct()
-        comps = _merged(comps, links(pairs, sets, percent))
+    ).where(F.col("a").isNotNull() & _fits(percent))
+    hubs = posts.groupBy("token").agg(F.min(_hub()).alias("hub"))
+    comps = _merged(comps, links(near.select("a", "b").union(_with_hub(posts, hubs, percent)).distinct(), sets, percent))
+
+    outside, inside, hubs = _mixed(posts, comps)
+    comps = _merged(comps, links(_with_hub(outside, hubs, percent), sets, percent))
+
+    outside, inside, _ = _mixed(posts, comps)
+    pairs = (
+        outside.select("token", F.col("doc").alias("a"), "n", "i", F.col("comp").alias("ca"))
+        .join(inside.select("token", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("comp").alias("cb"), "main"), "token")
+        .where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & _fits(percent))
+    )
+    comps = _merged(comps, links(pairs.select("a", "b").distinct(), sets, percent))
 
     roots = comps.select(F.col("doc").alias("rep"), "comp")
     whole = profile.drop("tokens").join(classes, ["hi", "lo"], "left").join(roots, "rep", "left")
