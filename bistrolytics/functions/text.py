@@ -11,6 +11,27 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def run_counts(ordered: Column, value_type: str) -> Column:
+    """array<struct<key, n>>: how often each element occurs in a sorted array, in one pass."""
+
+    def counted(xs):
+        starts = F.array_compact(F.transform(xs, lambda x, i: F.when((i == 0) | (x != F.get(xs, i - 1)), i)))
+        ends = lambda at, i: F.coalesce(F.get(at, i + 1), F.size(xs))
+        return bind(
+            starts,
+            lambda at: F.transform(
+                at, lambda a, i: F.struct(F.get(xs, a).cast(value_type).alias("key"), (ends(at, i) - a).cast("long").alias("n"))
+            ),
+        )
+
+    return bind(ordered, counted)
+
+
 def tokenise(text: Column) -> Column:
     """Lower-cased white-space tokens; empty or null text gives the pad token.
 

@@ -6,24 +6,38 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.checks import check_choice, check_range
-from ..functions.text import tokenise
+from ..functions.text import bind, run_counts, tokenise
 
 MODES = {"search_document", "search_query"}
 
 
+def _cell(token: Column, dimension: int) -> Column:
+    """The vector place of a token: the first 32 bits of its MD5."""
+    return (F.conv(F.substring(F.md5(token.cast("binary")), 1, 8), 16, 10).cast("long") % dimension).cast("int")
+
+
 def hash_embed(df: DataFrame, text: str, dimension: int = 64) -> DataFrame:
-    """Unit vectors of hashed token counts; all in the JVM. A stand-in, not a learned model."""
+    """Unit vectors of hashed token counts; all in the JVM. A stand-in, not a learned model.
+
+    Equal places are neighbours once sorted, so counting needs one pass over a text's tokens.
+    """
     check_range("dimension", dimension, 1, 1 << 16)
-    counted = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dimension).transform(
-        df.withColumn("_tokens", tokenise(F.col(text)))
-    )
-    unit = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0).transform(counted)
-    return unit.withColumn("vector", vector_to_array("_unit", "float32")).drop("_tokens", "_tf", "_unit")
+    cells = F.array_sort(F.transform(tokenise(F.col(text)), lambda t: _cell(t, dimension)))
+
+    def unit(counts):
+        length = F.sqrt(F.aggregate(F.map_values(counts), F.lit(0.0), lambda s, n: s + n * n))
+        return bind(
+            length,
+            lambda norm: F.transform(
+                F.sequence(F.lit(0), F.lit(dimension - 1)),
+                lambda i: F.coalesce(F.element_at(counts, i) / norm, F.lit(0.0)).cast("float"),
+            ),
+        )
+
+    return df.withColumn("vector", bind(F.map_from_entries(run_counts(cells, "int")), unit))
 
 
 def embed_batch(

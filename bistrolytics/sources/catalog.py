@@ -23,7 +23,7 @@ def full_text(name: Column, price: Column, description: Column, category: Column
     return F.concat(*[c for label, part in zip(fixed.FULL_TEXT_LABELS, parts) for c in (F.lit(label), part)])
 
 
-def with_payload(items: DataFrame) -> DataFrame:
+def with_payload(items: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Payload columns with their defaults, the vector id and the full text."""
     price = F.col("price").cast("double")
     return items.select(
@@ -35,10 +35,11 @@ def with_payload(items: DataFrame) -> DataFrame:
         F.coalesce("category", F.lit("")).alias("category"),
         F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
         full_text(F.col("name"), price, F.col("description"), F.col("category"), F.col("tags")).alias("full_text"),
+        *carry,
     )
 
 
-def shape_items(raw: DataFrame, rejected: Observation | None = None) -> DataFrame:
+def shape_items(raw: DataFrame, rejected: Observation | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Catalog rows from raw export records; malformed ones are left out.
 
     A record needs an id that reads as an integer and a price that reads as a
@@ -54,6 +55,7 @@ def shape_items(raw: DataFrame, rejected: Observation | None = None) -> DataFram
         F.coalesce(first_truthy(["description", "desc"], "string", cols), F.lit("")).alias("description"),
         first_truthy(["category"], "string", cols).alias("category"),
         F.coalesce(F.col("tags"), F.array().cast("array<string>")).alias("tags"),
+        *carry,
     )
     valid = F.col("menu_item_id").isNotNull() & F.col("price").isNotNull()
     if rejected is not None:

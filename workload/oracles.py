@@ -332,6 +332,20 @@ ORACLES["tokenised"] = f"""
 SELECT doc_id, CAST(len(t) AS INT) AS n_tokens, array_to_string(t, ' ') AS tokens
 FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents)"""
 
+def _cells(source: str, key: str, text: str) -> str:
+    """weights(key, cell, weight): hashed token counts of unit length, by the first 32 bits of MD5."""
+    return f"""
+hashed AS (
+  SELECT {key}, CAST(('0x' || substr(md5(w), 1, 8)) AS BIGINT) % 64 AS cell
+  FROM (SELECT {key}, unnest({_tokens(text)}) AS w FROM {source})),
+counted AS (SELECT {key}, cell, count(*) AS n FROM hashed GROUP BY 1, 2),
+weights AS (
+  SELECT {key}, CAST(cell AS INT) AS cell,
+         round(CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS FLOAT) AS DOUBLE), 5) AS weight FROM counted)"""
+
+
+ORACLES["embed_batch"] = f"WITH {_cells('documents', 'doc_id', 'text')} SELECT doc_id, cell, weight FROM weights"
+
 _CORPUS = f"""
 toks AS (SELECT doc_id, {_tokens('text')} AS t FROM documents),
 tf AS (SELECT doc_id, w, count(*) AS f FROM (SELECT doc_id, unnest(t) AS w FROM toks) GROUP BY 1, 2),
@@ -447,17 +461,19 @@ _USER_TURNS = f"""
 SELECT conv_id || ':' || turn AS query_id, text FROM turns WHERE role = 'user' AND NOT {_IS_ACK}"""
 _USER_VECTORS = f"""
 SELECT conv_id || ':' || turn AS query_id, conv_id AS vec_id FROM turns WHERE role = 'user' AND NOT {_IS_ACK}"""
-ORACLES["rag_context"] = f"""
-WITH {_TURNS}, {_hybrid(_USER_TURNS, _USER_VECTORS, 5)},
+_RAG = f"""
+{_TURNS}, {_hybrid(_USER_TURNS, _USER_VECTORS, 5)},
 blocks AS (
   SELECT query_id, count(*) AS n_hits, {quoted(CONTEXT_HEADER)} || chr(10) || string_agg(
     '  ID: ' || b.doc_id || ' | ' || source || ' | Giá: ' || format('{{:,}}', n_chars) || 'đ | ' || lang
     || ' | Đặc tính: ' || lang || ', ' || source, chr(10) ORDER BY rank) AS context
-  FROM best b JOIN documents d ON d.doc_id = b.doc_id GROUP BY 1)
+  FROM best b JOIN documents d ON d.doc_id = b.doc_id GROUP BY 1)"""
+_RAG_ROWS = f"""
 SELECT conv_id, turn, {_IS_ACK} AS is_ack, CAST(coalesce(n_hits, 0) AS INT) AS n_hits,
        CASE WHEN {_IS_ACK} THEN {quoted(ACK_CONTEXT)} ELSE coalesce(context, '') END AS context,
        CASE WHEN NOT {_IS_ACK} AND n_hits IS NULL THEN {quoted(NO_MENU_REPLY)} ELSE '' END AS reply
 FROM turns LEFT JOIN blocks ON query_id = conv_id || ':' || turn WHERE role = 'user'"""
+ORACLES["rag_context"] = f"WITH {_RAG} {_RAG_ROWS}"
 
 _POSITIONS = f"""
 {_TURNS},
@@ -467,13 +483,16 @@ positions AS (
 ORACLES["prompt_history"] = f"""
 WITH {_POSITIONS} SELECT conv_id, turn, position, CASE WHEN role = 'assistant' THEN 'model' ELSE 'user' END AS role,
        text AS content FROM positions"""
+_ALL_POSITIONS = _POSITIONS.replace(_TURNS, "")
 ORACLES["prompt_messages"] = f"""
-WITH {_POSITIONS},
-asked AS (SELECT conv_id, max(turn) AS turn FROM positions WHERE role = 'user' GROUP BY 1)
-SELECT conv_id, turn, CAST(0 AS BIGINT) AS place, 'system' AS role, 'Menu: #' || turn || '.' AS content FROM asked
+WITH {_RAG}, answered AS ({_RAG_ROWS}) {_ALL_POSITIONS},
+to_answer AS (
+  SELECT p.conv_id, p.turn, p.position, p.text, a.context FROM positions p JOIN answered a ON a.conv_id = p.conv_id AND a.turn = p.turn
+  WHERE p.role = 'user' AND a.reply = '')
+SELECT conv_id, turn, CAST(0 AS BIGINT) AS place, 'system' AS role, 'Menu: ' || context || '.' AS content FROM to_answer
 UNION ALL
-SELECT p.conv_id, a.turn, p.position + 1, p.role, p.text FROM positions p JOIN asked a ON a.conv_id = p.conv_id
-WHERE p.turn <= a.turn"""
+SELECT p.conv_id, a.turn, p.position + 1, p.role, p.text FROM positions p JOIN to_answer a ON a.conv_id = p.conv_id
+WHERE p.position <= a.position"""
 
 ORACLES["response_parse"] = """
 WITH calls AS (
@@ -528,8 +547,31 @@ WITH {_LATEST}
 SELECT coalesce(menu_item_id, p_partkey) AS menu_item_id, coalesce(price, p_retailprice) AS price
 FROM part FULL JOIN latest ON menu_item_id = p_partkey WHERE NOT coalesce(gone, false)"""
 ORACLES["catalog_stream_changes"] = ORACLES["catalog_changes"]
-ORACLES["catalog_get_by_ids"] = """
-SELECT p_partkey AS menu_item_id, p_retailprice AS price FROM part WHERE p_partkey IN (SELECT vec_id FROM embeddings)"""
+_FULL_TEXT = """'Tên: ' || name || ', Giá: ' || price || ', Mô tả: ' || description || ', Danh mục: ' || category
+       || ', Đặc tính: ' || array_to_string(tags, ', ')"""
+_EMBEDDED = f"""
+described AS (SELECT *, {_FULL_TEXT} AS full_text FROM items),
+{_cells('described', 'menu_item_id', 'full_text')},
+vectors AS (
+  SELECT menu_item_id, string_agg(cell || ':' || weight, ',' ORDER BY cell) AS vector FROM weights GROUP BY 1),
+rows AS (
+  SELECT menu_item_id, 'vec_' || menu_item_id AS vector_id, name, price, description, category,
+         array_to_string(tags, '|') AS tags, full_text, vector FROM described JOIN vectors USING (menu_item_id))"""
+ORACLES["catalog_get_by_ids"] = f"""
+WITH {_CATALOG}, {_EMBEDDED} SELECT * FROM rows WHERE menu_item_id IN (SELECT vec_id FROM embeddings)"""
+_VALID = "p_size % 4 <> 3 AND p_size % 10 <> 5"
+ORACLES["catalog_sync"] = f"""
+WITH {_CATALOG.replace("items AS", "kept AS", 1)},
+items AS (
+  SELECT p_partkey AS menu_item_id, p_name AS name, CASE WHEN p_size % 10 = 6 THEN 0.0 ELSE p_retailprice END AS price,
+         p_type AS category, p_brand AS description, [p_brand] AS tags FROM part WHERE {_VALID}
+  UNION ALL
+  SELECT menu_item_id, name, price, category, description, tags FROM kept
+  WHERE menu_item_id IN (SELECT p_partkey FROM part WHERE NOT ({_VALID}))), {_EMBEDDED}
+SELECT * FROM rows"""
+ORACLES["catalog_sync_counts"] = f"""
+SELECT count(*) AS records, count(*) FILTER (WHERE NOT ({_VALID})) AS rejected,
+       count(*) FILTER (WHERE {_VALID}) AS synced_count FROM part"""
 ORACLES["catalog_scan"] = "SELECT vec_id AS item_id, label AS category FROM embeddings"
 ORACLES["seed_if_empty"] = "SELECT p_partkey AS menu_item_id, p_retailprice AS price FROM part"
 ORACLES["malformed_items"] = """

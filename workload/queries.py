@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bistrolytics.functions.sizing import scratch_dir
 from bistrolytics.functions.text import epoch_seconds, float_text, is_ack, tokenise
 from bistrolytics.operators import accesslog, baskets, bm25, chat, ctr, embed, forecast, fusion, kitchen, similarity
 from bistrolytics.operators.recommend import recommend
 from bistrolytics.plans.jobs import job_status
+from bistrolytics.plans import sync
 from bistrolytics.plans.retrain import retrain
 from bistrolytics.sources import artifacts, catalog, export
 from bistrolytics.streaming import catalog as catalog_stream
@@ -241,7 +242,10 @@ def cosine_topk_excluding(spark, sf):
 
 @query
 def embed_batch(spark, sf):
-    return embed.embed_batch(src.table(spark, sf, "documents").select("doc_id", "text"), "text")
+    """Vector places that are not 0, since SQL compares them more easily than arrays."""
+    done = embed.embed_batch(src.table(spark, sf, "documents").select("doc_id", "text"), "text")
+    cells = done.select("doc_id", F.posexplode("vector").alias("cell", "weight")).where("weight <> 0")
+    return cells.withColumn("weight", F.round(F.col("weight").cast("double"), 5))
 
 
 @query
@@ -342,14 +346,10 @@ def prompt_history(spark, sf):
 
 @query
 def prompt_messages(spark, sf):
-    """Messages of the newest request of each conversation, over its own text as context."""
-    turns = src.chat_turns(spark, sf)
-    context = turns.where(F.col("role") == "user").select(
-        "conv_id", "turn", F.concat(F.lit("#"), "turn").alias("context"), F.lit(None).cast("string").alias("reply")
-    )
-    positions = chat.conversation_positions(turns)
-    asked = chat.prompt_requests(positions, context, template="Menu: {context_block}.")
-    return chat.prompt_messages(positions, chat.latest_requests(asked))
+    """Messages of every user turn to be answered, over the context that the search found for it."""
+    positions = chat.conversation_positions(src.chat_turns(spark, sf))
+    asked = chat.prompt_requests(positions, _rag(spark, sf), template="Menu: {context_block}.")
+    return chat.prompt_messages(positions, asked)
 
 
 @query
@@ -432,10 +432,32 @@ def catalog_stream_changes(spark, sf):
     return catalog_stream.current_catalog(_prices(spark, sf), log)
 
 
+def _embedded_catalog(spark, sf):
+    return embed.embed_batch(catalog.with_payload(src.catalog(spark, sf)), "full_text")
+
+
+def _flat(rows):
+    """Payload and vector as SQL compares them: tags joined, places that are not 0 as text."""
+    cells = F.transform("vector", lambda w, i: F.when(w != 0, F.concat_ws(":", i, F.round(w.cast("double"), 5))))
+    return rows.withColumn("tags", F.array_join("tags", "|")).withColumn("vector", F.array_join(F.array_compact(cells), ","))
+
+
 @query
 def catalog_get_by_ids(spark, sf):
     ids = src.vectors(spark, sf).select(F.col("item_id").alias("menu_item_id"))
-    return catalog.get_by_ids(_prices(spark, sf), ids)
+    return _flat(catalog.get_by_ids(_embedded_catalog(spark, sf), ids))
+
+
+@query
+def catalog_sync(spark, sf):
+    synced, _ = sync.sync_catalog(src.raw_items(spark, sf), _embedded_catalog(spark, sf))
+    return _flat(synced)
+
+
+@query
+def catalog_sync_counts(spark, sf):
+    _, counts = sync.sync_catalog(src.raw_items(spark, sf), _embedded_catalog(spark, sf))
+    return counts
 
 
 @query
@@ -451,8 +473,7 @@ def seed_if_empty(spark, sf):
 
 @query
 def malformed_items(spark, sf):
-    counts = Observation("shape_items")
-    shaped = catalog.shape_items(src.raw_items(spark, sf), counts)
+    shaped = catalog.shape_items(src.raw_items(spark, sf))
     return shaped.withColumn("tags", F.array_join("tags", "|"))
 
 
