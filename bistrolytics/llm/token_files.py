@@ -14,48 +14,102 @@ ordered by text. An empty table gives a file without rows. Other columns are ign
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from .texts import SLICE_BYTES, cut
 
-#: Words whose ids a task remembers; the memory is emptied when it is full.
-CACHED_WORDS = 300_000
+#: Words whose ids a Python worker remembers, from task to task; a full memory keeps the last slice's.
+CACHED_WORDS = 800_000
+_encoders: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
     """Ids of whole texts by a tokenizer whose tokens never span white space.
 
-    The text is cut at ASCII white space, and each distinct piece is encoded once by the library.
+    The tokenizer lower-cases, so ASCII letters are lower-cased first, which makes more words equal.
+    The text is cut at ASCII white space, and each distinct word is encoded once by the library,
+    without the ASCII punctuation at its end (a boundary of the tokenizer's pattern after a letter
+    or digit). A text that may hold a special token's string is encoded as a whole.
     """
 
-    def __init__(self, path: str):
-        import os
+    _LETTERS = regex.compile(r"\p{L}+")
+    _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        #: pieces that end a word: between them lie the words of a joined text
+        self.ends = np.asarray([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        codes = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.asarray(code.ids, "<u4").tobytes() for code in codes]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Words of letters only, joined into one text per thousand."""
+        out = []
+        for a in range(0, len(words), 1000):
+            part = words[a : a + 1000]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(part):
+                data, edges = ids.tobytes(), [0, *(4 * last).tolist()]
+                out.extend(data[x:y] for x, y in zip(edges, edges[1:]))
+            else:
+                out.extend(self._each(part))
+        return out
+
+    def _learn(self, fresh: set[bytes]) -> None:
+        parts: dict[bytes, tuple[bytes, bytes]] = {}
+        for word in fresh:
+            head = word.rstrip(self._PUNCTUATION)
+            if len(head) < len(word) and head and (head.isalpha() or head[-1:].isalnum()):
+                parts[word] = head, word[len(head) :]
+        wanted = [w for w in fresh if w not in parts]
+        wanted.extend({x for pair in parts.values() for x in pair if x not in self.known and x not in fresh})
+        letters, other = [], []
+        for word in wanted:
+            (letters if word.isalpha() or self._LETTERS.fullmatch(word.decode("utf-8", "replace")) else other).append(word)
+        self.known.update(zip(letters, self._letters([w.decode() for w in letters])))
+        for a in range(0, len(other), 5000):
+            self.known.update(zip(other[a : a + 5000], self._each([w.decode("utf-8", "replace") for w in other[a : a + 5000]])))
+        for word in sorted(parts, key=len):  # a head may itself be a word with parts
+            head, tail = parts[word]
+            self.known[word] = self.known[head] + self.known[tail]
 
     def ids(self, texts: list[bytes | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [(text or b"").split() for text in texts]
+        split = [None if text and b"<|" in text else (text or b"").lower().split() for text in texts]
+        used = {w for words in split if words for w in words}
         if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        fresh = list({w for words in split for w in words if w not in self.known})
-        for a in range(0, len(fresh), 20_000):
-            part = fresh[a : a + 20_000]
-            codes = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for word, code in zip(part, codes):
-                self.known[word] = np.asarray(code.ids, "<u4").tobytes()
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+            self.known = {w: self.known[w] for w in used if w in self.known}
+        known, out = self.known, []
+        self._learn(used.difference(known))
+        for text, words in zip(texts, split):
+            if words is None:
+                out.append(self._each([text.decode("utf-8", "replace")])[0])
+            else:
+                out.append(b"".join([known[w] for w in words]))
+        return out
+
+
+def worker_encoder(path: str) -> WordEncoder:
+    """The Python worker's own encoder; a worker runs many tasks, and their words repeat."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def write_ids(
@@ -82,7 +136,7 @@ def write_ids(
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder, block, at = WordEncoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        encoder, block, at = worker_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
             batch = batch.set_column(1, "_text", batch.column(1).cast(pa.binary()))
             for part in cut(batch, "_text", SLICE_BYTES):
