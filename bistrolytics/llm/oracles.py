@@ -1,5 +1,93 @@
-"""SQL equivalents of the registered queries, where SQL can express them."""
+"""SQL equivalents of the registered queries, where SQL can express them.
+
+Not here: token files, token counts and byte-level BPE (tokenizers), quality rules and language
+(compression), the classifier and the pipeline (training); their tests compare with plain versions.
+"""
 
 from __future__ import annotations
 
+from .licenses import RULES, sentence_table, sentences
+
 ORACLES: dict[str, str] = {}
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES["op2_repeats"] = f"""
+WITH d AS (SELECT doc_id, {_PLAIN.format(text="text")} AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
+wins AS (SELECT doc_id, i, array_to_string(w[i:i+19], ' ') AS passage FROM starts),
+later AS (
+  SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY passage ORDER BY doc_id, i) AS n FROM wins) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM later),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY 1),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)"""
+
+_ALNUM = rf"regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES["op3_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+items AS (SELECT item_id, {_ALNUM} AS w FROM benchmark),
+tests AS (
+  SELECT item_id, j, n, array_to_string(w[j:j+n-1], ' ') AS passage
+  FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, greatest(2, len(w) - 8))) AS j FROM items WHERE len(w) > 0)),
+starts AS (
+  SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM tests) WHERE len(w) >= n),
+hits AS (
+  SELECT doc_id, i, s.n, item_id, j
+  FROM (SELECT doc_id, i, n, array_to_string(w[i:i+n-1], ' ') AS passage FROM starts) s JOIN tests t ON t.n = s.n AND t.passage = s.passage),
+hit_words AS (
+  SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM hits) GROUP BY 1),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM hits) GROUP BY 1),
+runs AS (
+  SELECT doc_id, max(length) AS longest FROM (
+    SELECT doc_id, n + count(*) - 1 AS length FROM (
+      SELECT doc_id, n, item_id, i - j AS line, i - row_number() OVER (PARTITION BY doc_id, item_id, n, i - j ORDER BY i) AS run FROM hits)
+    GROUP BY doc_id, item_id, n, line, run) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(longest, 0) AS longest_match
+FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN runs USING (doc_id)"""
+
+ORACLES["op7_jaccard_join"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_PLAIN.format(text=_LOWER)} AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) USING (doc_id)"""
+
+
+_TABLE = sentence_table()
+_KNOWN = ", ".join(f"'{s}'" for s in _TABLE)
+_PATTERNS = ", ".join(
+    f"('{name}', '|{'|'.join(str(_TABLE[s]) for s in sentences(text))}|')" for name, text in RULES
+)
+ORACLES["op4_license_scan"] = rf"""
+WITH k AS (SELECT [{_KNOWN}] AS known),
+rules(name, pattern) AS (VALUES {_PATTERNS}),
+cut AS (
+  SELECT doc_id, list_filter(list_transform(
+      string_split_regex(coalesce(text, ''), '[.;:!?]+[ \t\r\n]+|[\r\n]+|[.;:!?]+$'),
+      lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS p FROM documents),
+placed AS (SELECT doc_id, unnest(p) AS sentence, unnest(range(0, len(p))) AS place FROM cut),
+found AS (SELECT doc_id, place, list_position(known, sentence) AS id FROM placed, k WHERE list_contains(known, sentence)),
+marked AS (
+  SELECT *, CASE WHEN place - lag(place) OVER (PARTITION BY doc_id ORDER BY place) > 2 THEN '|/|' ELSE '|' END AS mark FROM found),
+lines AS (
+  SELECT doc_id, string_agg(mark || id, '' ORDER BY place) || '|' AS line, string_agg(CAST(id AS VARCHAR), ',' ORDER BY place) AS ids
+  FROM marked GROUP BY 1),
+named AS (
+  SELECT doc_id, string_agg(name, ',' ORDER BY name) AS licenses, count(*) AS n
+  FROM (SELECT DISTINCT doc_id, name FROM lines JOIN rules ON contains(line, pattern)) GROUP BY 1)
+SELECT doc_id, coalesce(ids, '') AS sentence_ids, coalesce(licenses, '') AS licenses, coalesce(n, 0) AS n_licenses
+FROM cut LEFT JOIN lines USING (doc_id) LEFT JOIN named USING (doc_id)"""

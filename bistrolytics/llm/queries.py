@@ -40,7 +40,9 @@ def op3_decontaminate(spark, sf):
 
 @query
 def op4_license_scan(spark, sf):
-    return licenses.scan(table(spark, sf, "documents")).withColumn("licenses", F.array_join("licenses", ","))
+    found = licenses.scan(table(spark, sf, "documents"))
+    ids = F.transform("sentence_ids", lambda i: i.cast("string"))
+    return found.withColumn("sentence_ids", F.array_join(ids, ",")).withColumn("licenses", F.array_join("licenses", ","))
 
 
 @query
