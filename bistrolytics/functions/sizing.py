@@ -56,6 +56,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the shared folder: cuts the lineage, and is read by column."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def running_index(df: DataFrame, keys: list[str], order: str, name: str, width: int = 4096) -> DataFrame:
     """0-based position of each row within ``keys`` by a unique integer ``order`` column.
 

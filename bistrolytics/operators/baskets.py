@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.ml.fpm import FPGrowth
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import fixed
 from ..functions.checks import check_columns, check_range
-from ..functions.sizing import broadcast_if_fits, cut_lineage
+from ..functions.sizing import broadcast_if_fits, written
 from ..sources.artifacts import serve_rules
 from ..sources.export import window_scan
 
@@ -27,31 +28,41 @@ def _readable(order_items: DataFrame) -> DataFrame:
 
 
 def multi_item_lines(order_items: DataFrame) -> DataFrame:
-    """Distinct (order_id, item_id) of orders with 2 or more different items.
+    """(order_id, item_id, first): different items of orders with 2 or more, one of them marked.
 
-    Repeats go before anything is joined, so an order weighs no more than its
-    different items. Both uses of the distinct lines read one shuffle.
+    Lines are dealt by order once; repeats go, and items are counted, inside that partitioning.
     """
-    lines = _readable(order_items).distinct()
-    multi = lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") >= 2)
-    return lines.join(multi.select("order_id"), "order_id", "left_semi")
+    lines = _readable(order_items).repartition("order_id").dropDuplicates(["order_id", "item_id"])
+    order = Window.partitionBy("order_id")
+    return (
+        lines.withColumn("_lowest", F.min("item_id").over(order)).withColumn("_highest", F.max("item_id").over(order))
+        .where(F.col("_lowest") < F.col("_highest"))
+        .select("order_id", "item_id", (F.col("item_id") == F.col("_lowest")).alias("first"))
+    )
 
 
 def basket_profile(order_items: DataFrame) -> DataFrame:
     """One row: raw rows, orders, orders with 2 or more items, different items in those.
 
-    An order has several items when its lowest and highest differ, which is an
-    aggregate that combines before the shuffle.
+    Lines are dealt by order once; what an order adds is known there, and its items leave as
+    counts per item, combined before the second shuffle.
     """
-    orders = _readable(order_items).groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("rows"), (F.min("item_id") < F.max("item_id")).alias("multi")
+    order = Window.partitionBy("order_id")
+    lines = (
+        _readable(order_items).repartition("order_id").groupBy("order_id", "item_id").agg(F.count(F.lit(1)).alias("rows"))
+        .withColumn("_lowest", F.min("item_id").over(order)).withColumn("_highest", F.max("item_id").over(order))
+    )
+    multi, first = F.col("_lowest") < F.col("_highest"), F.col("item_id") == F.col("_lowest")
+    per_item = lines.groupBy("item_id").agg(
+        F.sum("rows").alias("rows"), F.count_if(first).alias("orders"), F.count_if(first & multi).alias("multi"),
+        F.max(multi.cast("int")).alias("used"),
     )
-    items = multi_item_lines(order_items).select(F.count_distinct("item_id")).scalar()
-    return orders.agg(
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("raw_rows"),
-        F.count(F.lit(1)).alias("unique_orders"),
-        F.count_if("multi").alias("multi_item_orders"),
-        items.alias("unique_items"),
+    none = F.lit(0).cast("long")
+    return per_item.agg(
+        F.coalesce(F.sum("rows"), none).alias("raw_rows"),
+        F.coalesce(F.sum("orders"), none).alias("unique_orders"),
+        F.coalesce(F.sum("multi"), none).alias("multi_item_orders"),
+        F.coalesce(F.sum("used"), none).alias("unique_items"),
     )
 
 
@@ -71,9 +82,10 @@ class Transactions:
     """Multi-item baskets, written once and mined at one or more supports."""
 
     def __init__(self, order_items: DataFrame):
-        self.lines = cut_lineage(multi_item_lines(order_items))
-        self.count = self.lines.agg(F.count_distinct("order_id")).first()[0]
-        self.item_counts = cut_lineage(self.lines.groupBy("item_id").agg(F.count(F.lit(1)).alias("freq")))
+        self.lines = written(multi_item_lines(order_items), "basket-lines")
+        per_item = self.lines.groupBy("item_id").agg(F.count(F.lit(1)).alias("freq"), F.count_if("first").alias("orders"))
+        self.item_counts = written(per_item, "basket-items")
+        self.count = self.item_counts.agg(F.coalesce(F.sum("orders"), F.lit(0))).first()[0]
 
     def min_count(self, support: float) -> int:
         return max(1, math.ceil(support * self.count))
@@ -113,11 +125,11 @@ class Transactions:
         least = self.min_count(support)
         frequent = self.item_counts.where(F.col("freq") >= least).select("item_id")
         baskets = (
-            self.lines.join(frequent, "item_id", "left_semi")
+            self.lines.select("order_id", "item_id").join(frequent, "item_id", "left_semi")
             .groupBy("order_id")
             .agg(F.collect_list("item_id").alias("items"))
         )
-        baskets = cut_lineage(baskets.select("items"))
+        baskets = written(baskets.select("items"), "baskets")
         rows = baskets.count()
         if rows == 0:
             kind = dict(self.lines.dtypes)["item_id"]
@@ -125,7 +137,7 @@ class Transactions:
         # The miner counts from the baskets it sees; half a basket less keeps the same cut.
         miner = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / rows)
         found = miner.fit(baskets).freqItemsets
-        return cut_lineage(found.select(F.array_sort("items").alias("items"), "freq"))
+        return written(found.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
 
 
 def frequent_itemsets(order_items: DataFrame, support: float) -> DataFrame:
@@ -175,29 +187,43 @@ def association_rules(itemsets: DataFrame, transactions: int, min_confidence: fl
     """
     check_range("min_confidence", min_confidence, 0.0, 1.0)
     known = itemsets.select("items", "freq")
-    splits = (
-        known.where(F.size("items") >= 2)
-        .withColumn("mask", F.explode(F.expr("sequence(1L, shiftleft(1L, size(items)) - 2L)")))
-        .select(
-            "items", "freq",
-            F.expr("filter(items, (x, i) -> (shiftright(mask, i) & 1L) = 1L)").alias("antecedent"),
-            F.expr("filter(items, (x, i) -> (shiftright(mask, i) & 1L) = 0L)").alias("consequent"),
-        )
-    )
-    rows = known.count()
-    left = broadcast_if_fits(
-        known.select(F.col("items").alias("antecedent"), F.col("freq").alias("freq_a")), rows, 256
+    text = F.array_join(F.transform("items", lambda x: x.cast("string")), ",")
+    rows, size, largest = known.agg(F.count(F.lit(1)), F.sum(F.octet_length(text)), F.max(F.size("items"))).first()
+    row_bytes = -(-(size or 0) // max(1, rows)) + 64
+    left = broadcast_if_fits(known.select(F.col("items").alias("antecedent"), F.col("freq").alias("freq_a")), rows, row_bytes)
+    right = broadcast_if_fits(known.select(F.col("items").alias("consequent"), F.col("freq").alias("freq_c")), rows, row_bytes)
+
+    # The confidence only falls when an item moves from the antecedent to the consequent, so a
+    # consequent is tried only if it can be put together from two that held, one item shorter.
+    tried = known.where(F.size("items") >= 2).select("items", "freq", F.explode("items").alias("_one")).select(
+        "items", "freq", F.array("_one").alias("consequent")
     )
-    right = broadcast_if_fits(
-        known.select(F.col("items").alias("consequent"), F.col("freq").alias("freq_c")), rows, 256
-    )
-    confidence = F.col("freq") / F.col("freq_a")
+    held, level = [], 1
+    while True:
+        confidence = F.col("freq") / F.col("freq_a")
+        kept = (
+            tried.withColumn("antecedent", F.array_except("items", "consequent"))
+            .join(left, "antecedent").where(confidence >= min_confidence)
+            .select("items", "antecedent", "consequent", "freq", "freq_a", confidence.alias("confidence"))
+        )
+        level += 1
+        if level >= (largest or 0):
+            held.append(kept)
+            break
+        kept = written(kept, "rules")
+        held.append(kept)
+        if level > 2 and kept.isEmpty():
+            break
+        head = F.slice("consequent", F.lit(1), F.size("consequent") - 1)
+        a = kept.where(F.size("items") > level).select("items", "freq", head.alias("head"), F.element_at("consequent", -1).alias("x"))
+        b = a.select("items", "head", F.col("x").alias("y"))
+        tried = a.join(b, ["items", "head"]).where(F.col("x") < F.col("y")).select(
+            "items", "freq", F.concat("head", F.array("x", "y")).alias("consequent")
+        )
+    rules = functools.reduce(DataFrame.unionByName, held)
     lift = (F.col("freq") * F.lit(transactions)).cast("double") / (F.col("freq_a") * F.col("freq_c"))
-    return (
-        splits.join(left, "antecedent")
-        .where(confidence >= min_confidence)
-        .join(right, "consequent")
-        .select("items", "antecedent", "consequent", "freq", confidence.alias("confidence"), lift.alias("lift"))
+    return rules.join(right, "consequent").select(
+        "items", "antecedent", "consequent", "freq", "confidence", lift.alias("lift")
     )
 
 
