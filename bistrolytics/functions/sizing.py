@@ -11,9 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
-def broadcast_limit(spark: SparkSession) -> int:
-    """Bytes up to which a side may be broadcast; follows the session's own threshold."""
-    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").strip().lower()
+def bytes_setting(spark: SparkSession, key: str, default: str) -> int:
+    """A size from the session's settings, in bytes."""
+    text = spark.conf.get(key, default).strip().lower()
     units = {"kb": 1 << 10, "mb": 1 << 20, "gb": 1 << 30, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "b": 1}
     for suffix, scale in units.items():
         if text.endswith(suffix):
@@ -21,6 +21,11 @@ def broadcast_limit(spark: SparkSession) -> int:
     return int(text)
 
 
+def broadcast_limit(spark: SparkSession) -> int:
+    """Bytes up to which a side may be broadcast; follows the session's own threshold."""
+    return bytes_setting(spark, "spark.sql.autoBroadcastJoinThreshold", "10485760")
+
+
 def broadcast_if_fits(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Hint a broadcast only when the counted rows fit the session's threshold."""
     if rows * row_bytes <= broadcast_limit(df.sparkSession):

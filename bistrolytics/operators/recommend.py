@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import fixed
 from ..functions.checks import check_columns, check_range
 from ..functions.sizing import broadcast_if_fits, cut_lineage
 from .fusion import on_grid
-from .similarity import cosine_topk, cosine_topk_outside_group
+from .similarity import cosine_topk
 
 SMALL_CART = 32
 
@@ -19,22 +21,22 @@ def _attributes(items: DataFrame, ctr: DataFrame) -> DataFrame:
     return items.select("item_id", category.alias("category")).join(ctr.select("item_id", "ctr"), "item_id", "left")
 
 
-def _small_cart_hits(
-    lines: DataFrame, items: DataFrame, facts: DataFrame, depth: int, small_cart: int, **search
+def _cart_hits(
+    lines: DataFrame, items: DataFrame, facts: DataFrame, depth: int, most: int, **search
 ) -> DataFrame:
-    """(cart_id, item_id, rank, similar, ctr) for carts of bounded size, from one neighbour list per item.
+    """(cart_id, item_id, rank, similar, ctr) for carts of at most ``most`` items, from one neighbour list per item.
 
-    A cart removes at most ``small_cart`` entries from a list, so lists of
-    ``depth + small_cart`` always keep enough. A cart is one row with its members
-    and categories; removing, re-ranking and the category test happen inside the
-    row, and everything after it stays in the partitioning by cart.
+    A cart removes at most ``most`` entries from a list, so lists of ``depth + most``
+    always keep enough. A cart is one row with its members and categories; removing,
+    re-ranking and the category test happen inside the row, and everything after it
+    stays in the partitioning by cart.
     """
     carts = lines.groupBy("cart_id").agg(
         F.collect_set("item_id").alias("members"), F.collect_set("category").alias("categories")
     )
     asked = lines.select("item_id").distinct().join(items.select("item_id", "vector"), "item_id")
     near = cosine_topk(
-        asked.select(F.col("item_id").alias("query_id"), "vector"), items, depth + small_cart, **search
+        asked.select(F.col("item_id").alias("query_id"), "vector"), items, depth + most, **search
     )
     entries = F.array_sort(F.collect_list(F.struct("rank", "item_id", "category", "ctr")))
     lists = (
@@ -43,7 +45,8 @@ def _small_cart_hits(
         .agg(entries.alias("near"))
         .withColumnRenamed("query_id", "item_id")
     )
-    lists = broadcast_if_fits(lists, items.count(), 64 * (depth + small_cart))
+    letters = facts.agg(F.coalesce(F.max(F.octet_length("category")), F.lit(0))).first()[0]
+    lists = broadcast_if_fits(lists, asked.count(), (64 + letters) * (depth + most))
     others = F.filter("near", lambda n: ~F.array_contains("members", n["item_id"]))
     known = F.coalesce(F.array_contains("categories", F.col("n.category")), F.lit(False))
     return (
@@ -57,28 +60,6 @@ def _small_cart_hits(
     )
 
 
-def _large_cart_hits(lines: DataFrame, items: DataFrame, facts: DataFrame, depth: int, **search) -> DataFrame:
-    """The same for carts of any size: members leave the item blocks before scoring."""
-    asked = lines.join(items.select("item_id", "vector"), "item_id").select(
-        F.struct("cart_id", F.col("item_id").alias("asked")).alias("key"), F.col("cart_id").alias("grp"), "vector"
-    )
-    near = cosine_topk_outside_group(
-        asked.select(F.to_json("key").alias("query_id"), "grp", "vector"),
-        items,
-        lines.select(F.col("cart_id").alias("grp"), "item_id"),
-        depth,
-        **search,
-    )
-    kind = dict(lines.dtypes)["cart_id"]
-    held = lines.where(F.col("category").isNotNull()).select("cart_id", "category").distinct()
-    return (
-        near.select(F.get_json_object("query_id", "$.cart_id").cast(kind).alias("cart_id"), "item_id", "rank")
-        .join(facts, "item_id", "left")
-        .join(held.withColumn("_held", F.lit(True)), ["cart_id", "category"], "left")
-        .select("cart_id", "item_id", "rank", F.coalesce("_held", F.lit(False)).alias("similar"), "ctr")
-    )
-
-
 def _fused(hits: DataFrame) -> DataFrame:
     """(cart_id, item_id, rrf, similar, ctr): the votes of a cart's items for each candidate."""
     return hits.groupBy("cart_id", "item_id").agg(
@@ -108,20 +89,21 @@ def recommend(
         carts.join(facts.select("item_id", "category"), "item_id").select("cart_id", "item_id", "category").distinct()
     )
 
-    sizes = lines.groupBy("cart_id").agg(F.count(F.lit(1)).alias("_size"))
-    large = sizes.where(F.col("_size") > small_cart).select("cart_id")
-    if large.isEmpty():
-        fused = _fused(_small_cart_hits(lines, usable, facts, depth, small_cart, **search))
-        topped = fused.withColumn("_top", F.max("rrf").over(Window.partitionBy("cart_id")))
-    else:
-        small_lines = lines.join(large, "cart_id", "left_anti")
-        fused = _fused(_small_cart_hits(small_lines, usable, facts, depth, small_cart, **search))
-        topped = fused.withColumn("_top", F.max("rrf").over(Window.partitionBy("cart_id")))
-        # The best sum of a large cart is an aggregate: a window would hold all its candidates in one task.
-        large_lines = lines.join(large, "cart_id", "left_semi")
-        wide = cut_lineage(_fused(_large_cart_hits(large_lines, usable, facts, depth, **search)))
-        tops = wide.groupBy("cart_id").agg(F.max("rrf").alias("_top"))
-        topped = topped.unionByName(wide.join(tops, "cart_id"))
+    # Carts go by size class: small ones together, larger ones by the next power of two. The lists of
+    # a class are as deep as its carts need, and their number does not depend on how many carts there are.
+    power = F.ceil(F.log2(F.col("_size"))).cast("int")
+    classed = cut_lineage(
+        lines.groupBy("cart_id").agg(F.count(F.lit(1)).alias("_size"))
+        .select("cart_id", F.when(F.col("_size") <= small_cart, F.lit(0)).otherwise(power).alias("_class"))
+    )
+    classes = sorted(r[0] for r in classed.select("_class").distinct().collect()) or [0]
+    parts = []
+    for cls in classes:
+        own = lines.join(classed.where(F.col("_class") == cls).select("cart_id"), "cart_id", "left_semi")
+        parts.append(_fused(_cart_hits(own, usable, facts, depth, 2**cls if cls else small_cart, **search)))
+    fused = functools.reduce(DataFrame.unionByName, parts)
+    tops = F.max("rrf").over(Window.partitionBy("cart_id"))
+    topped = fused.withColumn("_top", tops)
 
     best = Window.partitionBy("cart_id").orderBy(F.col("_grid").desc(), "menu_item_id")
     share = F.col("rrf") / F.when(F.col("_top") > 0, F.col("_top")).otherwise(F.lit(1.0))

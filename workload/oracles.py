@@ -445,6 +445,8 @@ FROM ranked WHERE rank <= 5
 UNION ALL
 SELECT cart_id, 0, -1, 0.0, '', 'fallback', '{RECOMMEND_VERSION}' FROM ({_FALLBACK_CARTS})"""
 
+ORACLES["recommend_large_carts"] = ORACLES["recommend_carts"].replace("l_orderkey", "l_suppkey")
+
 # Chat
 
 _TURNS = """

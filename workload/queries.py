@@ -318,6 +318,15 @@ def recommend_fallback(spark, sf):
     return _recommended(spark, sf).where(F.col("source") == "fallback").select("cart_id", "source", "model_version")
 
 
+@query
+def recommend_large_carts(spark, sf):
+    """Everything a supplier delivers as one cart: far more than 32 items each."""
+    lines = src.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("cart_id"), F.col("l_partkey").alias("item_id"))
+    rates = ctr.smoothed_ctr(ctr_counters(spark, sf))
+    found = recommend(lines, src.vectors(spark, sf), rates, 5)
+    return found.fillna({"rank": 0, "menu_item_id": -1, "score": 0.0, "reason": ""})
+
+
 # Chat
 
 
