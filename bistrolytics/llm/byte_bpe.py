@@ -6,8 +6,8 @@ merged token of a pair of neighbours, and each step of the fold merges the leftm
 rank. Decoding concatenates the tokens' bytes.
 
 Nothing is shuffled and only the rank table, of fixed size, is sent to tasks. A task works in chunks
-of about ``CHUNK_BYTES`` of text (a longer document is a chunk of its own) and remembers up to
-``KNOWN_WORDS`` pieces from chunk to chunk. The more text a task reads, the more often a piece is
+of about ``CHUNK_BYTES`` of text (a longer document is a chunk of its own) and remembers the first
+``KNOWN_WORDS`` pieces from chunk to chunk; others are encoded once per chunk. The more text a task reads, the more often a piece is
 met again, so input splits are joined to about ``TASK_BYTES`` of text, while there are enough of
 them for all cores. A piece of over ``FOLD_LIMIT`` bytes (its fold would take
 time with the square of its length) is merged by the library, with the same ranks.
@@ -21,6 +21,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
+import unicodedata
 import zlib
 from collections.abc import Callable
 
@@ -30,10 +32,10 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .texts import cut
+from .texts import bounded_batches, cut
 
-CHUNK_BYTES = 8 << 20
-KNOWN_WORDS = 1 << 20
+CHUNK_BYTES = 1 << 20
+KNOWN_WORDS = 200_000
 TASK_BYTES = 128 << 20
 FOLD_LIMIT = 256
 _BUCKETS = 1 << 16
@@ -46,10 +48,32 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def splitter(pattern: str) -> regex.Pattern:
-    """The pattern with its white space written out."""
-    wide = pattern.replace(r"[^\s", "[^" + _SPACE).replace(r"\s+(?!\S)", f"[{_SPACE}]+(?![^{_SPACE}])").replace(r"\s+", f"[{_SPACE}]+")
-    return regex.compile(wide)
+def _written_out(pattern: str, space: str, letters: str, digits: str) -> str:
+    wide = pattern.replace(r"[^\s", "[^" + space).replace(r"\s+(?!\S)", f"[{space}]+(?![^{space}])").replace(r"\s+", f"[{space}]+")
+    return wide.replace(r"[^" + space + r"\p{L}\p{N}]", f"[^{space}{letters}{digits}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{digits}]")
+
+
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """Cuts a text into the pattern's pieces.
+
+    The classes are written out: white space as the library means it, and for texts within Latin-1
+    also letters and digits, which the plain engine matches faster.
+    """
+    kinds = {c: unicodedata.category(chr(c))[0] for c in range(256)}
+    latin = ["".join(f"\\x{c:02x}" for c in range(256) if kinds[c] == kind) for kind in "LN"]
+    narrow = re.compile(_written_out(pattern, "\\t-\\r \\x85\\xa0", *latin)).findall
+    wide = regex.compile(
+        _written_out(pattern, _SPACE, r"\p{L}", r"\p{N}").replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}")
+    ).findall
+
+    def pieces(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return wide(text)
+        return narrow(text)
+
+    return pieces
 
 
 def _char(token: int) -> str:
@@ -99,7 +123,7 @@ def fold(word: Column, merged: Column) -> Column:
 _CHUNK = StructType(
     [
         StructField("docs", BinaryType()), StructField("known", BinaryType()), StructField("sizes", BinaryType()),
-        StructField("index", BinaryType()), StructField("before", IntegerType()), StructField("words", ArrayType(StringType())), StructField("long", ArrayType(BinaryType())),
+        StructField("index", BinaryType()), StructField("kept", IntegerType()), StructField("words", ArrayType(StringType())), StructField("long", ArrayType(BinaryType())),
     ]
 )
 
@@ -107,21 +131,19 @@ _CHUNK = StructType(
 def _chunks(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """One row per chunk: ids, pieces per document, pieces as places in the list of distinct words.
 
-    A row has the words that are new in it; ``before`` says how many came earlier (0: a new list).
+    A row has the words that are new in it; the first ``kept`` of them stay known, with their places,
+    for the rows that follow.
     """
 
     def run(batches):
-        find = splitter(pattern).findall
+        find = splitter(pattern)
         start = {i: _char(ranks[bytes([i])]) for i in range(256)}
-        whole = {piece.decode("utf-8", "ignore"): rank for piece, rank in ranks.items()}
-        whole = {text: rank for text, rank in whole.items() if text and ranks.get(text.encode()) == rank}
-
-        def row(ids, nulls, sizes, index, before, words):
+        def row(ids, nulls, sizes, index, kept, words):
             plain = [w.encode().decode("latin-1").translate(start) for w in words]
             big = [w.encode() if len(p) > FOLD_LIMIT else None for w, p in zip(words, plain)]
             out = [
                 np.asarray(ids, np.int64).tobytes(), np.asarray(nulls, bool).tobytes(), np.asarray(sizes, "<i4").tobytes(),
-                b"".join(index), before, [p if b is None else None for p, b in zip(plain, big)], [b for b in big if b is not None],
+                b"".join(index), kept, [p if b is None else None for p, b in zip(plain, big)], [b for b in big if b is not None],
             ]
             return pa.RecordBatch.from_arrays(
                 [pa.array([x], kind) for x, kind in zip(out, (pa.binary(),) * 4 + (pa.int32(), pa.list_(pa.string()), pa.list_(pa.binary())))],
@@ -130,6 +152,14 @@ def _chunks(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
 
         ids, nulls, sizes, index, words, size, before = [], [], [], [], [], 0, 0
         places: dict[str, int] = {}
+
+        def kept_words() -> int:
+            """Forgets what is beyond the known words."""
+            stay = max(0, min(len(words), KNOWN_WORDS - before))
+            for word in words[stay:]:
+                del places[word]
+            return stay
+
         for batch in batches:
             batch = batch.set_column(1, "text", batch.column(1).cast(pa.binary()))
             for part in cut(batch, "text"):
@@ -139,7 +169,7 @@ def _chunks(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
                     pieces = find(text.decode("utf-8", "replace"))
                     for piece in set(pieces):
                         if piece not in places:
-                            rank = whole.get(piece)
+                            rank = ranks.get(piece.encode())
                             if rank is None:
                                 places[piece] = before + len(words)
                                 words.append(piece)
@@ -151,13 +181,12 @@ def _chunks(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
                     index.append(np.fromiter(map(places.__getitem__, pieces), "<i4", len(pieces)).tobytes())
                     size += len(text)
                     if size >= CHUNK_BYTES:
-                        yield row(ids, nulls, sizes, index, before, words)
-                        before += len(words)
-                        if len(places) > KNOWN_WORDS:
-                            places, before = {}, 0
+                        stay = kept_words()
+                        yield row(ids, nulls, sizes, index, stay, words)
+                        before += stay
                         ids, nulls, sizes, index, words, size = [], [], [], [], [], 0
         if ids:
-            yield row(ids, nulls, sizes, index, before, words)
+            yield row(ids, nulls, sizes, index, 0, words)
 
     return docs.withColumnRenamed("_text", "text").mapInArrow(run, _CHUNK)
 
@@ -172,6 +201,7 @@ def encode(
     fields: list[tuple] = (),
 ) -> DataFrame:
     """(doc_id, ids) of every document; with ``derive``, its ``fields`` of the ids instead of ids."""
+    bounded_batches(docs.sparkSession)
     ranks = load_ranks(ranks_path)
     if max(ranks.values()) + 2 >= 0xD800:
         raise ValueError("ranks must stay below 55,294: a token is one character of the basic plane")
@@ -180,7 +210,7 @@ def encode(
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
     merged = pair_map(ranks)
     folded = _chunks(keyed.coalesce(int(tasks)), ranks, pattern).select(
-        "docs", "known", "sizes", "index", "before", F.transform("words", lambda w: fold(w, merged)).alias("words"), "long"
+        "docs", "known", "sizes", "index", "kept", F.transform("words", lambda w: fold(w, merged)).alias("words"), "long"
     )
     made = [(name, kind) for name, kind in fields] if derive else [("ids", ArrayType(IntegerType(), False))]
     schema = StructType([StructField("doc_id", LongType())] + [StructField(n, k) for n, k in made])
@@ -189,9 +219,9 @@ def encode(
         library = None
         codes, first = np.zeros(0, np.int64), np.zeros(1, np.int64)
         for batch in batches:
-            for chunk in batch.to_pylist():
-                if chunk["before"] == 0:
-                    codes, first = codes[:0], first[:1]
+            for k in range(batch.num_rows):
+                chunk = {name: batch.column(name)[k].as_py() for name in _CHUNK.names}
+                known = len(first) + chunk["kept"]
                 words = chunk["words"]
                 if chunk["long"]:
                     if library is None:
@@ -216,6 +246,8 @@ def encode(
                         rows = []
                 if rows:
                     yield finish(rows)
+                first = first[:known].copy()
+                codes = codes[: first[-1]].copy()
 
     def finish(rows):
         head = pa.array([doc for doc, _ in rows], pa.int64())
@@ -253,6 +285,7 @@ def decoder(ranks: dict[bytes, int]) -> Callable[[np.ndarray], bytes]:
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """(doc_id, text) of encoded documents; text is binary, since ids may end within a character."""
+    bounded_batches(encoded.sparkSession)
     ranks = load_ranks(ranks_path)
 
     def run(batches):

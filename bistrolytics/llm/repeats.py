@@ -31,7 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ByteType, LongType, StringType, StructField, StructType
 
-from .texts import Words, cut, places, plain_words, windows, written
+from bistrolytics.functions.sizing import written
+
+from .texts import Words, bounded_batches, cut, places, plain_words, windows
 
 _NO_ID = -(1 << 63)
 #: A place is the checksum of the text above the word's number, which orders rows with one id.
@@ -248,6 +250,7 @@ def _sorted(rows: DataFrame) -> DataFrame:
 
 def gone_words(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, at, n): stretches of words to remove; ``doc`` is the id (least long for null)."""
+    bounded_batches(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
     first = written(_repeats_in(_sorted(_stretches(keyed, window)), window), "repeats")
     edges = first.where(F.col("kind") == _STRETCH)

@@ -37,7 +37,9 @@ from pyspark.sql.types import (
     ArrayType, BinaryType, IntegerType, LongType, StructField, StructType,
 )
 
-from .texts import Words, cut, folded_words, places, windows, written
+from bistrolytics.functions.sizing import written
+
+from .texts import Words, bounded_batches, cut, folded_words, places, windows
 
 COMMON = 64
 BUCKET_BYTES = 16 << 20
@@ -224,6 +226,7 @@ def _profiles(labelled: DataFrame, bits: int, percent: int) -> DataFrame:
 
 
 def profiles(docs: DataFrame, length: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    bounded_batches(docs.sparkSession)
     keyed = docs.select(
         F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)).alias("doc"), docs[text_col].cast("string").alias("_text")
     )

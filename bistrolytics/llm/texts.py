@@ -12,13 +12,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from bistrolytics.functions.sizing import scratch_dir
+from bistrolytics.functions.sizing import bytes_setting
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Rows of long texts would make large Arrow batches, of which Spark bounds the number of rows only.
+BATCH_BYTES = 8 << 20
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ALNUM = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in _FOLD)
@@ -42,7 +44,7 @@ def alnum_words(text: bytes | None) -> list[bytes]:
 class Words(dict):
     """64-bit hash of each word, remembered for up to ``limit`` words."""
 
-    def __init__(self, limit: int = 1 << 19):
+    def __init__(self, limit: int = 1 << 18):
         super().__init__()
         self.limit = limit
 
@@ -79,6 +81,13 @@ def windows(hashes: np.ndarray, length: int) -> np.ndarray:
     return _mixed(first[:n], rest[half : half + n])
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bytes per Arrow batch to BATCH_BYTES; results do not depend on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < bytes_setting(spark, key, "64m") <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def cut(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``limit`` bytes of ``column``."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -104,6 +113,7 @@ def per_document(
     null), then the values of the ``extra`` columns, and gives a list or array for each of
     ``fields`` (name, Spark type). Inside, columns go by number, so no names can clash.
     """
+    bounded_batches(docs.sparkSession)
     head = [id_col, *keep]
     inner = [f"c{k}" for k in range(len(head))]
     schema = StructType(
@@ -136,10 +146,3 @@ def per_document(
 def places(counts: list[int] | np.ndarray) -> np.ndarray:
     """Start of each document in the concatenated words, with the end."""
     return np.concatenate([[0], np.cumsum(np.asarray(counts, np.int64))]).astype(np.int64)
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows as a table in the shared folder: cuts the lineage, and is read instead of made again."""
-    path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

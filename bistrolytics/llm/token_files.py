@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .texts import SLICE_BYTES, cut
+from .texts import SLICE_BYTES, bounded_batches, cut
 
 #: Words whose ids a Python worker remembers, from task to task; a full memory keeps the last slice's.
 CACHED_WORDS = 800_000
@@ -157,6 +157,7 @@ def write_ids(
                 )
                 at += int(ends[-1])
 
+    bounded_batches(docs.sparkSession)
     placed = (
         docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("_text"))
         .repartitionByRange("doc_id")
@@ -186,6 +187,7 @@ def positions(spark: SparkSession, path: str) -> DataFrame:
     ``start`` is the place in the block plus the ids of all blocks before. The blocks' totals come
     from two narrow columns; there is one row per written partition, so they may be broadcast.
     """
+    bounded_batches(spark)
     rows = read_ids(spark, path)
     totals = rows.groupBy("block").agg(F.sum("n_ids").alias("_ids"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
