@@ -229,12 +229,19 @@ def _one_pass(docs, items, window, id_col, text_col, fields, keep):
     return per_document(docs, _finder(TestSuffixes(rows, window)), fields, id_col, text_col, keep)
 
 
-def clean(docs: DataFrame, tests: DataFrame, window: int = 10, **columns) -> DataFrame:
+def clean(
+    docs: DataFrame, tests: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
     """The documents that hold no window of a test item, with all their columns."""
-    text_col = columns.get("text_col", "text")
-    found = matches(docs, tests, window, keep=tuple(c for c in docs.columns if c != columns.get("id_col", "doc_id")), **columns)
-    assert text_col in found.columns
-    return found.where(F.size("spans") == 0).select(*docs.columns)
+    inner = [f"d{k}" for k in range(len(docs.columns))]
+    named = dict(zip(docs.columns, inner))
+    own_id = named[id_col]
+    found = matches(
+        docs.toDF(*inner), tests, window, own_id, named[text_col], item_col, item_text_col,
+        keep=tuple(c for c in inner if c != own_id),
+    )
+    return found.where(F.size("spans") == 0).select(*inner).toDF(*docs.columns)
 
 
 def hit_words(spans):

@@ -209,8 +209,15 @@ def score(
     return per_document(inner, make, fields, id_col, "_text", tuple(c for c in keep if c != id_col), extra=("_source", "_lang", "_chars"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def keep_good(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    lang_col: str = "lang", chars_col: str = "n_chars", **options,
+) -> DataFrame:
     """The documents that the classifier keeps, with all their columns."""
-    model = train(docs, labels, **options)
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    return score(docs, model, keep=others).where("kept").select(*docs.columns)
+    inner = [f"d{k}" for k in range(len(docs.columns))]
+    named = dict(zip(docs.columns, inner))
+    columns = [named[c] for c in (id_col, text_col, source_col, lang_col, chars_col)]
+    plain, taught = docs.toDF(*inner), labels.withColumnRenamed(id_col, columns[0])
+    model = train(plain, taught, *columns, **options)
+    scored = score(plain, model, *columns, keep=tuple(c for c in inner if c != columns[0]))
+    return scored.where("kept").select(*inner).toDF(*docs.columns)
