@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.catalog import apply_changes, latest_changes
+from .folding import compact, read_batches
 
 
 def start_catalog_stream(
@@ -30,7 +31,14 @@ def start_catalog_stream(
 
 
 def read_changes(spark: SparkSession, log_dir: str, schema) -> DataFrame:
-    return spark.read.schema(schema).parquet(log_dir)
+    return read_batches(spark, log_dir, schema).drop("batch_id")
+
+
+def compact_changes(
+    spark: SparkSession, log_dir: str, schema, up_to_batch: int, key: str = "menu_item_id", seq: str = "seq"
+) -> None:
+    """Fold the batches up to ``up_to_batch`` into the last change per key."""
+    compact(spark, log_dir, schema, up_to_batch, lambda rows: latest_changes(rows, key, seq))
 
 
 def current_catalog(snapshot: DataFrame, log: DataFrame, key: str = "menu_item_id", seq: str = "seq") -> DataFrame:

@@ -8,9 +8,6 @@ import pytest
 import check
 from __spark_entry__ import SMOKE_DIR, entry, oracle_sql, queries
 
-SLOW = {"support_sweep", "combos_adaptive", "combos_window", "combos_saved", "combo_rules_train", "cosine_topk_cells",
-        "bm25_topk_shuffled", "hybrid_rrf_excluding", "recommend_fallback"}
-
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMOKE_DIR), reason="sample tables not present")
 
 
@@ -22,7 +19,7 @@ def db():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(set(oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_equals_sql(spark, db, name):
     df = queries()[name](spark, SMOKE_DIR)
     relation = db.sql(oracle_sql()[name])
