@@ -1,7 +1,8 @@
 """Language of a text by compression.
 
 Each language has a zstandard raw-content dictionary made of its own texts. A text is lower-cased,
-cut into chunks and compressed with each dictionary; the language with the smallest total is
+everything but letters becomes a space (else punctuation and layout would decide), and it is cut
+into chunks that are compressed with each dictionary; the language with the smallest total is
 chosen. Where the second is hardly larger the choice is marked as not accepted.
 
 Learning reads ``sample_docs`` texts per language (those with the smallest hash of their id, so the
@@ -9,8 +10,9 @@ choice does not depend on the order of rows) and keeps ``dictionary_bytes`` of t
 dictionaries, which are sent to every task. Prediction reads the whole of every text.
 
 Nulls: a null text, and one without a letter, is ``und`` with score 0; rows without language or text
-teach nothing; a null id stays. Without any language to learn all texts are ``und``. Equal totals
-choose the language first in alphabetical order, with score 0. Other columns are ignored.
+teach nothing; a null id stays. Without any language to learn all texts are ``und``. Equal totals, as
+very short texts have them, choose the language with more texts to learn from, with score 0. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,20 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType
 from .texts import per_document
 
 UNKNOWN = "und"
-_LETTER = regex.compile(r"\p{L}")
+
+
+_SPACES = bytes(c if chr(c).isalpha() else 32 for c in range(256))
+_NO_LETTERS = regex.compile(r"\P{L}+")
+
+
+def letters(text: str) -> bytes:
+    """Lower-case words of letters, one space between them."""
+    low = text.lower()
+    try:
+        plain = low.encode("latin-1").translate(_SPACES)
+    except UnicodeEncodeError:
+        return _NO_LETTERS.sub(" ", low).strip().encode()
+    return b" ".join(plain.split()).decode("latin-1").encode()
 
 
 def learn(
@@ -34,7 +49,7 @@ def learn(
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> dict[str, bytes]:
-    """Raw dictionary content per language."""
+    """Raw dictionary content per language, the language with most texts first."""
     rows = labelled.where(labelled[lang_col].isNotNull() & labelled[text_col].isNotNull()).select(
         labelled[id_col].alias("_id"), labelled[lang_col].cast("string").alias("_lang"), labelled[text_col].cast("string").alias("_text")
     )
@@ -47,8 +62,9 @@ def learn(
     )
     made: dict[str, bytes] = {}
     for row in sorted(texts.collect(), key=lambda r: (r["_lang"], str(r["_id"]), r["_text"])):
-        made[row["_lang"]] = made.get(row["_lang"], b"") + row["_text"].lower().encode() + b"\n"
-    return {lang: data[:dictionary_bytes] for lang, data in sorted(made.items())}
+        made[row["_lang"]] = made.get(row["_lang"], b"") + letters(row["_text"]) + b"\n"
+    often = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().collect()}
+    return {lang: made[lang][:dictionary_bytes] for lang in sorted(made, key=lambda x: (-often.get(x, 0), x))}
 
 
 def predict(
@@ -56,13 +72,13 @@ def predict(
     dictionaries: dict[str, bytes],
     min_margin: float = 0.02,
     chunk: int = 4096,
-    level: int = 3,
+    level: int = 6,
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """lang_pred, score (how much larger the second is, 0 to 1) and accepted of every document."""
-    names = sorted(dictionaries)
+    names = list(dictionaries)
 
     def make():
         packers = []
@@ -74,14 +90,13 @@ def predict(
             )
 
         def one(text: bytes | None):
-            plain = text.decode("utf-8", "replace").lower() if text else ""
-            if not packers or not _LETTER.search(plain):
+            data = letters(text.decode("utf-8", "replace")) if text else b""
+            if not packers or not data:
                 return UNKNOWN, 0.0, False
-            data = plain.encode()
             chunks = [data[a : a + chunk] for a in range(0, len(data), chunk)]
-            sizes = sorted((sum(len(p.compress(c)) for c in chunks), name) for p, name in zip(packers, names))
+            sizes = sorted((sum(len(p.compress(c)) for c in chunks), k) for k, p in enumerate(packers))
             margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0] if len(sizes) > 1 else 1.0
-            return sizes[0][1], margin, margin >= min_margin
+            return names[sizes[0][1]], margin, margin >= min_margin
 
         def derive(texts):
             langs, scores, accepted = zip(*map(one, texts))
