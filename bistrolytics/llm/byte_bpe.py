@@ -38,7 +38,7 @@ CHUNK_BYTES = 1 << 20
 KNOWN_WORDS = 200_000
 TASK_BYTES = 128 << 20
 FOLD_LIMIT = 256
-_BUCKETS = 1 << 16
+_BUCKETS = 1 << 15
 #: White space as the library's pattern means it.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -82,14 +82,16 @@ def _char(token: int) -> str:
 
 def pair_map(ranks: dict[bytes, int]) -> Column:
     """Literal: for each hash bucket a map from a pair of tokens to the merged one."""
-    buckets: list[dict[str, str]] = [{} for _ in range(_BUCKETS)]
+    buckets: list[list[str]] = [[] for _ in range(_BUCKETS)]
     for piece, rank in ranks.items():
         for k in range(1, len(piece)):
             left, right = ranks.get(piece[:k]), ranks.get(piece[k:])
             if left is not None and right is not None:
                 pair = _char(left) + _char(right)
-                buckets[zlib.crc32(pair.encode()) % _BUCKETS][pair] = _char(rank)
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,string>>")
+                entry = json.dumps(pair, ensure_ascii=False) + ":" + json.dumps(_char(rank), ensure_ascii=False)
+                buckets[zlib.crc32(pair.encode()) % _BUCKETS].append(entry)
+    text = "[" + ",".join("{" + ",".join(entries) + "}" for entries in buckets) + "]"
+    return F.from_json(F.lit(text), "array<map<string,string>>")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -128,7 +130,7 @@ _CHUNK = StructType(
 )
 
 
-def _chunks(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+def _chunks(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """One row per chunk: ids, pieces per document, pieces as places in the list of distinct words.
 
     A row has the words that are new in it; the first ``kept`` of them stay known, with their places,
@@ -136,7 +138,7 @@ def _chunks(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
     """
 
     def run(batches):
-        find = splitter(pattern)
+        find, ranks = splitter(pattern), load_ranks(ranks_path)
         start = {i: _char(ranks[bytes([i])]) for i in range(256)}
         def row(ids, nulls, sizes, index, kept, words):
             plain = [w.encode().decode("latin-1").translate(start) for w in words]
@@ -209,7 +211,7 @@ def encode(
     size = keyed.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
     merged = pair_map(ranks)
-    folded = _chunks(keyed.coalesce(int(tasks)), ranks, pattern).select(
+    folded = _chunks(keyed.coalesce(int(tasks)), ranks_path, pattern).select(
         "docs", "known", "sizes", "index", "kept", F.transform("words", lambda w: fold(w, merged)).alias("words"), "long"
     )
     made = [(name, kind) for name, kind in fields] if derive else [("ids", ArrayType(IntegerType(), False))]
@@ -227,7 +229,7 @@ def encode(
                     if library is None:
                         import tiktoken
 
-                        library = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+                        library = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=load_ranks(ranks_path), special_tokens={})
                     rest = iter(chunk["long"])
                     words = ["".join(map(_char, library.encode_ordinary(next(rest).decode()))) if w is None else w for w in words]
                 codes = np.concatenate([codes, np.frombuffer("".join(words).encode("utf-16-le"), "<u2").astype(np.int64) - 2])

@@ -150,7 +150,7 @@ def _features(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     lang_col: str = "lang", chars_col: str = "n_chars", label_col: str = "quality",
-    max_labelled: int = 15_000, max_pool: int = 15_000, **options,
+    max_labelled: int = 10_000, max_pool: int = 10_000, **options,
 ) -> CoTrained | None:
     known = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull()).select(
         labels[id_col].alias("_id"), (labels[label_col] > 0).cast("double").alias("_y")
@@ -166,11 +166,15 @@ def train(
     plain = chosen.select(
         F.struct(F.col("_join"), F.col("_y")).alias("_key"), *[chosen[c].alias(f"_{k}") for k, c in enumerate(names[1:])]
     )
-    rows = _features(plain, "_key", "_0", "_1", "_2", "_3").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r["_id"]["_join"]).encode()), str(r["_id"])))
-    text = np.asarray([r["_shape"] for r in rows])
-    meta = np.asarray([meta_features(r["_source"], r["_lang"], r["_chars"]) for r in rows])
-    y = np.asarray([np.nan if r["_id"]["_y"] is None else r["_id"]["_y"] for r in rows])
+    made = _features(plain, "_key", "_0", "_1", "_2", "_3").select(
+        F.col("_id._join").cast("string").alias("id"), F.col("_id._y").alias("y"), "_shape", "_source", "_lang", "_chars"
+    ).toArrow()
+    # the same order on every run: by a checksum of the id, then by all that is known of the row
+    ids = made.column("id").to_pylist()
+    order = np.lexsort([made.column("y").to_numpy(), np.asarray(ids, dtype="U"), [zlib.crc32((i or "").encode()) for i in ids]])
+    text = np.stack(made.column("_shape").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]) if ids else np.zeros((0, 1))
+    meta = np.asarray([meta_features(*(made.column(c)[int(k)].as_py() for c in ("_source", "_lang", "_chars"))) for k in order])
+    y = made.column("y").to_numpy().astype(float)[order]
     told = ~np.isnan(y)
     if not told.any():
         return None
