@@ -43,7 +43,8 @@ from .texts import Words, bounded_batches, cut, folded_words, places, windows
 
 COMMON = 64
 BUCKET_BYTES = 16 << 20
-_NO_ID = -(1 << 63)
+#: Stands for a null id, after all others, so that a component is named by a real id where it has one.
+_NO_ID = (1 << 63) - 1
 _PACK = StructType(
     [
         StructField("to", LongType()), StructField("block", LongType()), StructField("bucket", IntegerType()),

@@ -74,3 +74,18 @@ def test_registered(spark):
 
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    good = "the of and to in that is was for with on as by at this " * 3
+    rows = [(None, good, None, None, None), (None, None, None, None, None), (1, "", "en", "s", 0), (2, good, "en", "s", 5), (2, good, "en", "s", 5), (3, None, "en", None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        for at, df in enumerate((docs, docs.where("false"))):
+            out = f"file://{tmp_path}/{name}-{at}"
+            stage(spark, df, SF).write.parquet(out)
+            made = spark.read.parquet(out)
+            assert k == 4 or made.columns == docs.columns
+            assert made.count() == 0 if at else made.count() <= len(rows)
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "2", "3", "None", "None"]
