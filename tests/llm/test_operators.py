@@ -120,6 +120,46 @@ def test_compression_bands(documents):
     assert found[3]["whole_ratio"] < 0.1 < found[2]["whole_ratio"] < found[1]["whole_ratio"]
 
 
+@pytest.mark.parametrize("n_prose", [0, 150])
+@pytest.mark.parametrize("size", [160, 400, 900, 1500, 3000, 7000, 12000, 30000])
+def test_compression_bands_of_every_length(documents, size, n_prose):
+    """With fixed limits (few texts) and with limits of the table."""
+    import random
+
+    r = random.Random(size)
+    low, alnum = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    syllables = ["er", "th", "and", "in", "ing", "ent", "on", "re", "at", "is", "ly", "tion", "ha", "or", "ed", "nd", "the", "sh", "ble", "of"]
+
+    def text(word):
+        out = ""
+        while len(out) < size:
+            out += word() + " "
+        return out[:size]
+
+    prose = lambda: text(lambda: "".join(r.choice(syllables) for _ in range(r.choice([1, 1, 2, 3]))))
+    drawn = lambda letters: text(lambda: "".join(r.choice(letters) for _ in range(r.randint(3, 7))))
+    again = text(lambda: r.choice(["one", "two", "six", "ten", "red", "dog"][: 3 if size < 1000 else 6]))  # few words in any order: eight hardly come twice
+    pairs = [(k, prose()) for k in range(2, 2 + n_prose)] + [(0, drawn(alnum)), (1, again)] + [(-1, drawn(low))] * (size >= 3000)
+    judged = [x for x in quality_rules.score(documents(pairs)).collect() if not x["base_failed"]]
+    found = {x["doc_id"]: x["kept"] for x in judged}
+    assert not found.pop(0) and not found.pop(1) and not found.pop(-1, False)
+    # ratios of very short texts scatter
+    assert len(found) >= 0.7 * n_prose and sum(found.values()) >= (0.95 if size < 256 else 0.98) * len(found)
+
+
+def test_bands_follow_the_table(documents):
+    """Texts that repeat more than the others of their length are out, though no fixed limit would say so."""
+    import random
+
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(3000)]
+    pairs = [(k, " ".join(r.choice(words) for _ in range(900))) for k in range(150)]
+    pairs += [(900, " ".join(r.choice(words[:120]) for _ in range(900)))]
+    found = {x["doc_id"]: x for x in quality_rules.score(documents(pairs)).collect()}
+    assert not found[900]["kept"] and not found[900]["base_failed"] and found[900]["whole_ratio"] > 0.15
+    assert sum(x["kept"] for x in found.values()) >= 147
+
+
 def test_token_counts(documents, corpus):
     counted = token_counts.lengths(documents([*corpus, corpus[0]]), RANKS, PATTERN)
     table = token_counts.context_table(token_counts.histogram(counted), block=16)
