@@ -5,6 +5,12 @@ and digits become one space) and looked up in a table of known licence sentences
 in order, are matched with the rules: a rule is the sequence of its sentences, and at most
 ``max_gap`` unknown sentences may stand between two of them.
 
+Sentences end at marks and at blank lines. Lines are joined first, without comment marks at their
+start, since licence texts are wrapped. Where a joined sentence of several lines is not known, lines
+are tried: the longest run of whole lines that makes a known sentence, from the top, is one; all other
+lines are unknown sentences each, as notices without a mark at their end stand on lines of their own.
+Without any such run the joined lines are one unknown sentence.
+
 Everything is a DataFrame expression over one row; nothing is shuffled. The sentence table is a
 literal of a few dozen entries.
 
@@ -84,6 +90,13 @@ RULES: tuple[tuple[str, str], ...] = (
 SENTENCE_END = r"[.;:!?]+[ \t\r\n]+|[\r\n]+|[.;:!?]+$"
 NOISE = "[^a-z0-9]+"
 
+#: Documents: line ends (with a comment word), blank or comment-only lines, marks at the start of a line.
+LINE_END = r"^[ \t]*(?i:dnl|rem)(?![A-Za-z0-9_])|(?:\r\n?|\n)(?:[ \t]*(?i:dnl|rem)(?![A-Za-z0-9_]))?"
+_MARKS = r"[ \t!-/:-@\[-`{-~]"
+BLANK_LINES = rf"\n{_MARKS}*\n[\n{_MARKS[1:]}*"
+LINE_START = rf"\n{_MARKS}+"
+BLOCK_END = r"[.;:!?]+[ \t\n]+|\n\n|[.;:!?]+$"
+
 
 def sentences(text: str) -> list[str]:
     """Normalised sentences of a rule's text, cut like documents are."""
@@ -114,9 +127,48 @@ def scan(
     def identifier(sentence):
         return F.element_at(known, F.trim(F.regexp_replace(F.lower(sentence), NOISE, " ")))
 
+    def normal(piece):
+        return F.trim(F.regexp_replace(F.lower(piece), NOISE, " "))
+
+    longest = max((len(s.split()) for s in table), default=0)
+    starts = F.array(*[F.lit(s + " ") for s in table])
+
+    def by_line(lines):
+        """Identifiers of the lines: each state is (identifiers, lines taken)."""
+
+        def step(state, line, k):
+            runs = F.transform(
+                F.sequence(F.lit(1), F.least(F.lit(longest), F.size(lines) - k)),
+                lambda n: F.struct(n.alias("n"), F.element_at(known, F.array_join(F.slice(lines, k + 1, n), " ")).alias("id")),
+            )
+            best = F.when(
+                F.exists(starts, lambda s: s.startswith(F.concat(line, F.lit(" ")))),
+                F.array_max(F.filter(runs, lambda r: r["id"].isNotNull())),
+            )
+            return F.when(k < state["next"], state).otherwise(
+                F.struct(
+                    F.concat(state["ids"], F.array(best["id"])).alias("ids"), F.coalesce(k + best["n"], k + 1).cast("int").alias("next")
+                )
+            )
+
+        def finish(state):
+            # without a known line it is one wrapped sentence
+            return F.when(F.exists(state["ids"], lambda i: i.isNotNull()), state["ids"]).otherwise(F.array(F.lit(None).cast("int")))
+
+        numbered = F.transform(lines, lambda line, k: F.struct(line.alias("line"), k.alias("k")))
+        none = F.struct(F.array().cast("array<int>").alias("ids"), F.lit(0).alias("next"))
+        return F.aggregate(numbered, none, lambda state, x: step(state, x["line"], x["k"]), finish)
+
+    def identifiers(block):
+        whole = identifier(block)
+        lines = F.filter(F.transform(F.split(block, "\n"), normal), lambda line: line != "")
+        return F.when(whole.isNotNull() | ~block.contains("\n"), F.array(whole)).otherwise(by_line(lines))
+
+    text = F.regexp_replace(docs[text_col].cast("string"), LINE_END, "\n")
+    text = F.regexp_replace(F.regexp_replace(text, BLANK_LINES, "\n\n"), LINE_START, "\n")
     # empty pieces between two ends are no sentences
-    pieces = F.filter(F.split(docs[text_col].cast("string"), SENTENCE_END), lambda s: F.lower(s).rlike("[a-z0-9]"))
-    found = docs.select(docs[id_col].alias("doc_id"), F.transform(pieces, identifier).alias("_ids"))
+    blocks = F.filter(F.split(text, BLOCK_END), lambda s: F.lower(s).rlike("[a-z0-9]"))
+    found = docs.select(docs[id_col].alias("doc_id"), F.flatten(F.transform(blocks, identifiers)).alias("_ids"))
     placed = F.filter(F.transform("_ids", lambda i, k: F.struct(k.alias("at"), i.alias("id"))), lambda x: x["id"].isNotNull())
 
     def append(line, x):

@@ -235,6 +235,68 @@ def test_licenses(documents):
     }
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.
+"""
+ISC_TEXT = """Copyright 2020 Somebody
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE_TEXT = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+GPL_TEXT = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+
+
+@pytest.mark.parametrize("start", ["", "# ", "// ", " * ", "; ", "-- ", "dnl ", "%% ", "> "])
+def test_wrapped_licenses(documents, start):
+    texts = [MIT_TEXT, ISC_TEXT, BSD_TEXT, APACHE_TEXT, GPL_TEXT]
+    marked = ["\n".join((start + line).rstrip() for line in t.split("\n")) for t in texts]
+    marked += [t.replace("\n", "\r\n") for t in marked]
+    # no blank line before, one notice per line, and what must stay apart
+    marked += ["Notes on this file\n" + t for t in marked[:5]]
+    marked += ["a list\nReleased under the MIT License\nof things\nLicensed under CC BY 4.0\nend", "Licensed under\n\nCC BY 4.0."]
+    marked += [MIT_TEXT.replace("The above", "One more sentence\nthat is wrapped\ntwice.\nThe above")]
+    found = {x["doc_id"]: x["licenses"] for x in licenses.scan(documents(list(enumerate(marked)))).collect()}
+    wanted = [["MIT"], ["ISC"], ["BSD-2-Clause", "BSD-3-Clause"], ["Apache-2.0"], ["GPL-3.0"]]
+    assert [found[k] for k in range(len(marked))] == [*wanted, *wanted, *wanted, ["CC-BY-4.0", "MIT"], [], ["MIT"]]
+
+
 def brute_licenses(text, gap=1):
     import re
 
