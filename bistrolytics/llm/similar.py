@@ -21,8 +21,8 @@
 No list, group or set of links is gathered; sizes of blocks and buckets are bounded.
 
 Nulls: a null text and one without words have an empty set and are their own component. A null id
-stays null, and so does its component where no other id is in it. Rows with one id and equal sets
-are one document; rows with one id and different sets are judged by the set of one of them. An
+stays null, and so does its component where no other id is in it. Classes are keyed by the digest of
+their set, links and components by row, so rows with one id and different sets are judged apart. An
 empty table gives no rows. Other columns are ignored.
 """
 
@@ -54,7 +54,7 @@ _PACK = StructType(
 _HEAD, _COMMON = -1, -2
 _PROFILE = StructType(
     [
-        StructField("doc", LongType()), StructField("n", LongType()), StructField("hi", LongType()),
+        StructField("doc", LongType()), StructField("row", LongType()), StructField("n", LongType()), StructField("hi", LongType()),
         StructField("lo", LongType()), StructField("tokens", ArrayType(LongType(), False)),
     ]
 )
@@ -83,6 +83,14 @@ def _pack_rows(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_PACK.names)
 
 
+def _row_keys(block: int, n: int) -> np.ndarray:
+    """Unique keys of the rows of a block: 20 bits for the task, 22 for its slice, 21 for the row."""
+    task, seq = block >> 32, block & 0xFFFFFFFF
+    if task >= 1 << 20 or seq >= 1 << 22 or n > 1 << 21:
+        raise ValueError("too many tasks, slices or rows for row keys")
+    return ((task << 43) | (seq << 21)) + np.arange(n, dtype=np.int64)
+
+
 def _six_bytes(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
@@ -178,7 +186,7 @@ def _labelled(packed: DataFrame) -> DataFrame:
 
 
 def _profiles(labelled: DataFrame, bits: int, percent: int) -> DataFrame:
-    """Per document: set size, set key, and its shared shingles in global order if they are enough."""
+    """Per document: row key, set size, set key, and its shared shingles in global order if they are enough."""
 
     def finish(head, parts):
         ids = np.frombuffer(head["ids"], np.int64)
@@ -205,7 +213,7 @@ def _profiles(labelled: DataFrame, bits: int, percent: int) -> DataFrame:
         edges = np.concatenate([[0], np.cumsum(np.where(enough, shared, 0))])
         lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(value), mask=pa.array(~enough))
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists], names=_PROFILE.names
+            [pa.array(ids), pa.array(_row_keys(head["block"], len(ids))), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists], names=_PROFILE.names
         )
 
     def run(batches):
@@ -365,10 +373,11 @@ def similar(
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     profile = profiles(docs, length, percent, id_col, text_col)
-    classes = profile.where("n > 0").groupBy("hi", "lo").agg(F.min("doc").alias("rep"))
+    # a class is named by a row that carries its shingles; ids of documents only name what is found
+    carrier = F.min(F.when(F.col("tokens").isNotNull(), F.col("row")))
+    classes = written(profile.where("n > 0").groupBy("hi", "lo").agg(carrier.alias("rep"), F.min("doc").alias("least")), "classes")
     sets = written(
-        profile.where(F.col("tokens").isNotNull()).join(classes.select(F.col("rep").alias("doc"), "hi", "lo"), ["doc", "hi", "lo"])
-        .groupBy("doc").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")),
+        profile.select("row", "n", "tokens").join(classes.select(F.col("rep").alias("row")), "row").select(F.col("row").alias("doc"), "n", "tokens"),
         "sets",
     )
     posts = postings(sets, percent)
@@ -393,8 +402,11 @@ def similar(
     )
     comps = _merged(comps, links(pairs.select("a", "b").distinct(), sets, percent))
 
-    roots = comps.select(F.col("doc").alias("rep"), "comp")
-    whole = profile.drop("tokens").join(classes, ["hi", "lo"], "left").join(roots, "rep", "left")
-    component = F.when(F.col("n") == 0, F.col("doc")).otherwise(F.coalesce("comp", "rep"))
+    linked = comps.select(F.col("doc").alias("rep"), "comp").join(classes.select("rep", "least"), "rep")
+    names = linked.groupBy("comp").agg(F.min("least").alias("_name"))
+    named = linked.join(names, "comp").select("rep", "_name")
+    by_class = classes.join(named, "rep", "left").select("hi", "lo", F.coalesce("_name", "least").alias("_name"))
+    whole = profile.select("doc", "n", "hi", "lo").join(by_class, ["hi", "lo"], "left")
+    component = F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("_name"))
     real = lambda c: F.when(c != _NO_ID, c)
     return whole.select(real(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), real(component).alias("component_id"))

@@ -76,6 +76,19 @@ def test_similar_with_nulls_and_repeated_rows(documents, corpus):
     assert found == expected([(corpus[0][0], 146, corpus[0][0])] * 2 + [(None, 1, None), (7, 0, 7)])
 
 
+def test_similar_with_one_id_for_different_texts(documents):
+    """Repeated and missing keys take no link from each other; a component has its least real id."""
+    def near(name):
+        words = [f"{name}{k}" for k in range(60)]
+        return " ".join(words), " ".join([*words[:-1], "other"])
+
+    (a, a2), (b, b2), (c, c2), (d, d2) = near("a"), near("b"), near("c"), near("d")
+    pairs = [(7, a), (7, b), (3, a2), (9, b2), (None, c), (None, d), (5, c2), (None, d2), (None, "  ")]
+    found = rows(similar.similar(documents(pairs)))
+    n = 56
+    assert found == expected([(7, n, 3), (7, n, 7), (3, n, 3), (9, n, 7), (None, n, 5), (None, n, None), (5, n, 5), (None, n, None), (None, 0, None)])
+
+
 ITEMS = [(1, "w1 w2 w3"), (2, None), (3, ""), (4, "!!! ..."), (10, "x"), (11, "x x x x x x x x x x x")]
 
 
