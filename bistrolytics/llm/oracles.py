@@ -91,3 +91,87 @@ named AS (
   FROM (SELECT DISTINCT doc_id, name FROM lines JOIN rules ON contains(line, pattern)) GROUP BY 1)
 SELECT doc_id, coalesce(ids, '') AS sentence_ids, coalesce(licenses, '') AS licenses, coalesce(n, 0) AS n_licenses
 FROM cut LEFT JOIN lines USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
+_FAILS = {
+    "A": "len(w) < 50",
+    "B": "100 * len(list_distinct(w)) < 65 * len(w)",
+    "C": "100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t)",
+    "D": "regexp_matches(t, '[#$%&*|]')",
+    "E": "coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)",
+}
+ORACLES["op11_filter_audit"] = f"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_PLAIN.format(text="text")} AS w FROM documents),
+said AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY 1),
+fails AS (SELECT doc_id, part, {", ".join(f"{test} AS {name}" for name, test in _FAILS.items())} FROM texts),
+docs AS (
+  SELECT part, concat({", ".join(f"if({name}, '{name}', '')" for name in _FAILS)}) AS failed,
+         coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM fails LEFT JOIN said USING (doc_id)),
+kinds AS (
+  SELECT part, failed, count(*) AS n, count(*) FILTER (WHERE good) AS goods, count(*) FILTER (WHERE toxic) AS toxics FROM docs GROUP BY 1, 2),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter),
+orders(filter_order) AS (
+  SELECT letter FROM letters
+  UNION ALL SELECT filter_order || letter FROM orders, letters WHERE NOT contains(filter_order, letter)),
+steps AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS own, filter_order[1:step-1] AS earlier, filter_order[1:step] AS upto
+  FROM orders, range(1, 6) r(step) WHERE length(filter_order) = 5),
+audit AS (
+  SELECT part, filter_order, step, own,
+         coalesce(sum(n) FILTER (WHERE translate(failed, upto, '') = failed), 0) AS kept,
+         coalesce(sum(n) FILTER (WHERE translate(failed, earlier, '') = failed AND contains(failed, own)), 0) AS removed,
+         coalesce(sum(n) FILTER (WHERE translate(failed, earlier, '') <> failed AND contains(failed, own)), 0) AS redundant,
+         coalesce(sum(n) FILTER (WHERE failed = own), 0) AS unique_fails,
+         coalesce(sum(goods) FILTER (WHERE translate(failed, earlier, '') = failed AND contains(failed, own)), 0) AS good_lost,
+         coalesce(sum(toxics) FILTER (WHERE translate(failed, earlier, '') = failed AND contains(failed, own)), 0) AS toxic_lost
+  FROM kinds, steps GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM audit"""
+
+_WHOLE = "list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))"
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_DOT = "coalesce(list_sum(list_transform(list_zip({a}, {b}), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))), 0)"
+ORACLES["op12_topk_scan"] = f"""
+WITH v AS (SELECT vec_id, row_number() OVER () AS row_key, {_WHOLE} AS x FROM embeddings WHERE {_USABLE}),
+scored AS (
+  SELECT q.row_key, q.vec_id AS query_id, c.vec_id, CAST({_DOT.format(a="q.x", b="c.x")} AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id IS DISTINCT FROM q.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY row_key ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+_APART = "CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+
+
+def _assigned(k: int) -> str:
+    return f"""
+a{k} AS MATERIALIZED (
+  SELECT row_key, vec_id, x, min_by(cluster, (d, cluster)) AS cluster, min(d) AS d
+  FROM (SELECT v.*, cluster, {_APART} AS d FROM v, c{k}) GROUP BY 1, 2, 3)"""
+
+
+def _moved(k: int) -> str:
+    """A floor of sums: an integer division that goes down, also below 0."""
+    return f"""
+m{k} AS MATERIALIZED (
+  SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c
+  FROM (SELECT cluster, i, CAST(sum(y) AS HUGEINT) AS s, count(*) AS n FROM (SELECT cluster, unnest(x) AS y, unnest(range(1, 65)) AS i FROM a{k}) GROUP BY 1, 2)
+  GROUP BY 1),
+c{k + 1} AS MATERIALIZED (SELECT cluster, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (cluster))"""
+
+
+ORACLES["op13_heap_means"] = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS row_key, {_WHOLE} AS x FROM embeddings WHERE len(embedding) = 64 AND {_USABLE}),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS INTEGER) AS cluster, x AS c FROM v WHERE vec_id IS NOT NULL
+  QUALIFY cluster < 40),
+{",".join(_assigned(k) + "," + _moved(k) for k in range(5))},
+{_assigned(5)},
+named AS (SELECT cluster, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM c5)
+SELECT vec_id, cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a5 JOIN named USING (cluster)"""

@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators; each runs over its whole table."""
+"""Registered queries of the operators; each runs over its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from bistrolytics.functions.sizing import scratch_dir
 
-from . import byte_bpe, decontaminate, language, licenses, quality, quality_rules, repeats, similar, token_counts, token_files
+from . import (
+    byte_bpe, decontaminate, filter_audit, heap_means, language, licenses, quality, quality_rules, repeats, similar, token_counts,
+    token_files, topk_scan,
+)
 
 QUERIES = {}
 
@@ -84,3 +87,19 @@ def op10_language(spark, sf):
     return language.predict(docs, dictionaries).select(
         "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted"
     )
+
+
+@query
+def op11_filter_audit(spark, sf):
+    return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op12_topk_scan(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    return topk_scan.top_inner_products(vectors.where("vec_id % 50 = 0"), vectors)
+
+
+@query
+def op13_heap_means(spark, sf):
+    return heap_means.cluster(table(spark, sf, "embeddings"))
