@@ -220,13 +220,13 @@ def predict_recursive(
     """Day-by-day forecast; each predicted value becomes the newest lag of the next day.
 
     All series advance together, one narrow pass per day with no shuffle. The margin
-    comes from the series' own residuals (the model's, where those are all 0). The
-    deviation of the week is the population one here, unlike in training. The plan
-    would grow with every day, so it is cut every few days.
+    comes from the model's deviation if that is above 0, else it is worked out anew
+    from the series' residuals. The deviation of the week is the population one here,
+    unlike in training. The plan would grow with every day, so it is cut every few days.
     """
     check_range("horizon", horizon, 1, 30)
     known = F.lit(float(forecaster.residual_std or 0.0)) * F.col("_scale")
-    sigma = F.when(F.col("_sigma") > 0, F.col("_sigma")).otherwise(known)
+    sigma = F.when(known > 0, known).otherwise(F.greatest(F.lit(0.0), F.coalesce("_sigma", F.lit(0.0))))
     margin = F.col("margin")
 
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)

@@ -68,9 +68,14 @@ def shape_items(raw: DataFrame, rejected: Observation | None = None, carry: tupl
 
 
 def latest_changes(changes: DataFrame, key: str, seq: str) -> DataFrame:
-    """The last change per key. An aggregate, so repeated keys combine before the shuffle."""
+    """The last change per key. An aggregate, so repeated keys combine before the shuffle.
+
+    A change without ``seq`` comes before all others of its key. The order is a struct, since a
+    null order would leave its row out and a key of such rows without any values.
+    """
     rest = [c for c in changes.columns if c != key]
-    return changes.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("_last")).select(
+    order = F.struct(F.col(seq).isNotNull(), F.col(seq))
+    return changes.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_last")).select(
         key, *[F.col("_last")[c].alias(c) for c in rest]
     )
 

@@ -380,6 +380,7 @@ keyword AS (
 _BENCHMARK = "SELECT item_id AS query_id, text FROM benchmark"
 ORACLES["bm25_topk"] = f"WITH {_keyword(_BENCHMARK, 20)} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM keyword"
 ORACLES["bm25_topk_shuffled"] = ORACLES["bm25_topk"]
+ORACLES["bm25_indexed"] = ORACLES["bm25_topk"]
 
 
 def _hybrid(queries: str, vectors: str, k: int, where: str = "") -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bistrolytics.functions.sizing import scratch_dir
 from bistrolytics.functions.text import epoch_seconds, float_text, is_ack, tokenise
-from bistrolytics.operators import accesslog, baskets, bm25, chat, ctr, embed, forecast, fusion, kitchen, similarity
+from bistrolytics.operators import accesslog, baskets, bm25, bm25_index, chat, ctr, embed, forecast, fusion, kitchen, similarity
 from bistrolytics.operators.recommend import recommend
 from bistrolytics.plans.jobs import job_status
 from bistrolytics.plans import sync
@@ -285,6 +285,15 @@ def bm25_topk_shuffled(spark, sf):
     return _rounded(bm25.bm25_topk(q, d.select("doc_id", "text"), 20, broadcast_bytes=0))
 
 
+@query
+def bm25_indexed(spark, sf):
+    """The same lists from a published index."""
+    q, d = src.search_queries(spark, sf), src.documents(spark, sf)
+    home = scratch_dir(spark, "keyword-index")
+    bm25_index.publish_index(d.select("doc_id", "text"), home, "first")
+    return _rounded(bm25_index.indexed_topk(q, bm25_index.read_index(spark, home), 20))
+
+
 @query
 def hybrid_rrf(spark, sf):
     hits = fusion.hybrid_rrf(src.search_queries(spark, sf), src.documents(spark, sf), 5)
