@@ -477,6 +477,7 @@ SELECT conv_id, turn, {_IS_ACK} AS is_ack, CAST(coalesce(n_hits, 0) AS INT) AS n
        CASE WHEN NOT {_IS_ACK} AND n_hits IS NULL THEN {quoted(NO_MENU_REPLY)} ELSE '' END AS reply
 FROM turns LEFT JOIN blocks ON query_id = conv_id || ':' || turn WHERE role = 'user'"""
 ORACLES["rag_context"] = f"WITH {_RAG} {_RAG_ROWS}"
+ORACLES["rag_context_indexed"] = ORACLES["rag_context"]
 
 _POSITIONS = f"""
 {_TURNS},

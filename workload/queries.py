@@ -354,6 +354,15 @@ def rag_context(spark, sf):
     return _rag(spark, sf).fillna("", ["context", "reply"])
 
 
+@query
+def rag_context_indexed(spark, sf):
+    """The same contexts with the keyword lists from an index of the documents."""
+    docs = src.documents(spark, sf)
+    index = bm25_index.build_index(docs.select("doc_id", "text"))
+    found = chat.rag_context(src.chat_turns(spark, sf), docs.drop("text"), 5, index=index)
+    return found.fillna("", ["context", "reply"])
+
+
 @query
 def prompt_history(spark, sf):
     return chat.conversation_positions(src.chat_turns(spark, sf)).select(
