@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import logging
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector
@@ -16,6 +17,7 @@ from ..functions.checks import check_choice, check_columns, check_range
 from ..functions.sizing import cut_lineage, pieces
 from ..functions.text import wall_clock_date
 from ..sources.export import window_scan
+from .leafwise import SeriesTrees, TreeSettings, train_series_trees
 
 logger = logging.getLogger(__name__)
 
@@ -152,7 +154,10 @@ class Forecaster:
 
 @dataclass
 class LinearForecaster:
-    """A fixed linear combination of features, for rules of thumb and for checks."""
+    """A fixed linear combination of features, for rules of thumb and for checks.
+
+    Unlike the trees' above, its ``residual_std`` is in the unit of the series.
+    """
 
     weights: dict[str, float]
     intercept: float = 0.0
@@ -225,7 +230,8 @@ def predict_recursive(
     unlike in training. The plan would grow with every day, so it is cut every few days.
     """
     check_range("horizon", horizon, 1, 30)
-    known = F.lit(float(forecaster.residual_std or 0.0)) * F.col("_scale")
+    unit = F.col("_scale") if isinstance(forecaster, Forecaster) else F.lit(1.0)
+    known = F.lit(float(forecaster.residual_std or 0.0)) * unit
     sigma = F.when(known > 0, known).otherwise(F.greatest(F.lit(0.0), F.coalesce("_sigma", F.lit(0.0))))
     margin = F.col("margin")
 
@@ -277,11 +283,15 @@ def route_series(daily: DataFrame) -> DataFrame:
     )
 
 
-def forecast(daily: DataFrame, horizon: int, model: Forecaster | LinearForecaster | None = None, max_iter: int = 150) -> DataFrame:
+def forecast(
+    daily: DataFrame, horizon: int, model: Forecaster | LinearForecaster | SeriesTrees | None = None, max_iter: int = 150,
+    train: Callable[[DataFrame, int], Forecaster | SeriesTrees] | None = None,
+) -> DataFrame:
     """Per series: trees where 14 or more days were observed, otherwise the flat forecast.
 
-    A given model is preferred over training one here; a fit that the data do not
-    allow falls back to the flat forecast for every series, with source
+    A given model is preferred over training one here, by ``train`` (one model of all series, or
+    ``train_series_trees`` for a model per series; series that given models lack are trained). A fit
+    that the data do not allow falls back to the flat forecast for every series, with source
     "flat (no fit)". Errors of the cluster are passed on. ``daily`` is the window's own
     history (at least 90 days back in the service's use).
     """
@@ -296,22 +306,27 @@ def forecast(daily: DataFrame, horizon: int, model: Forecaster | LinearForecaste
         return flat
     features = build_features(enough)
     try:
-        fitted = model or train_forecast(features, max_iter)
+        fitted = model or (train or train_forecast)(features, max_iter)
+        if isinstance(fitted, SeriesTrees):
+            fitted = fitted.with_missing(features, TreeSettings(trees=max_iter))
     except (ValueError, ArithmeticError, IllegalArgumentException) as error:
         logger.warning("training failed, flat forecast instead: %s", error)
         return flat_forecast(daily, horizon).withColumn("source", F.lit("flat (no fit)"))
-    trees = predict_recursive(fitted, features, horizon).withColumn("source", F.lit("model"))
-    return trees.unionByName(flat)
+    if isinstance(fitted, SeriesTrees):
+        trees = fitted.forecast(features, horizon)
+    else:
+        trees = predict_recursive(fitted, features, horizon)
+    return trees.withColumn("source", F.lit("model")).unionByName(flat)
 
 
 def forecast_metric(
     records: DataFrame, metric: str, ts: str, horizon: int, as_of, value: str | None = None,
-    series: str | None = None, status_col: str = "status", model: Forecaster | None = None,
+    series: str | None = None, status_col: str = "status", model: Forecaster | SeriesTrees | None = None,
     max_iter: int = 150,
 ) -> DataFrame:
-    """Window scan, daily series and forecast for "orders" or "revenue" in one call."""
+    """Window scan, daily series and forecast for "orders" or "revenue" in one call, with a model per series."""
     check_choice("metric", metric, {"orders", "revenue"})
     check_range("horizon", horizon, 1, 30)
     status = "SUCCESS" if metric == "revenue" else None
     recent = window_scan(records, ts, as_of, max(90, horizon + 30), status, status_col)
-    return forecast(daily_metric(recent, ts, value if metric == "revenue" else None, series), horizon, model, max_iter)
+    return forecast(daily_metric(recent, ts, value if metric == "revenue" else None, series), horizon, model, max_iter, train_series_trees)

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import fixed
 from ..functions.sizing import cut_lineage
 from ..operators.baskets import train_combo_rules
-from ..operators.forecast import Forecaster, build_features, daily_metric, train_forecast
+from ..operators.forecast import build_features, daily_metric
+from ..operators.leafwise import SeriesTrees, train_series_trees
 from ..sources.artifacts import current_path, publish, publish_table
 from ..sources.export import window_scan
 from .jobs import COMPLETED, FAILED, PENDING, PROCESSING, append_status, job_status, read_log
@@ -26,14 +27,14 @@ NOTHING_MESSAGE = "Không đủ dữ liệu để huấn luyện"
 def train_forecast_model(
     records: DataFrame, metric: str, ts: str, as_of, value: str | None = None, status_col: str = "status",
     max_iter: int = 150,
-) -> Forecaster | None:
-    """A model from the last year, or None with fewer than 14 observed days."""
+) -> SeriesTrees | None:
+    """Trees of the metric's series from the last year, or None with fewer than 14 observed days."""
     status = "SUCCESS" if metric == "revenue" else None
     recent = window_scan(records, ts, as_of, TRAIN_DAYS, status, status_col)
     daily = cut_lineage(daily_metric(recent, ts, value if metric == "revenue" else None))
     if daily.count() < fixed.MIN_HISTORY_DAYS:
         return None
-    return train_forecast(build_features(daily), max_iter)
+    return train_series_trees(build_features(daily), max_iter)
 
 
 def _read(load: Callable[[], DataFrame], label: str) -> DataFrame | None:
@@ -94,7 +95,7 @@ def retrain(
     return job_status(log, F.current_timestamp()).where(F.col("job_id") == job_id)
 
 
-def load_forecaster(spark: SparkSession, out_dir: str, metric: str) -> Forecaster | None:
+def load_forecaster(spark: SparkSession, out_dir: str, metric: str) -> SeriesTrees | None:
     """The published model for a metric, or None."""
     path = current_path(spark, f"{out_dir}/forecast_{metric}")
-    return None if path is None else Forecaster.load(spark, path)
+    return None if path is None else SeriesTrees.load(spark, path)

@@ -122,7 +122,7 @@ def test_retrain(spark, tmp_path):
     assert (row.status, row.message) == ("COMPLETED", "Đã cập nhật: combo_rules, forecast_orders")
     assert row.completed_at is not None
     assert read_current(spark, f"{tmp_path}/combo_rules").count() == 5
-    assert load_forecaster(spark, str(tmp_path), "orders").residual_std >= 0
+    assert load_forecaster(spark, str(tmp_path), "orders").models.first().residual_std >= 0
     assert load_forecaster(spark, str(tmp_path), "revenue") is None
 
     nothing = {k: unreadable for k in inputs}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from bistrolytics.functions.fixed import (
     ACK_CONTEXT, ACK_TOKENS, BATCH_REASON, CONTEXT_HEADER, NO_MENU_REPLY, RECOMMEND_VERSION,
 )
+from bistrolytics.operators import leafwise
 
 ORACLES: dict[str, str] = {}
 
@@ -85,6 +86,60 @@ def _cents(value: str) -> str:
     return f"CAST(round(CAST(CAST({value} AS VARCHAR) AS DECIMAL(38,12)), 2) AS DOUBLE)"
 
 
+# The first tree of each series: 14 times the best split of any leaf, on rank bins and a grid of gains.
+_TREE_FEATURES = [(int(f), leafwise.FEATURES[f]) for f in leafwise.TreeSettings().features(0)]
+
+
+def _split_step(k: int) -> str:
+    return f"""
+cut{k} AS MATERIALIZED (
+  SELECT series, node, feature, bin FROM (
+    SELECT *, row_number() OVER (PARTITION BY series ORDER BY gain DESC, node, feature, bin) AS place FROM (
+      SELECT series, node, feature, bin,
+             floor((s * s / c + (total - s) * (total - s) / (n - c) - total * total / n) / unit * 1e9 + 0.5) AS gain
+      FROM (
+        SELECT series, node, feature, bin, unit, sum(cells) OVER upto AS c, sum(sums) OVER upto AS s,
+               sum(cells) OVER leaf AS n, sum(sums) OVER leaf AS total
+        FROM (
+          SELECT series, node, feature, bin, any_value(unit) AS unit, count(*) AS cells, sum(g) AS sums
+          FROM member{k} JOIN placed USING (series, date) GROUP BY 1, 2, 3, 4)
+        WINDOW leaf AS (PARTITION BY series, node, feature), upto AS (PARTITION BY series, node, feature ORDER BY bin))
+      WHERE c >= 3 AND n - c >= 3)
+    WHERE gain > 0)
+  WHERE place = 1),
+member{k + 1} AS MATERIALIZED (
+  SELECT m.series, m.date,
+         CASE WHEN c.node IS NULL OR m.node <> c.node THEN m.node WHEN p.bin <= c.bin THEN {2 * k - 1} ELSE {2 * k} END AS node
+  FROM member{k} m LEFT JOIN cut{k} c ON c.series = m.series
+  LEFT JOIN placed p ON p.series = m.series AND p.date = m.date AND p.feature = c.feature)"""
+
+
+ORACLES["forecast_first_tree"] = f"""
+WITH {_filled(_DAILY_PRIORITY)},
+framed AS (
+  SELECT series, date, value, {_LAGS},
+    round(avg(value) OVER (PARTITION BY series ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 9) AS roll_mean_7,
+    round(coalesce(stddev_samp(value) OVER (PARTITION BY series ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 0.0), 9) AS roll_std_7,
+    isodow(date) - 1 AS day_of_week, CAST(isodow(date) >= 6 AS INT) AS is_weekend, month(date) AS month
+  FROM filled WINDOW w AS (PARTITION BY series ORDER BY date)),
+rested AS (
+  SELECT *, value - avg(value) OVER (PARTITION BY series) AS g, count(*) OVER (PARTITION BY series) AS days
+  FROM framed WHERE lag_7 IS NOT NULL),
+united AS (SELECT *, sum(g * g) OVER (PARTITION BY series) AS unit FROM rested),
+cells AS ({" UNION ALL ".join(f"SELECT series, date, g, days, unit, {f} AS feature, CAST({name} AS DOUBLE) AS x FROM united" for f, name in _TREE_FEATURES)}),
+placed AS MATERIALIZED (
+  SELECT *, CAST((rank() OVER (PARTITION BY series, feature ORDER BY x) - 1) * greatest(1, least(255, days // 3)) // days AS INT) AS bin
+  FROM cells),
+edges AS (
+  SELECT series, feature, bin, (max(x) + lead(min(x)) OVER (PARTITION BY series, feature ORDER BY bin)) / 2 AS threshold
+  FROM placed GROUP BY 1, 2, 3),
+member1 AS (SELECT series, date, 0 AS node FROM united),
+{",".join(_split_step(k) for k in range(1, 15))},
+cuts AS ({" UNION ALL ".join(f"SELECT series, {k} AS split, feature, bin FROM cut{k}" for k in range(1, 15))}),
+names AS (SELECT unnest({[f for f, _ in _TREE_FEATURES]}) AS feature, unnest({[name for _, name in _TREE_FEATURES]}) AS name)
+SELECT series, split, name AS feature, round(threshold, 6) AS threshold
+FROM cuts JOIN edges USING (series, feature, bin) JOIN names USING (feature)"""
+
 # Trees cannot be said in SQL; a fixed linear rule takes their place in the same forecast.
 _CUSTOMER_DAYS = """
 SELECT o_custkey AS series, CAST(o_orderdate AS DATE) AS date, CAST(sum(CAST(o_totalprice AS DECIMAL(38,6))) AS DOUBLE) AS value
@@ -128,6 +183,7 @@ FROM walk WHERE day > 0
 UNION ALL
 SELECT series, CAST(day AS INT), {_cents("base")}, {_cents("base * 0.8")}, {_cents("base * 1.2")}, 'flat'
 FROM short, range(1, 10) AS r(day)"""
+ORACLES["forecast_linear_saved"] = ORACLES["forecast_linear"].replace("1.5 * stddev_pop(value - prediction)", "1.5 * 1234.5")
 
 # Click-through counters
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bistrolytics.functions.sizing import scratch_dir
 from bistrolytics.functions.text import epoch_seconds, float_text, is_ack, tokenise
-from bistrolytics.operators import accesslog, baskets, bm25, bm25_index, chat, ctr, embed, forecast, fusion, kitchen, similarity
+from bistrolytics.operators import accesslog, baskets, bm25, bm25_index, chat, ctr, embed, forecast, fusion, kitchen, leafwise, similarity
 from bistrolytics.operators.recommend import recommend
 from bistrolytics.plans.jobs import job_status
 from bistrolytics.plans import sync
@@ -95,6 +95,26 @@ def forecast_linear(spark, sf):
     return forecast.forecast(_daily_by_customer(spark, sf), 9, rule).withColumn("series", F.col("series").cast("long"))
 
 
+@query
+def forecast_linear_saved(spark, sf):
+    """A rule with a saved deviation, which counts before the series' own."""
+    weights = {"lag_1": 0.25, "lag_7": 0.25, "roll_mean_7": 0.375, "roll_std_7": 0.0625, "is_weekend": 8.0, "month": 0.5}
+    rule = forecast.LinearForecaster(weights, 4.0, residual_std=1234.5)
+    return forecast.forecast(_daily_by_customer(spark, sf), 9, rule).withColumn("series", F.col("series").cast("long"))
+
+
+@query
+def forecast_leafwise(spark, sf):
+    return forecast.forecast(_daily_by_priority(spark, sf), 7, train=leafwise.train_series_trees)
+
+
+@query
+def forecast_first_tree(spark, sf):
+    """The splits of the first tree of every series."""
+    features = forecast.build_features(_daily_by_priority(spark, sf))
+    return leafwise.splits_of(leafwise.train_series_trees(features, 1).models).withColumn("threshold", F.round("threshold", 6))
+
+
 # Click-through counters
 
 
