@@ -6,6 +6,7 @@ from bistrolytics.functions.fixed import (
     ACK_CONTEXT, ACK_TOKENS, BATCH_REASON, CONTEXT_HEADER, NO_MENU_REPLY, RECOMMEND_VERSION,
 )
 from bistrolytics.operators import leafwise
+from bistrolytics.plans.retrain import NOTHING_MESSAGE, UPDATED_MESSAGE
 
 ORACLES: dict[str, str] = {}
 
@@ -326,6 +327,16 @@ SELECT rank, array_to_string(items, ',') AS combo_items, round(confidence, 4) AS
        round(lift, 4) AS lift_score FROM combos WHERE rank <= 20"""
 )
 
+# The rules and series that have enough data, named in the job's message.
+_DAYS = f"SELECT count(DISTINCT CAST(o_orderdate AS DATE)) FROM orders WHERE o_orderdate >= {AS_OF} - INTERVAL 365 DAY"
+ORACLES["retrain_job"] = f"WITH {_ATTRIBUTE_LINES.format(where=_RECENT)}, " + _SUBSETS.format(support=0.03, confidence=0.5) + f""",
+saved AS (
+  SELECT concat_ws(', ', CASE WHEN (SELECT count(*) FROM combos) > 0 THEN 'combo_rules' END,
+    CASE WHEN ({_DAYS}) >= 14 THEN 'forecast_orders' END,
+    CASE WHEN ({_DAYS} AND o_orderstatus = 'F') >= 14 THEN 'forecast_revenue' END) AS names)
+SELECT 'job-1' AS job_id, 'COMPLETED' AS status,
+       CASE WHEN names = '' THEN {quoted(NOTHING_MESSAGE)} ELSE {quoted(UPDATED_MESSAGE)} || names END AS message FROM saved"""
+
 # Kitchen
 
 _TASKS = f"""
