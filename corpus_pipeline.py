@@ -33,11 +33,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 20 words or more that stand earlier; n_chars follows the text."""
+    """Texts without passages of 20 words or more that stand earlier; n_chars follows the text.
+
+    Columns go by number inside, so a column of docs that is named like a result is only carried.
+    Null texts stay null, rows of one id are separate, an empty table stays empty.
+    """
     ship_package(spark)
-    made = repeats.remove(docs)
-    n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return made.withColumn("n_chars", n_chars).withColumn("text", F.col("kept_text")).select(*docs.columns)
+    inner = {name: f"d{k}" for k, name in enumerate(docs.columns)}
+    made = repeats.remove(docs.toDF(*inner.values()), id_col=inner["doc_id"], text_col=inner["text"])
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col(inner["n_chars"]))
+    new = {"text": F.col("kept_text"), "n_chars": n_chars}
+    return made.select(*[new.get(name, F.col(at)).alias(name) for name, at in inner.items()])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
