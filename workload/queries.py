@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bistrolytics.functions.sizing import scratch_dir
 from bistrolytics.functions.text import epoch_seconds, float_text, is_ack, tokenise
-from bistrolytics.operators import accesslog, baskets, bm25, bm25_index, chat, ctr, embed, forecast, fusion, kitchen, leafwise, similarity
+from bistrolytics.operators import accesslog, baskets, bm25, bm25_index, chat, ctr, embed, forecast, fusion, kitchen, leafwise, pq, similarity
 from bistrolytics.operators.recommend import recommend
 from bistrolytics.plans.jobs import job_status
 from bistrolytics.plans import sync
@@ -253,6 +253,21 @@ def cosine_topk_cells(spark, sf):
     )
 
 
+@query
+def cosine_topk_pq(spark, sf):
+    """Approximate neighbours of every vector from codes, re-ranked exactly."""
+    return _rounded(pq.pq_topk(_vector_queries(spark, sf), pq.publish_pq(src.vectors(spark, sf)), 10))
+
+
+@query
+def cosine_pq_recall(spark, sf):
+    """All vectors as queries against exact search: what is indexed, and whether nine of ten neighbours are found."""
+    asked = _vector_queries(spark, sf)
+    index = pq.publish_pq(src.vectors(spark, sf))
+    reached = pq.recall_of(asked, index, 10) >= 0.9
+    return index.blocks.agg(F.sum(F.size("item_ids")).alias("indexed"), F.lit(reached).alias("recall_reached"))
+
+
 @query
 def cosine_topk_excluding(spark, sf):
     ids = src.vectors(spark, sf).select(F.col("item_id").alias("query_id"))
