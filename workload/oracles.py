@@ -327,6 +327,26 @@ SELECT rank, array_to_string(items, ',') AS combo_items, round(confidence, 4) AS
        round(lift, 4) AS lift_score FROM combos WHERE rank <= 20"""
 )
 
+ORACLES["window_itemsets"] = """
+WITH lines AS (
+  SELECT DISTINCT l_orderkey AS order_id, p_type AS item, year(CAST(o_orderdate AS DATE)) AS year
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey),
+multi AS (SELECT * FROM lines WHERE order_id IN (SELECT order_id FROM lines GROUP BY 1 HAVING count(*) >= 2)),
+vocabulary AS (SELECT list(item ORDER BY item) AS v FROM (SELECT DISTINCT item FROM multi)),
+subsets AS (
+  SELECT list_filter(v, lambda x: (m >> (list_position(v, x) - 1)) & 1 = 1) AS items, CAST(m AS BIGINT) AS want
+  FROM vocabulary, range(1, (SELECT (1 << len(v)) FROM vocabulary)) AS r(m)),
+masks AS (
+  SELECT year, m, count(*) AS baskets FROM (
+    SELECT order_id, year, CAST(sum(1 << (list_position(v, item) - 1)) AS BIGINT) AS m FROM multi, vocabulary GROUP BY 1, 2) GROUP BY 1, 2),
+windows AS (SELECT DISTINCT year AS window_end FROM multi),
+n AS (SELECT window_end, sum(baskets) AS n FROM windows JOIN masks ON year BETWEEN window_end - 2 AND window_end GROUP BY 1),
+sets AS (
+  SELECT window_end, items, CAST(sum(baskets) AS BIGINT) AS freq
+  FROM windows JOIN masks ON year BETWEEN window_end - 2 AND window_end JOIN subsets ON (m & want) = want GROUP BY 1, 2)
+SELECT CAST(window_end AS INT) AS window_end, array_to_string(items, ',') AS items, freq
+FROM sets JOIN n USING (window_end) WHERE freq >= ceil(0.05 * n)"""
+
 # The rules and series that have enough data, named in the job's message.
 _DAYS = f"SELECT count(DISTINCT CAST(o_orderdate AS DATE)) FROM orders WHERE o_orderdate >= {AS_OF} - INTERVAL 365 DAY"
 ORACLES["retrain_job"] = f"WITH {_ATTRIBUTE_LINES.format(where=_RECENT)}, " + _SUBSETS.format(support=0.03, confidence=0.5) + f""",
@@ -618,6 +638,7 @@ ORACLES["catalog_changes"] = f"""
 WITH {_LATEST}
 SELECT coalesce(menu_item_id, p_partkey) AS menu_item_id, coalesce(price, p_retailprice) AS price
 FROM part FULL JOIN latest ON menu_item_id = p_partkey WHERE NOT coalesce(gone, false)"""
+ORACLES["catalog_bucket_changes"] = ORACLES["catalog_changes"]
 ORACLES["catalog_stream_changes"] = ORACLES["catalog_changes"]
 _FULL_TEXT = """'Tên: ' || name || ', Giá: ' || price || ', Mô tả: ' || description || ', Danh mục: ' || category
        || ', Đặc tính: ' || array_to_string(tags, ', ')"""

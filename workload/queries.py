@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bistrolytics.functions.sizing import scratch_dir
+from bistrolytics.functions.sizing import scratch_dir, written
 from bistrolytics.functions.text import epoch_seconds, float_text, is_ack, tokenise
 from bistrolytics.operators import accesslog, baskets, bm25, bm25_index, chat, ctr, embed, forecast, fusion, kitchen, leafwise, pq, similarity
 from bistrolytics.operators.recommend import recommend
+from bistrolytics.operators.window_itemsets import SlidingItemsets
 from bistrolytics.plans.jobs import job_status
 from bistrolytics.plans import sync
 from bistrolytics.plans.retrain import retrain
-from bistrolytics.sources import artifacts, catalog, export
+from bistrolytics.sources import artifacts, buckets, catalog, export
 from bistrolytics.streaming import catalog as catalog_stream
 from bistrolytics.streaming import counters, limits
 
@@ -204,6 +206,20 @@ def combos_saved(spark, sf):
     return combos.withColumn("combo_items", joined("combo_items"))
 
 
+@query
+def window_itemsets(spark, sf):
+    """Types of parts bought together in every window of three years, moved year by year."""
+    lines = src.order_items(spark, sf, "p_type").select("order_id", "item_id")
+    orders = src.table(spark, sf, "orders")
+    yearly = lines.join(orders, lines["order_id"] == orders["o_orderkey"]).select("order_id", "item_id", F.year("o_orderdate").alias("year"))
+    yearly = written(yearly, "yearly-lines")
+    window = SlidingItemsets(spark, scratch_dir(spark, "window-itemsets"), 0.05, 3)
+    found = []
+    for year in [r[0] for r in yearly.select("year").distinct().orderBy("year").collect()]:
+        found.append(window.add(str(year), yearly.where(F.col("year") == year)).withColumn("window_end", F.lit(year)))
+    return functools.reduce(DataFrame.unionByName, found).select("window_end", joined("items").alias("items"), "freq")
+
+
 # Kitchen
 
 
@@ -483,6 +499,19 @@ def catalog_changes(spark, sf):
     return catalog.apply_changes(_prices(spark, sf), src.catalog_changes(spark, sf))
 
 
+@query
+def catalog_bucket_changes(spark, sf):
+    """The same changes on a snapshot in buckets, in two batches."""
+    home, changes = scratch_dir(spark, "catalog-buckets"), src.catalog_changes(spark, sf)
+    buckets.write_snapshot(_prices(spark, sf), home)
+    early = F.col("seq.l_orderkey") % 2 == 0
+    seen = changes.groupBy("menu_item_id").agg(F.max_by("seq", "seq").alias("last"))
+    last = changes.join(seen, "menu_item_id").where(F.col("seq") == F.col("last")).drop("last")
+    buckets.change_snapshot(spark, home, last.where(early))
+    buckets.change_snapshot(spark, home, last.where(~early))
+    return buckets.read_snapshot(spark, home)
+
+
 @query
 def catalog_stream_changes(spark, sf):
     schema = src.table(spark, sf, "lineitem").schema
