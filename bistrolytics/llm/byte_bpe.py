@@ -35,7 +35,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 from .texts import bounded_batches, cut
 
 CHUNK_BYTES = 1 << 20
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 400_000
 TASK_BYTES = 128 << 20
 FOLD_LIMIT = 256
 _BUCKETS = 1 << 15
@@ -122,6 +122,35 @@ def fold(word: Column, merged: Column) -> Column:
     return F.rtrim(F.aggregate(steps, word, step), F.lit("\x01"))
 
 
+class _Places(dict):
+    """Place of each piece met: -1 - rank for a token, else its place among the distinct words.
+
+    A piece that is new is added by the look-up itself, so the pieces of a text are gone through once.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.ranks, self.before, self.words = ranks, 0, []
+
+    def __missing__(self, piece: str) -> int:
+        rank = self.ranks.get(piece.encode())
+        if rank is None:
+            place = self.before + len(self.words)
+            self.words.append(piece)
+        else:
+            place = -1 - rank
+        self[piece] = place
+        return place
+
+    def next_chunk(self) -> int:
+        """Forgets what is beyond the known words; gives how many of the chunk's words stay."""
+        stay = max(0, min(len(self.words), KNOWN_WORDS - self.before))
+        for word in self.words[stay:]:
+            del self[word]
+        self.before, self.words = self.before + stay, []
+        return stay
+
+
 _CHUNK = StructType(
     [
         StructField("docs", BinaryType()), StructField("known", BinaryType()), StructField("sizes", BinaryType()),
@@ -152,16 +181,8 @@ def _chunks(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 names=_CHUNK.names,
             )
 
-        ids, nulls, sizes, index, words, size, before = [], [], [], [], [], 0, 0
-        places: dict[str, int] = {}
-
-        def kept_words() -> int:
-            """Forgets what is beyond the known words."""
-            stay = max(0, min(len(words), KNOWN_WORDS - before))
-            for word in words[stay:]:
-                del places[word]
-            return stay
-
+        ids, nulls, sizes, index, size = [], [], [], [], 0
+        places = _Places(ranks)
         for batch in batches:
             batch = batch.set_column(1, "text", batch.column(1).cast(pa.binary()))
             for part in cut(batch, "text"):
@@ -169,26 +190,17 @@ def _chunks(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 for doc, null, text in zip(part.column(0).fill_null(0).to_pylist(), known, part.column(1).to_pylist()):
                     text = text or b""
                     pieces = find(text.decode("utf-8", "replace"))
-                    for piece in set(pieces):
-                        if piece not in places:
-                            rank = ranks.get(piece.encode())
-                            if rank is None:
-                                places[piece] = before + len(words)
-                                words.append(piece)
-                            else:
-                                places[piece] = -1 - rank
                     ids.append(doc)
                     nulls.append(null)
                     sizes.append(len(pieces))
                     index.append(np.fromiter(map(places.__getitem__, pieces), "<i4", len(pieces)).tobytes())
                     size += len(text)
                     if size >= CHUNK_BYTES:
-                        stay = kept_words()
-                        yield row(ids, nulls, sizes, index, stay, words)
-                        before += stay
-                        ids, nulls, sizes, index, words, size = [], [], [], [], [], 0
+                        words = places.words
+                        yield row(ids, nulls, sizes, index, places.next_chunk(), words)
+                        ids, nulls, sizes, index, size = [], [], [], [], 0
         if ids:
-            yield row(ids, nulls, sizes, index, 0, words)
+            yield row(ids, nulls, sizes, index, 0, places.words)
 
     return docs.withColumnRenamed("_text", "text").mapInArrow(run, _CHUNK)
 
