@@ -15,10 +15,13 @@ ordered by text. An empty table gives a file without rows. Other columns are ign
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -26,8 +29,10 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from .texts import SLICE_BYTES, bounded_batches, cut
 
-#: Words whose ids a Python worker remembers, from task to task; a full memory keeps the last slice's.
-CACHED_WORDS = 800_000
+#: Bytes of words and ids that a Python worker remembers, from task to task; a full memory keeps the last slice's.
+CACHED_BYTES = 160 << 20
+#: What a remembered word takes besides its letters and ids.
+_WORD_BYTES = 200
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -41,6 +46,8 @@ class WordEncoder:
     """
 
     _LETTERS = regex.compile(r"\p{L}+")
+    _PLAIN = re.compile("[a-z]+")
+    _PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
     _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
     def __init__(self, path: str):
@@ -49,6 +56,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.known_bytes = 0
         size = self.tokenizer.get_vocab_size()
         #: pieces that end a word: between them lie the words of a joined text
         self.ends = np.asarray([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
@@ -79,30 +87,66 @@ class WordEncoder:
                 parts[word] = head, word[len(head) :]
         wanted = [w for w in fresh if w not in parts]
         wanted.extend({x for pair in parts.values() for x in pair if x not in self.known and x not in fresh})
+        # lower-case ASCII letters are one piece that the normaliser leaves alone: the model alone encodes them
+        merge, pack, plain = self.tokenizer.model.tokenize, self._PACK, self._PLAIN.fullmatch
         letters, other = [], []
         for word in wanted:
-            (letters if word.isalpha() or self._LETTERS.fullmatch(word.decode("utf-8", "replace")) else other).append(word)
+            text = word.decode("utf-8", "replace")
+            if plain(text):
+                ids = [token.id for token in merge(text)]
+                self.known[word] = pack[len(ids)](*ids) if len(ids) < len(pack) else np.asarray(ids, "<u4").tobytes()
+            else:
+                (letters if self._LETTERS.fullmatch(text) else other).append(word)
         self.known.update(zip(letters, self._letters([w.decode() for w in letters])))
         for a in range(0, len(other), 5000):
             self.known.update(zip(other[a : a + 5000], self._each([w.decode("utf-8", "replace") for w in other[a : a + 5000]])))
         for word in sorted(parts, key=len):  # a head may itself be a word with parts
             head, tail = parts[word]
             self.known[word] = self.known[head] + self.known[tail]
+        self.known.setdefault(b"", b"")  # at the ends of a text that white space surrounds
 
-    def ids(self, texts: list[bytes | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [None if text and b"<|" in text else (text or b"").lower().split() for text in texts]
-        used = {w for words in split if words for w in words}
-        if len(self.known) > CACHED_WORDS:
-            self.known = {w: self.known[w] for w in used if w in self.known}
-        known, out = self.known, []
-        self._learn(used.difference(known))
-        for text, words in zip(texts, split):
-            if words is None:
-                out.append(self._each([text.decode("utf-8", "replace")])[0])
-            else:
-                out.append(b"".join([known[w] for w in words]))
-        return out
+    def _looked_up(self, distinct: list[bytes]) -> list[bytes]:
+        """Ids of the distinct words of a slice."""
+        known = self.known
+        fresh = {w for w in distinct if w not in known}
+        if self.known_bytes > CACHED_BYTES:
+            self.known = known = {w: known[w] for w in distinct if w in known}
+            self.known_bytes = sum(len(w) + len(v) + _WORD_BYTES for w, v in known.items())
+        before = len(known)
+        self._learn(fresh)
+        self.known_bytes += (len(known) - before) * _WORD_BYTES + sum(len(w) + len(known[w]) for w in fresh)
+        return [known[w] for w in distinct]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each text, all ids in a row) of a slice of strings, nulls being empty.
+
+        The words of a slice become codes of its distinct words in one pass of Arrow, and their ids
+        are gathered by numpy, so Python sees distinct words only.
+        """
+        texts = pc.fill_null(texts, "")
+        whole = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
+        split = texts
+        if len(whole):
+            special = np.zeros(len(texts), bool)
+            special[whole] = True
+            split = pc.if_else(pa.array(special), "", texts)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(split))
+        words = lists.flatten().dictionary_encode()
+        table = self._looked_up(words.dictionary.cast(pa.binary()).to_pylist())
+        lengths = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        flat, starts = np.frombuffer(b"".join(table), "<i4"), np.cumsum(lengths) - lengths
+        codes = words.indices.to_numpy()
+        n = lengths[codes]
+        edges = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.arange(edges[-1]) + np.repeat(starts[codes] - edges[:-1], n)]
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        sizes = np.diff(edges[bounds])
+        if len(whole):
+            parts = np.split(ids, np.cumsum(sizes)[:-1])
+            for k, code in zip(whole.tolist(), self._each(texts.take(pa.array(whole)).to_pylist())):
+                parts[k] = np.frombuffer(code, "<i4")
+            sizes, ids = np.asarray([len(x) for x in parts]), np.concatenate(parts)
+        return sizes, ids
 
 
 def worker_encoder(path: str) -> WordEncoder:
@@ -133,18 +177,18 @@ def write_ids(
             StructField("ids", ArrayType(IntegerType(), False)),
         ]
     )
-    end = np.asarray([end_id], "<u4").tobytes()
-
     def run(batches):
         encoder, block, at = worker_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            batch = batch.set_column(1, "_text", batch.column(1).cast(pa.binary()))
             for part in cut(batch, "_text", SLICE_BYTES):
-                codes = [code + end for code in encoder.ids(part.column(1).to_pylist())]
-                sizes = np.asarray([len(code) // 4 for code in codes], np.int64)
+                sizes, codes = encoder.ids(part.column(1))
+                sizes = sizes + 1
                 ends = np.cumsum(sizes)
-                ids = pa.array(np.frombuffer(b"".join(codes), "<i4"), pa.int32())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), ids)
+                ids = np.full(int(ends[-1]), end_id, np.int32)
+                inside = np.ones(len(ids), bool)
+                inside[ends - 1] = False
+                ids[inside] = codes
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
