@@ -43,10 +43,11 @@ class Course:
     their outcomes agree again.
     """
 
-    def __init__(self, first: int, gap: int, slack: int):
+    def __init__(self, first: int, gap: int, slack: int, most: int = 0):
+        """``most`` is a start that may lie beyond what requests in order of time can cause."""
         self.gap, self.slack = gap, slack
         self.low = np.array([first], dtype=np.int64)
-        self.high = np.array([first + slack + gap], dtype=np.int64)
+        self.high = np.array([max(first + slack + gap, most)], dtype=np.int64)
         self.fixed = np.array([False])
         self.value = np.zeros(1, dtype=np.int64)
 
@@ -115,22 +116,33 @@ def with_limits(log: DataFrame, limits: dict) -> DataFrame:
 _KEY = ["_caller", "_path"]
 
 
-def _stretches(timed: DataFrame) -> DataFrame:
-    """(key, _stretch, _run, _rows, _before, _run_rows): the busy stretches of every caller and path.
+def _stretches(timed: DataFrame, owed: DataFrame | None) -> DataFrame:
+    """(key, _stretch, _run, _rows, _before, _run_rows, _first): the busy stretches of every caller and path.
 
-    Counted before any window, so a window sees one row per stretch, not per request.
+    Counted before any window, so a window sees one row per stretch, not per request. ``_first`` is
+    what a bucket owes at the start of its run: the key's entry of ``owed`` in the first run, which
+    lasts at least until that is paid, and 0 later.
     """
     in_time = Window.partitionBy(*_KEY).orderBy("_stretch")
-    opens = F.coalesce(F.col("_stretch") - F.lag("_stretch").over(in_time) > 1, F.lit(True))
+    apart = F.col("_stretch") - F.lag("_stretch").over(in_time) > 1
+    paid = F.col("_stretch") * F.col("_whole") >= F.col("_debt")
+    opens = F.when(apart.isNull(), F.lit(True)).otherwise(apart & paid)
     run = Window.partitionBy(*_KEY, "_run")
+    counted = timed.groupBy(*_KEY, "_stretch").agg(
+        F.count(F.lit(1)).alias("_rows"), F.first(F.col("_slack") + F.col("_gap")).alias("_whole")
+    )
+    if owed is None:
+        counted = counted.withColumn("_debt", F.lit(0).cast("long"))
+    else:
+        counted = counted.join(owed.select(*_KEY, F.col("owed").alias("_debt")), _KEY, "left").fillna(0, ["_debt"])
     return (
-        timed.groupBy(*_KEY, "_stretch")
-        .agg(F.count(F.lit(1)).alias("_rows"))
+        counted
         .withColumn("_opens", opens.cast("int"))
         .withColumn("_run", F.sum("_opens").over(in_time))
         .withColumn("_before", F.sum("_rows").over(run.orderBy("_stretch")) - F.col("_rows"))
         .withColumn("_run_rows", F.sum("_rows").over(run))
-        .drop("_opens")
+        .withColumn("_first", F.when(F.col("_run") == 1, F.col("_debt")).otherwise(F.lit(0).cast("long")))
+        .drop("_opens", "_whole", "_debt")
     )
 
 
@@ -153,19 +165,20 @@ def _openings(batches, *unit: str):
 
 
 def _decide(ordered: DataFrame, columns: list[str], fields: list, *unit: str) -> DataFrame:
-    """Serve each unit's requests in order, from the unit's ``_owed``."""
-    schema = T.StructType([*fields, T.StructField("allowed", T.BooleanType())])
+    """Serve each unit's requests in order, from the unit's ``_owed``; ``_after`` is what the bucket then owes."""
+    schema = T.StructType([*fields, T.StructField("allowed", T.BooleanType()), T.StructField("_after", T.LongType())])
 
     def replay(batches):
         owed = 0
         for batch, opens in _openings(batches, *unit):
-            flags = []
+            flags, after = [], []
             for new, start, now, gap, slack in zip(
                 opens, *[batch[c].tolist() for c in ("_owed", "_at", "_gap", "_slack")]
             ):
                 owed, allowed = serve(start if new else owed, now, gap, slack)
                 flags.append(allowed)
-            yield batch[columns].assign(allowed=flags)
+                after.append(owed)
+            yield batch[columns].assign(allowed=flags, _after=after)
 
     return ordered.mapInPandas(replay, schema)
 
@@ -177,13 +190,13 @@ def _chunk_starts(chunked: DataFrame) -> DataFrame:
     chunk, are gone through in order.
     """
     head = "_caller string, _path string, _run long, _chunk long"
-    courses = _in_order(chunked.select(*_KEY, "_run", "_chunk", "_at", "_gap", "_slack", "request_id"), "_run", "_chunk")
+    courses = _in_order(chunked.select(*_KEY, "_run", "_chunk", "_at", "_gap", "_slack", "_first", "request_id"), "_run", "_chunk")
 
     def summarise(batches):
-        name, course = None, None
+        name, course, debt = None, None, 0
         row = lambda: pd.DataFrame(
-            [(*name, course.low.tolist(), course.fixed.tolist(), course.value.tolist())],
-            columns=[*_KEY, "_run", "_chunk", "low", "fixed", "value"],
+            [(*name, debt, course.low.tolist(), course.fixed.tolist(), course.value.tolist())],
+            columns=[*_KEY, "_run", "_chunk", "_first", "low", "fixed", "value"],
         )
         for batch, opens in _openings(batches, "_run", "_chunk"):
             for at, (new, now) in enumerate(zip(opens, batch["_at"].tolist())):
@@ -192,7 +205,8 @@ def _chunk_starts(chunked: DataFrame) -> DataFrame:
                         yield row()
                     first = batch.iloc[at]
                     name = tuple(first[c] for c in (*_KEY, "_run", "_chunk"))
-                    course = Course(now, int(first["_gap"]), int(first["_slack"]))
+                    debt = int(first["_first"])
+                    course = Course(now, int(first["_gap"]), int(first["_slack"]), debt)
                 course.serve(now)
         if course is not None:
             yield row()
@@ -201,13 +215,13 @@ def _chunk_starts(chunked: DataFrame) -> DataFrame:
         owed = 0
         for batch, opens in _openings(batches, "_run"):
             starts = []
-            for new, low, fixed_, value in zip(opens, batch["low"], batch["fixed"], batch["value"]):
-                owed = 0 if new else owed
+            for new, first, low, fixed_, value in zip(opens, *[batch[c] for c in ("_first", "low", "fixed", "value")]):
+                owed = first if new else owed
                 starts.append(owed)
                 owed = Course.end(low, fixed_, value, owed)
             yield batch[[*_KEY, "_run", "_chunk"]].assign(_owed=starts)
 
-    pieces_ = f"{head}, low array<bigint>, fixed array<boolean>, value array<bigint>"
+    pieces_ = f"{head}, _first long, low array<bigint>, fixed array<boolean>, value array<bigint>"
     summed = courses.mapInPandas(summarise, pieces_)
     in_turn = summed.repartition(*_KEY, "_run").sortWithinPartitions(*_KEY, "_run", "_chunk")
     return in_turn.mapInPandas(chain, f"{head}, _owed long")
@@ -226,14 +240,40 @@ def token_bucket(log: DataFrame, limits: dict | None = None, chunk_rows: int = C
     """
     check_columns(log, "request_id", "caller", "path", "ts")
     check_range("chunk_rows", chunk_rows, 1, 10**9)
+    return _decided(log, limits, chunk_rows, None).select(*log.columns, "allowed")
+
+
+def token_bucket_from(
+    log: DataFrame, owed: DataFrame | None, limits: dict | None = None, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """As ``token_bucket``, going on from owed(_caller, _path, owed), for logs that arrive in parts.
+
+    Also gives ``_caller``, ``_path``, ``_at`` and ``_after``, the bucket after each request, from which
+    ``owed_after`` makes the state for the next part.
+    """
+    check_columns(log, "request_id", "caller", "path", "ts")
+    keyed = with_limits(log, limits or DEFAULT_LIMITS).select(*log.columns, *_KEY, "_at")
+    return _decided(keyed, limits, chunk_rows, owed)
+
+
+def owed_after(decided: DataFrame) -> DataFrame:
+    """(_caller, _path, owed): every bucket that served a request, after its last one."""
+    last = F.max_by("_after", F.struct("_at", "request_id"))
+    return decided.where(F.col("_after").isNotNull()).groupBy(*_KEY).agg(last.alias("owed"))
+
+
+def _decided(log: DataFrame, limits: dict | None, chunk_rows: int, owed: DataFrame | None) -> DataFrame:
+    """The columns of ``log`` with ``allowed`` and ``_after``."""
     columns, fields = log.columns, log.schema.fields
     whole = F.col("_slack") + F.col("_gap")
     everything = with_limits(log, limits or DEFAULT_LIMITS)
     timed = everything.where(F.col("_at").isNotNull()).withColumn("_stretch", F.floor(F.col("_at") / whole))
-    undated = everything.where(F.col("_at").isNull()).select(*columns, F.lit(None).cast("boolean").alias("allowed"))
-    runs = cut_lineage(_stretches(timed))
+    undated = everything.where(F.col("_at").isNull()).select(
+        *columns, F.lit(None).cast("boolean").alias("allowed"), F.lit(None).cast("long").alias("_after")
+    )
+    runs = cut_lineage(_stretches(timed, owed))
     placed = timed.join(runs, [*_KEY, "_stretch"])
-    short = placed.where(F.col("_run_rows") <= chunk_rows).withColumn("_owed", F.lit(0).cast("long"))
+    short = placed.where(F.col("_run_rows") <= chunk_rows).withColumn("_owed", F.col("_first"))
     decided = _decide(_in_order(short, "_run"), columns, fields, "_run").unionByName(undated)
     if runs.where(F.col("_run_rows") > chunk_rows).isEmpty():
         return decided

@@ -8,7 +8,10 @@ marked row, since an overwrite replaces only partitions that it has rows for; re
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.checks import check_columns, check_range
 from ..functions.sizing import written
@@ -27,28 +30,30 @@ def write_snapshot(rows: DataFrame, path: str, key: str = "menu_item_id", bucket
     check_columns(rows, key)
     dealt = rows.withColumn(_EMPTY, F.lit(False)).withColumn(_BUCKET, _bucket(key, buckets))
     dealt.repartition(_BUCKET).write.partitionBy(_BUCKET).parquet(f"{path}/rows")
-    spark = rows.sparkSession
-    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{path}/layout")
+    layout = [(buckets, dealt.schema.json())]
+    rows.sparkSession.createDataFrame(layout, "buckets int, schema string").coalesce(1).write.parquet(f"{path}/layout")
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    return _stored(spark, path).where(~F.col(_EMPTY)).drop(_EMPTY, _BUCKET)
+    return _stored(spark, path, _layout(spark, path)[1]).where(~F.col(_EMPTY)).drop(_EMPTY, _BUCKET)
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/rows")
+def _stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{path}/rows")
 
 
-def _layout(spark: SparkSession, path: str) -> int:
-    return spark.read.parquet(f"{path}/layout").first()["buckets"]
+def _layout(spark: SparkSession, path: str) -> tuple[int, StructType]:
+    """(number of buckets, stored columns); an empty snapshot has no file to tell its columns."""
+    row = spark.read.parquet(f"{path}/layout").first()
+    return row["buckets"], StructType.fromJson(json.loads(row["schema"]))
 
 
 def get_from_snapshot(spark: SparkSession, path: str, ids: list, key: str = "menu_item_id") -> DataFrame:
     """The rows of a few ids; only their buckets are read."""
-    buckets = _layout(spark, path)
-    wanted = spark.createDataFrame([(i,) for i in ids], f"{key} {dict(read_snapshot(spark, path).dtypes)[key]}")
+    buckets, schema = _layout(spark, path)
+    wanted = spark.createDataFrame([(i,) for i in ids], StructType([schema[key]]))
     touched = [r[0] for r in wanted.select(_bucket(key, buckets)).distinct().collect()]
-    rows = _stored(spark, path).where(F.col(_BUCKET).isin(touched) & ~F.col(_EMPTY)).drop(_EMPTY, _BUCKET)
+    rows = _stored(spark, path, schema).where(F.col(_BUCKET).isin(touched) & ~F.col(_EMPTY)).drop(_EMPTY, _BUCKET)
     return rows.join(F.broadcast(wanted), key, "left_semi")
 
 
@@ -58,12 +63,12 @@ def change_snapshot(
     """Apply upserts and deletes (without ``op``, upserts only), last one per key wins; gives the buckets rewritten."""
     if op not in changes.columns:
         changes = changes.withColumn(op, F.lit("upsert"))
-    buckets = _layout(spark, path)
+    buckets, schema = _layout(spark, path)
     changes = written(changes, "bucket-changes")
     touched = sorted(r[0] for r in changes.select(_bucket(key, buckets)).distinct().collect())  # at most ``buckets``
     if not touched:
         return []
-    stored = _stored(spark, path)
+    stored = _stored(spark, path, schema)
     before = stored.where(F.col(_BUCKET).isin(touched) & ~F.col(_EMPTY)).drop(_EMPTY, _BUCKET)
     after = written(apply_changes(before, changes, key, seq, op), "bucket-rows")
     dealt = after.withColumn(_EMPTY, F.lit(False)).withColumn(_BUCKET, _bucket(key, buckets))

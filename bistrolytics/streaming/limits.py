@@ -2,41 +2,72 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from ..functions.sizing import written
+from ..operators.accesslog import CHUNK_ROWS, owed_after, token_bucket_from
+from .folding import compact, read_batches
 
-from ..operators.accesslog import DEFAULT_LIMITS, serve, with_limits
+_STATE = "_caller string, _path string, owed long"
 
-_OUT = "request_id long, caller string, path string, ts timestamp, allowed boolean"
 
+def _latest(rows: DataFrame) -> DataFrame:
+    """What each bucket owes after the last batch that it took part in."""
+    return rows.groupBy("_caller", "_path").agg(F.max_by("owed", "batch_id").alias("owed"), F.max("batch_id").alias("batch_id"))
 
-def flag_requests(log: DataFrame, limits: dict | None = None) -> DataFrame:
-    """Streaming ``token_bucket``: the bucket of each caller and path is kept as state.
 
-    Within a micro-batch requests are taken in order of time, whatever Arrow's batch size; across
-    micro-batches in order of arrival, as a live limiter does. A caller's requests of one micro-batch
-    are held by a task as three numbers each, so the source's limit per trigger bounds its memory.
-    Requests without a time are left out.
+def start_limit_stream(
+    log: DataFrame, home: str, checkpoint: str, limits: dict | None = None, chunk_rows: int = CHUNK_ROWS, **trigger
+) -> StreamingQuery:
+    """Streaming ``token_bucket``: each micro-batch is decided by the batch operator, from the buckets so far.
+
+    So a caller with a third of all requests is spread over tasks here as well, and a request without
+    a time is kept, undecided. Within a micro-batch requests are taken in order of time; across
+    micro-batches in order of arrival, as a live limiter does. Decisions and changed buckets are one
+    folder per batch, which a repeated batch overwrites.
     """
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (owed,) = state.get if state.exists else (0,)
-        parts = [part for part in batches if len(part)]
-        whole = pd.concat(parts, ignore_index=True).sort_values(["_at", "request_id"], ignore_index=True)
-        flags = []
-        for now, gap, slack in zip(whole["_at"].tolist(), whole["_gap"].tolist(), whole["_slack"].tolist()):
-            owed, allowed = serve(owed, now, gap, slack)
-            flags.append(allowed)
-        state.update((owed,))
-        yield whole[["request_id", "caller", "path", "ts"]].assign(allowed=flags)
-
-    timed = with_limits(log, limits or DEFAULT_LIMITS).select(
-        F.col("request_id").cast("long"), F.col("caller").cast("string"), F.col("path").cast("string"),
-        F.col("ts").cast("timestamp").alias("ts"), "_at", "_gap", "_slack", "_caller", "_path",
-    ).where(F.col("_at").isNotNull())
-    return timed.groupBy("_caller", "_path").applyInPandasWithState(
-        step, _OUT, "owed long", "append", GroupStateTimeout.NoTimeout
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        taken = written(batch, "limit-batch")
+        before = None
+        if batch_id > 0:
+            before = _latest(read_batches(spark, f"{home}/owed", _STATE).where(F.col("batch_id") < batch_id))
+        decided = token_bucket_from(taken, before, limits, chunk_rows)
+        out = f"{home}/decided/batch_id={batch_id}"
+        decided.write.mode("overwrite").parquet(out)
+        owed_after(spark.read.schema(decided.schema).parquet(out)).write.mode("overwrite").parquet(f"{home}/owed/batch_id={batch_id}")
+
+    return (
+        log.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .foreachBatch(write)
+        .start()
     )
+
+
+def read_decisions(spark: SparkSession, home: str, log_schema) -> DataFrame:
+    """The requests of all batches with ``allowed``."""
+    try:
+        rows = spark.read.parquet(f"{home}/decided")
+    except AnalysisException:  # no batch yet
+        return spark.createDataFrame([], log_schema).withColumn("allowed", F.lit(None).cast("boolean"))
+    return rows.select(*log_schema.names, "allowed")
+
+
+def compact_buckets(spark: SparkSession, home: str, up_to_batch: int, idle_since=None) -> None:
+    """Fold the buckets of the batches up to ``up_to_batch`` into one folder.
+
+    With ``idle_since`` (a timestamp) buckets that were full again before it are dropped: they serve
+    any later request as a new bucket does.
+    """
+
+    def fold(rows: DataFrame) -> DataFrame:
+        latest = _latest(rows)
+        if idle_since is None:
+            return latest
+        return latest.where(F.col("owed") > F.unix_micros(F.lit(idle_since).cast("timestamp")) * 1000)
+
+    compact(spark, f"{home}/owed", _STATE, up_to_batch, fold)

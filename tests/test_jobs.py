@@ -7,7 +7,7 @@ from bistrolytics.plans.jobs import job_status
 from bistrolytics.plans.retrain import load_forecaster, retrain
 from bistrolytics.sources.artifacts import read_current
 from bistrolytics.streaming import catalog as catalog_stream
-from bistrolytics.streaming.limits import flag_requests
+from bistrolytics.streaming.limits import read_decisions, start_limit_stream
 
 
 def test_job_status(spark):
@@ -86,10 +86,9 @@ def test_streamed_bucket(spark, tmp_path):
     for part in (rows[:30], rows[30:]):
         requests(spark, part).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema("request_id long, caller string, path string, ts timestamp").parquet(source)
-        flag_requests(stream, {None: (5, 1.0)}).writeStream.format("parquet").option("path", out).option(
-            "checkpointLocation", str(tmp_path / "state")
-        ).trigger(availableNow=True).start().awaitTermination()
-    assert {r.request_id: r.allowed for r in spark.read.parquet(out).collect()} == replay(rows, 5, 1.0)
+        start_limit_stream(stream, out, str(tmp_path / "state"), {None: (5, 1.0)}).awaitTermination()
+    got = read_decisions(spark, out, stream.schema)
+    assert {r.request_id: r.allowed for r in got.collect()} == replay(rows, 5, 1.0)
 
 
 def test_catalog_stream(spark, tmp_path):

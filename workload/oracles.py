@@ -401,6 +401,15 @@ SELECT query_id, item_id, rank, round(score, 6) AS score FROM ranked WHERE rank
 
 ORACLES["cosine_topk"] = _top(10)
 ORACLES["cosine_topk_cells"] = _top(10)
+ORACLES["neighbour_lists_kept"] = """
+WITH vecs AS (
+  SELECT vec_id, CASE WHEN vec_id % 50 = 2 THEN list_reverse(CAST(embedding AS DOUBLE[])) ELSE CAST(embedding AS DOUBLE[]) END AS v
+  FROM embeddings WHERE vec_id % 50 <> 3),
+pairs AS (
+  SELECT q.vec_id AS query_id, i.vec_id AS item_id, round(list_cosine_similarity(q.v, i.v), 12) AS score
+  FROM vecs q JOIN vecs i ON i.vec_id <> q.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM pairs)
+SELECT query_id, item_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM ranked WHERE rank <= 5"""
 ORACLES["cosine_pq_recall"] = "SELECT count(*) AS indexed, true AS recall_reached FROM embeddings"
 ORACLES["cosine_topk_excluding"] = _top(5, "WHERE item_id NOT IN (query_id, query_id + 1)")
 

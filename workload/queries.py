@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bistrolytics.functions.sizing import scratch_dir, written
 from bistrolytics.functions.text import epoch_seconds, float_text, is_ack, tokenise
-from bistrolytics.operators import accesslog, baskets, bm25, bm25_index, chat, ctr, embed, forecast, fusion, kitchen, leafwise, pq, similarity
+from bistrolytics.operators import accesslog, baskets, bm25, bm25_index, chat, ctr, embed, forecast, fusion, kitchen, leafwise, neighbour_lists, pq, similarity
 from bistrolytics.operators.recommend import recommend
 from bistrolytics.operators.window_itemsets import SlidingItemsets
 from bistrolytics.plans.jobs import job_status
@@ -284,6 +284,20 @@ def cosine_pq_recall(spark, sf):
     return index.blocks.agg(F.sum(F.size("item_ids")).alias("indexed"), F.lit(reached).alias("recall_reached"))
 
 
+@query
+def neighbour_lists_kept(spark, sf):
+    """Lists of all vectors after two batches of changes, each worked out from the one before."""
+    vectors = src.vectors(spark, sf).select("item_id", "vector")
+    home, part = scratch_dir(spark, "neighbour-lists"), F.pmod("item_id", F.lit(50))
+    neighbour_lists.start(vectors.where(part != 1), home, 5)
+    moved = F.when(part == 2, F.reverse("vector")).otherwise(F.col("vector"))
+    changed = vectors.where(part.isin(1, 2)).select("item_id", moved.alias("vector"), F.lit("upsert").alias("op"), F.lit(1).alias("seq"))
+    neighbour_lists.change(spark, home, changed)
+    gone = vectors.where(part == 3).select("item_id", "vector", F.lit("delete").alias("op"), F.lit(2).alias("seq"))
+    neighbour_lists.change(spark, home, gone)
+    return _rounded(neighbour_lists.lists_as_rows(neighbour_lists.read_lists(spark, home)))
+
+
 @query
 def cosine_topk_excluding(spark, sf):
     ids = src.vectors(spark, sf).select(F.col("item_id").alias("query_id"))
@@ -606,14 +620,9 @@ def token_bucket(spark, sf):
 def token_bucket_stream(spark, sf):
     schema = src.table(spark, sf, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    home = scratch_dir(spark, "limits")
-    flagged = limits.flag_requests(src.as_access_log(events), {None: (2, 1 / 86400), "click": (1, 1 / 172800)})
-    (
-        flagged.writeStream.format("parquet").option("path", f"{home}/out")
-        .option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
-    )
-    out = spark.read.schema(flagged.schema).parquet(f"{home}/out")
-    return out.select("request_id", "allowed")
+    home, log = scratch_dir(spark, "limits"), src.as_access_log(events)
+    limits.start_limit_stream(log, home, f"{home}/state", {None: (2, 1 / 86400), "click": (1, 1 / 172800)}).awaitTermination()
+    return limits.read_decisions(spark, home, log.schema).select("request_id", "allowed")
 
 
 @query
