@@ -162,11 +162,11 @@ def train(
     pool = ids.join(known.select("_id"), "_id", "left_anti").orderBy(F.xxhash64("_id"), "_id").limit(max_pool)
     # both samples are bounded by the two parameters, so their ids may be broadcast
     wanted = taught.unionByName(pool.withColumn("_y", F.lit(None).cast("double")))
-    chosen = docs.withColumn("_join", docs[id_col]).join(F.broadcast(wanted.withColumnRenamed("_id", "_join")), "_join")
-    plain = chosen.select(
-        F.struct(F.col("_join"), F.col("_y")).alias("_key"), *[chosen[c].alias(f"_{k}") for k, c in enumerate(names[1:])]
-    )
-    made = _features(plain, "_key", "_0", "_1", "_2", "_3").select(
+    # by number, so that no column of docs can clash with the ones made here
+    inner = docs.select(*[docs[c].alias(f"_{k}") for k, c in enumerate(names)])
+    chosen = inner.join(F.broadcast(wanted), inner["_0"] == wanted["_id"])
+    plain = chosen.select(F.struct(F.col("_id").alias("_join"), F.col("_y")).alias("_key"), *[f"_{k}" for k in range(1, len(names))])
+    made = _features(plain, "_key", "_1", "_2", "_3", "_4").select(
         F.col("_id._join").cast("string").alias("id"), F.col("_id._y").alias("y"), "_shape", "_source", "_lang", "_chars"
     ).toArrow()
     # the same order on every run: by a checksum of the id, then by all that is known of the row

@@ -32,9 +32,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import (
-    ArrayType, BinaryType, IntegerType, LongType, StructField, StructType,
+    ArrayType, BinaryType, IntegerType, LongType, MapType, StructField, StructType, VariantType,
 )
 
 from bistrolytics.functions.sizing import written
@@ -54,7 +54,8 @@ _PACK = StructType(
 _HEAD, _COMMON = -1, -2
 _PROFILE = StructType(
     [
-        StructField("doc", LongType()), StructField("row", LongType()), StructField("n", LongType()), StructField("hi", LongType()),
+        StructField("doc", LongType()), StructField("mark", LongType()), StructField("row", LongType()), StructField("n", LongType()),
+        StructField("hi", LongType()),
         StructField("lo", LongType()), StructField("tokens", ArrayType(LongType(), False)),
     ]
 )
@@ -119,7 +120,7 @@ def _packed(docs: DataFrame, length: int, bits: int) -> DataFrame:
                         first.setdefault(keys[k], k)
                 lead = np.zeros(len(sets), bool)
                 lead[list(first.values())] = True
-                head = (block, block, _HEAD, ids.tobytes(), np.asarray([len(s) for s in sets], "<i8").tobytes(), b"".join(keys))
+                head = (block, block, _HEAD, ids.tobytes() + part.column(2).to_numpy().tobytes(), np.asarray([len(s) for s in sets], "<i8").tobytes(), b"".join(keys))
                 rows = [head]
                 own = np.repeat(np.arange(len(sets)), [len(s) if x else 0 for s, x in zip(sets, lead)])
                 tokens = np.concatenate([s for s, x in zip(sets, lead) if x] or [np.zeros(0, np.uint64)])
@@ -189,7 +190,7 @@ def _profiles(labelled: DataFrame, bits: int, percent: int) -> DataFrame:
     """Per document: row key, set size, set key, and its shared shingles in global order if they are enough."""
 
     def finish(head, parts):
-        ids = np.frombuffer(head["ids"], np.int64)
+        ids, marks = np.split(np.frombuffer(head["ids"], np.int64), 2)
         n = np.frombuffer(head["sizes"], "<i8")
         keys = np.frombuffer(head["data"], "<i8").reshape(-1, 2)
         own, label, token = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
@@ -213,7 +214,7 @@ def _profiles(labelled: DataFrame, bits: int, percent: int) -> DataFrame:
         edges = np.concatenate([[0], np.cumsum(np.where(enough, shared, 0))])
         lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(value), mask=pa.array(~enough))
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array(_row_keys(head["block"], len(ids))), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists], names=_PROFILE.names
+            [pa.array(ids), pa.array(marks), pa.array(_row_keys(head["block"], len(ids))), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists], names=_PROFILE.names
         )
 
     def run(batches):
@@ -234,10 +235,16 @@ def _profiles(labelled: DataFrame, bits: int, percent: int) -> DataFrame:
     return labelled.repartition("block").sortWithinPartitions("block").mapInArrow(run, _PROFILE)
 
 
+def _doc_and_mark(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """The id, with a stand-in for null, and a checksum of the text: what names a row of documents."""
+    return F.coalesce(doc_id.cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(text.cast("string")).alias("mark")
+
+
 def profiles(docs: DataFrame, length: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     bounded_batches(docs.sparkSession)
     keyed = docs.select(
-        F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)).alias("doc"), docs[text_col].cast("string").alias("_text")
+        _doc_and_mark(docs[id_col], docs[text_col])[0], docs[text_col].cast("string").alias("_text"),
+        _doc_and_mark(docs[id_col], docs[text_col])[1],
     )
     size = keyed.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     # about one shingle of six packed bytes for six bytes of text; 8 bits at least spread small input
@@ -368,10 +375,8 @@ def _mixed(posts: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame, Da
     return inside.where("comp <> main"), inside, largest.select("token", "hub")
 
 
-def similar(
-    docs: DataFrame, length: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
+def _joined_up(docs: DataFrame, length: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(profiles, classes of equal sets, components of linked classes by their carrier's row)."""
     profile = profiles(docs, length, percent, id_col, text_col)
     # a class is named by a row that carries its shingles; ids of documents only name what is found
     carrier = F.min(F.when(F.col("tokens").isNotNull(), F.col("row")))
@@ -400,8 +405,14 @@ def similar(
         .join(inside.select("token", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("comp").alias("cb"), "main"), "token")
         .where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & _fits(percent))
     )
-    comps = _merged(comps, links(pairs.select("a", "b").distinct(), sets, percent))
+    return profile, classes, _merged(comps, links(pairs.select("a", "b").distinct(), sets, percent))
+
 
+def similar(
+    docs: DataFrame, length: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document."""
+    profile, classes, comps = _joined_up(docs, length, percent, id_col, text_col)
     linked = comps.select(F.col("doc").alias("rep"), "comp").join(classes.select("rep", "least"), "rep")
     names = linked.groupBy("comp").agg(F.min("least").alias("_name"))
     named = linked.join(names, "comp").select("rep", "_name")
@@ -410,3 +421,39 @@ def similar(
     component = F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("_name"))
     real = lambda c: F.when(c != _NO_ID, c)
     return whole.select(real(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), real(component).alias("component_id"))
+
+
+def one_of_each(
+    docs: DataFrame, length: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Of every component one row of ``docs``, with all its columns: the one with the least id, null last.
+
+    Rows without words are their own components, so all of them stay. Of rows with one id the text
+    with the least checksum stays, and of equal texts the row that is least by all its columns (any one
+    where a column has no order).
+    """
+    profile, classes, comps = _joined_up(docs, length, percent, id_col, text_col)
+    by_class = classes.join(comps.select(F.col("doc").alias("rep"), "comp"), "rep", "left")
+    group = F.when(F.col("comp").isNull(), F.struct("hi", "lo"))
+    rows = profile.select("doc", "mark", "n", "hi", "lo")
+    first = (
+        rows.join(by_class.select("hi", "lo", "comp"), ["hi", "lo"])
+        .groupBy("comp", group.alias("own")).agg(F.min(F.struct("doc", "mark")).alias("_first"))
+        .select("_first.doc", "_first.mark")
+    )
+    counts = rows.where("n > 0").groupBy("doc", "mark").agg((F.count(F.lit(1)) > 1).alias("several"))
+    empty = rows.where("n = 0").select("doc", "mark").distinct().withColumn("several", F.lit(False))
+    kept = written(first.join(counts, ["doc", "mark"]).select("doc", "mark", "several").unionByName(empty), "kept-rows")
+
+    inner = {name: f"d{k}" for k, name in enumerate(docs.columns)}
+    plain = docs.toDF(*inner.values())
+    named = plain.select("*", *_doc_and_mark(plain[inner[id_col]], plain[inner[text_col]])).join(kept, ["doc", "mark"])
+    columns = list(inner.values())
+    once = named.where(~F.col("several")).select(*columns)
+    if not kept.where("several").isEmpty():
+        row = F.struct(*columns)
+        unordered = any(isinstance(f.dataType, (MapType, VariantType)) for f in docs.schema)
+        least = (F.first(row) if unordered else F.min(row)).alias("_row")
+        again = named.where("several").groupBy("doc", "mark").agg(least)
+        once = once.unionByName(again.select(*[F.col("_row")[c].alias(c) for c in columns]))
+    return once.toDF(*docs.columns)
