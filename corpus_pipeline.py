@@ -25,11 +25,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component; rows without id stay."""
+    """One row of each component: the smallest id, null ids last; of repeated rows one.
+
+    Rows without words stay, since they are linked with nothing; an empty table stays empty.
+    """
     ship_package(spark)
-    found = similar.similar(docs)
-    first = found.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_kept"]), "left_semi")
+    return similar.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
