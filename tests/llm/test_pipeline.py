@@ -4,6 +4,7 @@ import brute
 import corpus_pipeline
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from bistrolytics.llm import quality
 from bistrolytics.llm.token_counts import rank_encoding
@@ -88,4 +89,32 @@ def test_stages_with_odd_rows(spark, tmp_path):
             assert k == 4 or made.columns == docs.columns
             assert made.count() == 0 if at else made.count() <= len(rows)
     kept = corpus_pipeline.near_duplicates(spark, docs, SF)
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "2", "3", "None", "None"]
+    # of four copies of one text the row with an id stays, once; rows without words stay
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "None"]
+
+
+def test_near_duplicates_of_rows_that_share_an_id_or_have_none(spark):
+    text, other = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
+    near = text + " end"
+    rows = [(None, text, "b"), (None, text, "a"), (2, text, "d"), (2, text, "c"), (7, near, "e"), (7, other, "f"), (None, other, "g"), (8, None, "h"), (8, None, "i"), (None, "lone words", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, doc string").withColumn("mark", F.lit("x")).withColumn("several", F.lit(True))
+    for parts in (1, 4):
+        kept = corpus_pipeline.near_duplicates(spark, docs.repartition(parts), SF)
+        assert kept.columns == docs.columns
+        assert sorted((str(r["doc_id"]), r["doc"]) for r in kept.collect()) == [("2", "c"), ("7", "f"), ("8", "h"), ("8", "i"), ("None", "k")]
+    tagged = docs.withColumn("tags", F.create_map(F.lit("a"), F.lit(1)))  # a column without an order
+    assert corpus_pipeline.near_duplicates(spark, tagged, SF).count() == 5
+
+
+def test_stages_carry_columns_with_clashing_names(spark):
+    passage = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, passage, "en", "s", 5), (2, "x " + passage, "en", "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names = ("kept_text", "n_removed", "n_words", "_y", "_id", "_join", "_0", "score", "d0", "n_hit")
+    clash = docs.select("*", *[F.lit("FOREIGN").alias(c) for c in names])
+    made = {r["doc_id"]: r for r in corpus_pipeline.substring_dedup(spark, clash, SF).collect()}
+    assert made[1]["text"] == passage and made[2]["text"] == "x" and made[2]["n_chars"] == 1
+    assert {made[2][c] for c in names} == {"FOREIGN"}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, clash, SF).columns == clash.columns
+    assert corpus_pipeline.byte_level_bpe(spark, clash, SF).count() == 2
