@@ -18,6 +18,9 @@ from ..sources.export import window_scan
 # Classes of partner items in the pair bound: one for each leading item, then hashed ones.
 _LEADING = 64
 _HASHED = 64
+#: Cells of the pair bound that are counted exactly in one step, and pairs of lines that this may take.
+_CELLS = 4096
+_PAIR_ROWS = 50_000_000
 
 
 def _readable(order_items: DataFrame) -> DataFrame:
@@ -90,31 +93,64 @@ class Transactions:
     def min_count(self, support: float) -> int:
         return max(1, math.ceil(support * self.count))
 
-    def pair_bound(self) -> int:
-        """No pair of items is in more baskets than this.
-
-        Items fall into 128 classes: each leading item alone, the others by hash.
-        Partners are counted per item and class, so a line adds at most 128 rows
-        however large its basket, and they combine before the shuffle. The bound
-        is the exact pair count for leading items.
-        """
+    def _classed(self) -> DataFrame:
+        """(order_id, item_id, class): classes below 64 are one leading item each, the others are hashed."""
         leading = self.item_counts.orderBy(F.col("freq").desc(), "item_id").limit(_LEADING)
         numbered = leading.select(
             "item_id", (F.row_number().over(Window.orderBy(F.col("freq").desc(), "item_id")) - 1).alias("_own")
         )
         hashed = F.lit(_LEADING) + F.pmod(F.xxhash64("item_id"), F.lit(_HASHED)).cast("int")
-        classed = self.lines.join(F.broadcast(numbered), "item_id", "left").select(
+        return self.lines.join(F.broadcast(numbered), "item_id", "left").select(
             "order_id", "item_id", F.coalesce("_own", hashed).alias("class")
         )
+
+    def _pair_cells(self, classed: DataFrame) -> DataFrame:
+        """(item_id, partner, together): pairs of an item with the items of a class, over all baskets.
+
+        Partners are counted per item and class, so a line adds at most 128 rows
+        however large its basket, and they combine before the shuffle. For a leading
+        item's own class the count is that of one pair, else the sum over the class.
+        """
         present = classed.groupBy("order_id", F.col("class").alias("partner")).agg(F.count(F.lit(1)).alias("n"))
         partners = F.col("n") - (F.col("partner") == F.col("class")).cast("int")
-        bound = (
-            classed.join(present, "order_id")
-            .groupBy("item_id", "partner")
-            .agg(F.sum(partners).alias("together"))
-            .agg(F.max("together"))
-        )
-        return bound.first()[0] or 0
+        return classed.join(present, "order_id").groupBy("item_id", "partner").agg(F.sum(partners).alias("together"))
+
+    def pair_bound(self) -> int:
+        """No pair of items is in more baskets than this."""
+        return self._pair_cells(self._classed()).agg(F.max("together")).first()[0] or 0
+
+    def best_pair(self, rows: int = _PAIR_ROWS) -> int:
+        """How many baskets hold the most frequent pair, exactly.
+
+        Counts with leading items are exact and give a first answer. Cells of hashed classes whose sum
+        is above it may hide a better pair: the largest sums are counted pair by pair, about ``rows``
+        pairs of lines at a time, which raises the answer and rules out cells, until none is left above it.
+        """
+        classed = written(self._classed(), "classed-lines")
+        cells = written(self._pair_cells(classed).where("together > 0"), "pair-cells")
+        best = cells.where(F.col("partner") < _LEADING).agg(F.max("together")).first()[0] or 0
+        open_ = cells.where(F.col("partner") >= _LEADING)
+        least = None  # cells down to this place in the order are done
+        place = F.struct((-F.col("together")).alias("down"), "item_id", "partner")
+        while True:
+            left = open_.where(F.col("together") > best)
+            if least is not None:
+                left = left.where(place > least)
+            top = left.orderBy(place).limit(_CELLS)
+            upto = Window.orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+            chosen = written(
+                top.withColumn("_before", F.coalesce(F.sum("together").over(upto), F.lit(0))).where(F.col("_before") < rows), "open-cells"
+            )
+            last = chosen.agg(F.max(place).alias("last")).first()["last"]
+            if last is None:
+                return best
+            kinds = ("long", dict(cells.dtypes)["item_id"], "int")
+            least = F.struct(*[F.lit(v).cast(kind) for v, kind in zip(last, kinds)])
+            mine = classed.join(F.broadcast(chosen.select("item_id", "partner")), "item_id").select("order_id", "item_id", "partner")
+            theirs = classed.select("order_id", F.col("class").alias("partner"), F.col("item_id").alias("other"))
+            pairs = mine.join(theirs, ["order_id", "partner"]).where(F.col("item_id") != F.col("other"))
+            found = pairs.groupBy("item_id", "other").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+            best = max(best, found or 0)
 
     def itemsets(self, support: float) -> DataFrame:
         """(items, freq): every itemset in at least ``ceil(support * N)`` baskets, items sorted.
@@ -166,16 +202,14 @@ def support_sweep(order_items: DataFrame, supports=fixed.SWEEP_SUPPORTS) -> Data
 def adaptive_itemsets(baskets: Transactions, min_support: float) -> DataFrame | None:
     """Itemsets at the first support, halving from ``min_support`` to 0.001, that has a pair.
 
-    None when there is none. Supports that no pair can reach are passed over
-    without a mining run.
+    None when there is none. The most frequent pair tells which support that is, so only
+    that one is mined.
     """
     support = float(min_support)
-    bound = baskets.pair_bound() if support >= fixed.SUPPORT_FLOOR else 0
+    best = baskets.best_pair() if support >= fixed.SUPPORT_FLOOR else 0
     while support >= fixed.SUPPORT_FLOOR:
-        if baskets.min_count(support) <= bound:
-            found = baskets.itemsets(support)
-            if not found.where(F.size("items") >= 2).isEmpty():
-                return found
+        if baskets.min_count(support) <= best:
+            return baskets.itemsets(support)
         support /= 2.0
     return None
 

@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -79,6 +80,30 @@ def test_pair_bound(spark, monkeypatch, leading, hashed):
     assert bound >= pairs and (leading < 64 or bound == pairs)
 
 
+@pytest.mark.parametrize("leading, hashed, rows", [(64, 64, 10**6), (2, 1, 10**6), (2, 1, 1), (0, 3, 5)])
+def test_best_pair_is_exact_and_mined_once(spark, monkeypatch, leading, hashed, rows):
+    """Few classes make sums that mislead by far; the pair is exact all the same, and one support is mined."""
+    monkeypatch.setattr(baskets, "_LEADING", leading)
+    monkeypatch.setattr(baskets, "_HASHED", hashed)
+    r = random.Random(2)
+    orders = [[0, *r.sample(range(1, 40), 6)] if k % 2 else r.sample(range(20, 60), 5) for k in range(120)] + mixed_orders()
+    tx = baskets.Transactions(lines(spark, orders))
+    pairs = max(c for s, c in brute_itemsets(orders, 0.0).items() if len(s) == 2)
+    assert tx.best_pair(rows) == pairs
+    if leading < 64:
+        assert tx.pair_bound() > 2 * pairs
+    mined, itemsets = [], tx.itemsets
+    monkeypatch.setattr(tx, "itemsets", lambda support: mined.append(support) or itemsets(support))
+    found = baskets.adaptive_itemsets(tx, 0.9)
+    assert len(mined) == 1 and not found.where("size(items) = 2").isEmpty()
+    assert tx.min_count(2 * mined[0]) > pairs
+
+
+def test_no_pair_at_all(spark):
+    tx = baskets.Transactions(lines(spark, [[1], [2]]))
+    assert tx.best_pair() == 0 and baskets.adaptive_itemsets(tx, 0.9) is None
+
+
 def test_profile_and_sizes(spark):
     df = lines(spark, [[1, 2], [1, 1], [3], [1, 2, 3]])
     row = baskets.basket_profile(df).first()
