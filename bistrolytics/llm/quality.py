@@ -2,14 +2,17 @@
 
 Two logistic models look at a document from different sides: its text (shape of words, lines and
 characters, compressibility) and its metadata (source, language, stated length). Over a few rounds
-each is fitted on the labelled rows and on rows of an unlabelled pool for which the *other* model is
+each is fitted on labelled rows and on all unlabelled documents for which the *other* model is
 confident. Both are then calibrated on labelled rows that neither was fitted on, combined by a third
 logistic model on the calibrated views, and applied to every document.
 
-Fitting reads at most ``max_labelled`` labelled and ``max_pool`` unlabelled rows (those with the
-smallest hash of their id), so the driver holds a bounded sample; scoring is one pass over all whole
-texts without a shuffle. A document is kept if its score reaches a limit that keeps ``keep_good`` of
-the good calibration rows, 0.5 at most.
+Features of all documents are worked out once and written. Labelled rows used for fitting are bounded
+by ``max_labelled`` (those with the smallest hash of their id) and lie on the driver. The unlabelled
+ones, however many, stay where they are: each step of Newton's method is one pass over their features
+in which every task adds up its part of the matrix and gradient of both models, and only these sums
+(some thousand numbers) are added up and sent on. Features are scaled by the labelled rows. A document
+is kept if its score reaches a limit that keeps ``keep_good`` of the good calibration rows, 0.5 at
+most; scores are rounded to nine decimals, so equal ones fall on one side of it.
 
 Nulls: a null label or id teaches nothing; a null text has score 0 and is not kept, as is a text
 without words; null metadata is a value of its own. Several labels of one id all count. Where labels
@@ -20,12 +23,16 @@ and are kept. An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, StructField, StructType
+
+from bistrolytics.functions.sizing import written
 
 from .texts import per_document, plain_words
 
@@ -71,21 +78,36 @@ class Logistic:
     weights: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> "Logistic":
-        mean, scale = x.mean(0), x.std(0) + 1e-6
-        z = np.hstack([np.clip((x - mean) / scale, -6, 6), np.ones((len(x), 1))])
-        w, penalty = np.zeros(z.shape[1]), ridge * np.eye(z.shape[1])
+    def start(cls, x: np.ndarray) -> "Logistic":
+        return cls(x.mean(0), x.std(0) + 1e-6, np.zeros(x.shape[1] + 1))
+
+    def design(self, x: np.ndarray) -> np.ndarray:
+        return np.hstack([np.clip((x - self.mean) / self.scale, -6, 6), np.ones((len(x), 1))])
+
+    def sums(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Matrix and gradient of a step of Newton's method, which add up over rows."""
+        z = self.design(x)
+        p = sigmoid(z @ self.weights)
+        return (z * (p * (1 - p) + 1e-6)[:, None]).T @ z, z.T @ (y - p)
+
+    def moved(self, matrix: np.ndarray, gradient: np.ndarray, ridge: float = 1.0) -> tuple["Logistic", float]:
+        """The model after the step, and its largest change of a weight."""
+        penalty = ridge * np.eye(len(gradient))
         penalty[-1, -1] = 1e-6
-        for _ in range(steps):  # Newton's method
-            p = sigmoid(z @ w)
-            move = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ w)
-            w += move
-            if np.abs(move).max() < 1e-6:
+        move = np.linalg.solve(matrix + penalty, gradient - penalty @ self.weights)
+        return Logistic(self.mean, self.scale, self.weights + move), float(np.abs(move).max())
+
+    @classmethod
+    def fit(cls, x: np.ndarray, y: np.ndarray, steps: int = 25) -> "Logistic":
+        model = cls.start(x)
+        for _ in range(steps):
+            model, move = model.moved(*model.sums(x, y))
+            if move < 1e-6:
                 break
-        return cls(mean, scale, w)
+        return model
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -6, 6) @ self.weights[:-1] + self.weights[-1]
+        return self.design(x) @ self.weights
 
 
 @dataclass
@@ -100,39 +122,63 @@ class CoTrained:
     def views(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a = self.text_scale.logit(self.text.logit(text)[:, None])
         b = self.meta_scale.logit(self.meta.logit(meta)[:, None])
-        return sigmoid(a), sigmoid(b), sigmoid(self.both.logit(np.stack([a, b], 1)))
+        return sigmoid(a), sigmoid(b), np.round(sigmoid(self.both.logit(np.stack([a, b], 1))), 9)
+
+
+@dataclass
+class Teacher:
+    """A view's model and its calibration: what it tells the other view about unlabelled rows."""
+
+    model: Logistic
+    scale: Logistic
+
+    def told(self, x: np.ndarray, sure: float) -> tuple[np.ndarray, np.ndarray]:
+        """(rows it is sure of, their labels)."""
+        p = sigmoid(self.scale.logit(self.model.logit(x)[:, None]))
+        rows = np.flatnonzero((p >= sure) | (p <= 1 - sure))
+        return rows, (p[rows] >= 0.5).astype(float)
+
+
+#: Adds up the parts of both models' steps over the unlabelled rows: (text, meta, teachers of each) to sums.
+PoolSums = Callable[[Logistic, Logistic, Teacher, Teacher, float], tuple]
+
+
+def pool_sums(text: np.ndarray, meta: np.ndarray, a: Logistic, b: Logistic, by_meta: Teacher, by_text: Teacher, sure: float) -> tuple:
+    """(matrix and gradient of the text model, the same of the metadata model) over some unlabelled rows."""
+    rows, told = by_meta.told(meta, sure)
+    first = a.sums(text[rows], told)
+    rows, told = by_text.told(text, sure)
+    return (*first, *b.sums(meta[rows], told))
 
 
 def cotrain(
-    text: np.ndarray, meta: np.ndarray, label: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray,
-    rounds: int = 3, sure: float = 0.97, keep_good: float = 0.998,
+    text: np.ndarray, meta: np.ndarray, label: np.ndarray, pool: PoolSums,
+    rounds: int = 3, sure: float = 0.97, keep_good: float = 0.998, steps: int = 8,
 ) -> CoTrained | None:
     """The models; every third labelled row is kept for calibration. None without two kinds of labels."""
     held = np.arange(len(label)) % 3 == 2
     if len(set(label[held].tolist())) < 2 or len(set(label[~held].tolist())) < 2:
         return None
     x, m, y = text[~held], meta[~held], label[~held]
-    given: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-    def fit(view: str, own: np.ndarray, pool: np.ndarray) -> tuple[Logistic, Logistic]:
-        rows, labels = given.get(view, (np.zeros(0, int), np.zeros(0)))
-        model = Logistic.fit(np.vstack([own, pool[rows]]), np.concatenate([y, labels]))
-        source = text if view == "text" else meta
-        return model, Logistic.fit(model.logit(source[held])[:, None], label[held])
-
-    for k in range(rounds + 1):
-        a, a_scale = fit("text", x, pool_text)
-        b, b_scale = fit("meta", m, pool_meta)
-        if k == rounds:
-            break
-        for view, model, scale, pool in (("meta", a, a_scale, pool_text), ("text", b, b_scale, pool_meta)):
-            p = sigmoid(scale.logit(model.logit(pool)[:, None])) if len(pool) else np.zeros(0)
-            rows = np.flatnonzero((p >= sure) | (p <= 1 - sure))
-            given[view] = rows, (p[rows] >= 0.5).astype(float)
-    views = np.stack([a_scale.logit(a.logit(text[held])[:, None]), b_scale.logit(b.logit(meta[held])[:, None])], 1)
+
+    def calibrated(model: Logistic, source: np.ndarray) -> Teacher:
+        return Teacher(model, Logistic.fit(model.logit(source[held])[:, None], label[held]))
+
+    a, b = Logistic.fit(x, y), Logistic.fit(m, y)
+    for _ in range(rounds):
+        by_text, by_meta = calibrated(a, text), calibrated(b, meta)
+        for _ in range(steps):
+            found = pool(a, b, by_meta, by_text, sure)
+            own = (*a.sums(x, y), *b.sums(m, y))
+            (h, g, k, d) = (p + q for p, q in zip(own, found))
+            (a, one), (b, two) = a.moved(h, g), b.moved(k, d)
+            if max(one, two) < 1e-3:
+                break
+    by_text, by_meta = calibrated(a, text), calibrated(b, meta)
+    views = np.stack([by_text.scale.logit(a.logit(text[held])[:, None]), by_meta.scale.logit(b.logit(meta[held])[:, None])], 1)
     both = Logistic.fit(views, label[held])
-    good = np.sort(sigmoid(both.logit(views))[label[held] == 1])
-    return CoTrained(a, b, a_scale, b_scale, both, float(min(0.5, good[int((1 - keep_good) * len(good))])))
+    good = np.sort(np.round(sigmoid(both.logit(views)), 9)[label[held] == 1])
+    return CoTrained(a, b, by_text.scale, by_meta.scale, both, float(min(0.5, good[int((1 - keep_good) * len(good))])))
 
 
 def _features(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, chars_col: str) -> DataFrame:
@@ -147,38 +193,74 @@ def _features(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang
     return per_document(plain, make, [("_shape", ArrayType(DoubleType()))], "_id", "_text", ("_source", "_lang", "_chars"))
 
 
+def _matrices(text: pa.Array, meta: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    n = len(text)
+    return (
+        text.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1),
+        meta.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1),
+    )
+
+
+def _pool(rows: DataFrame) -> PoolSums:
+    """Sums over rows(text, meta), one pass per call; a task sends its sums, which Spark adds up."""
+
+    def sums(a: Logistic, b: Logistic, by_meta: Teacher, by_text: Teacher, sure: float) -> tuple:
+        sizes = len(a.weights), len(b.weights)
+        shapes = [(sizes[0], sizes[0]), (sizes[0],), (sizes[1], sizes[1]), (sizes[1],)]
+        cells = sum(int(np.prod(s)) for s in shapes)
+
+        def run(batches):
+            total = np.zeros(cells)
+            for batch in batches:
+                if batch.num_rows:
+                    found = pool_sums(*_matrices(batch.column(0), batch.column(1)), a, b, by_meta, by_text, sure)
+                    total += np.concatenate([part.ravel() for part in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells)), pa.array(total)], names=["cell", "part"])
+
+        added = rows.mapInArrow(run, "cell long, part double").groupBy("cell").agg(F.sum("part").alias("part"))
+        whole = np.zeros(cells)
+        for row in added.collect():
+            whole[row["cell"]] = row["part"]
+        edges = np.cumsum([0, *[int(np.prod(s)) for s in shapes]])
+        return tuple(whole[p:q].reshape(s) for p, q, s in zip(edges, edges[1:], shapes))
+
+    return sums
+
+
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    lang_col: str = "lang", chars_col: str = "n_chars", label_col: str = "quality",
-    max_labelled: int = 10_000, max_pool: int = 10_000, **options,
+    lang_col: str = "lang", chars_col: str = "n_chars", label_col: str = "quality", max_labelled: int = 15_000, **options,
 ) -> CoTrained | None:
+    names = (id_col, text_col, source_col, lang_col, chars_col)
+    inner = docs.select(*[docs[c].alias(f"_{k}") for k, c in enumerate(names)]).where("_0 is not null")
+
+    def meta(batches):
+        for batch in batches:
+            cells = [meta_features(*row) for row in zip(*[batch.column(k).to_pylist() for k in (2, 3, 4)])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1).cast(pa.list_(pa.float32())), pa.array(cells, pa.list_(pa.float32()))], names=["id", "text", "meta"]
+            )
+
+    shaped = _features(inner, "_0", "_1", "_2", "_3", "_4").select("_id", "_shape", "_source", "_lang", "_chars")
+    schema = StructType([StructField("id", shaped.schema["_id"].dataType), *[StructField(c, ArrayType(FloatType())) for c in ("text", "meta")]])
+    features = written(shaped.mapInArrow(meta, schema), "quality-features")
     known = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull()).select(
-        labels[id_col].alias("_id"), (labels[label_col] > 0).cast("double").alias("_y")
+        labels[id_col].alias("_known"), (labels[label_col] > 0).cast("double").alias("_y")
     )
-    first = F.xxhash64("_id"), F.col("_id"), F.col("_y")
-    taught = known.orderBy(*first).limit(max_labelled)
-    names = (id_col, text_col, source_col, lang_col, chars_col)
-    ids = docs.select(docs[id_col].alias("_id")).where("_id is not null")
-    pool = ids.join(known.select("_id"), "_id", "left_anti").orderBy(F.xxhash64("_id"), "_id").limit(max_pool)
-    # both samples are bounded by the two parameters, so their ids may be broadcast
-    wanted = taught.unionByName(pool.withColumn("_y", F.lit(None).cast("double")))
-    # by number, so that no column of docs can clash with the ones made here
-    inner = docs.select(*[docs[c].alias(f"_{k}") for k, c in enumerate(names)])
-    chosen = inner.join(F.broadcast(wanted), inner["_0"] == wanted["_id"])
-    plain = chosen.select(F.struct(F.col("_id").alias("_join"), F.col("_y")).alias("_key"), *[f"_{k}" for k in range(1, len(names))])
-    made = _features(plain, "_key", "_1", "_2", "_3", "_4").select(
-        F.col("_id._join").cast("string").alias("id"), F.col("_id._y").alias("y"), "_shape", "_source", "_lang", "_chars"
-    ).toArrow()
-    # the same order on every run: by a checksum of the id, then by all that is known of the row
-    ids = made.column("id").to_pylist()
-    order = np.lexsort([made.column("y").to_numpy(), np.asarray(ids, dtype="U"), [zlib.crc32((i or "").encode()) for i in ids]])
-    text = np.stack(made.column("_shape").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]) if ids else np.zeros((0, 1))
-    meta = np.asarray([meta_features(*(made.column(c)[int(k)].as_py() for c in ("_source", "_lang", "_chars"))) for k in order])
-    y = made.column("y").to_numpy().astype(float)[order]
-    told = ~np.isnan(y)
-    if not told.any():
+    known = written(known.join(features.select(F.col("id").alias("_known")).distinct(), "_known", "left_semi"), "quality-labels")
+    taught = known.orderBy(F.xxhash64("_known"), "_known", "_y").limit(max_labelled)
+    made = (
+        features.join(F.broadcast(taught), features["id"] == F.col("_known"))  # its rows are bounded
+        .select(F.col("id").cast("string").alias("id"), "_y", "text", "meta").toArrow()
+    )
+    if not made.num_rows:
         return None
-    return cotrain(text[told], meta[told], y[told], text[~told], meta[~told], **options)
+    # the same order on every run: by a checksum of the id, then by all that is known of the row
+    ids, y = made.column("id").to_pylist(), made.column("_y").to_numpy().astype(float)
+    text, cells = _matrices(made.column("text").combine_chunks(), made.column("meta").combine_chunks())
+    order = np.lexsort([*text.T, y, np.asarray(ids, dtype="U"), [zlib.crc32(i.encode()) for i in ids]])
+    rest = features.join(known.select("_known").distinct(), features["id"] == F.col("_known"), "left_anti").select("text", "meta")
+    return cotrain(text[order], cells[order], y[order], _pool(written(rest, "quality-pool")), **options)
 
 
 def score(
@@ -204,6 +286,8 @@ def score(
             else:
                 shape = np.asarray([text_features(t, packer) for t in texts])
                 meta = np.asarray([meta_features(*x) for x in zip(sources, langs, chars)])
+                # as precise as the rows that the models were fitted on
+                shape, meta = (x.astype(np.float32).astype(np.float64) for x in (shape, meta))
                 (a, b, c), limit = model.views(shape, meta), model.limit
             c = np.where(empty, 0.0, c)
             return {"p_text": a, "p_meta": b, "score": c, "kept": (c >= limit) & ~empty}
