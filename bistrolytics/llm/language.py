@@ -6,8 +6,10 @@ into chunks that are compressed with each dictionary; the language with the smal
 chosen. Where the second is hardly larger the choice is marked as not accepted.
 
 Learning reads ``sample_docs`` texts per language (those with the smallest hash of their id, so the
-choice does not depend on the order of rows) and keeps ``dictionary_bytes`` of them: that bounds the
-dictionaries, which are sent to every task. Prediction reads the whole of every text.
+choice does not depend on the order of rows), each whole. Pieces spread over the whole of a text stand
+for it, equal texts once; the dictionary takes a piece of every text, then a second one of each, until
+``dictionary_bytes`` are full. That bounds the dictionaries, which are sent to every task. Prediction
+reads the whole of every text.
 
 Nulls: a null text, and one without a letter, is ``und`` with score 0; rows without language or text
 teach nothing; a null id stays. Without any language to learn all texts are ``und``. Equal totals, as
@@ -17,10 +19,12 @@ columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+
 import regex
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, StringType
 
 from .texts import per_document
 
@@ -41,6 +45,19 @@ def letters(text: str) -> bytes:
     return b" ".join(plain.split()).decode("latin-1").encode()
 
 
+PIECE = 128
+PIECES = 16
+
+
+def pieces_of(data: bytes) -> list[bytes]:
+    """At most PIECES pieces: all of a short text in order, else places spread evenly, far ones first."""
+    if len(data) <= PIECE * PIECES:
+        return [data[a : a + PIECE] for a in range(0, len(data), PIECE)]
+    order = sorted(range(PIECES), key=lambda k: int(f"{k:04b}"[::-1], 2))
+    starts = [k * (len(data) - PIECE) // (PIECES - 1) for k in order]
+    return [data[a : a + PIECE] for a in starts]
+
+
 def learn(
     labelled: DataFrame,
     sample_docs: int = 200,
@@ -56,15 +73,23 @@ def learn(
     order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
     chosen = rows.select("_lang", "_id").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample_docs)
     # at most sample_docs rows per language, so the ids may be broadcast
-    share = dictionary_bytes // 16
-    texts = rows.join(F.broadcast(chosen.select("_id", "_lang").distinct()), ["_id", "_lang"]).select(
-        "_lang", "_id", F.substring("_text", 1, share).alias("_text")
-    )
+    wanted = F.broadcast(chosen.select("_id", "_lang").distinct())
+    same = rows["_id"].eqNullSafe(wanted["_id"]) & (rows["_lang"] == wanted["_lang"])
+    texts = rows.join(wanted, same, "left_semi")
+
+    def make():
+        return lambda texts: {"_pieces": [pieces_of(letters(t.decode("utf-8", "replace"))) if t else [] for t in texts]}
+
+    found = per_document(texts, make, [("_pieces", ArrayType(BinaryType()))], "_id", "_text", ("_lang",))
+    by_lang: dict[str, set] = {}
+    for row in found.select("_lang", "_pieces").distinct().collect():  # some pieces of a bounded sample
+        by_lang.setdefault(row["_lang"], set()).add(tuple(map(bytes, row["_pieces"])))
     made: dict[str, bytes] = {}
-    for row in sorted(texts.collect(), key=lambda r: (r["_lang"], str(r["_id"]), r["_text"])):
-        made[row["_lang"]] = made.get(row["_lang"], b"") + letters(row["_text"]) + b"\n"
+    for lang, texts_of in by_lang.items():
+        turns = [piece for turn in itertools.zip_longest(*sorted(texts_of)) for piece in turn if piece]
+        made[lang] = b"\n".join(turns)[:dictionary_bytes]
     often = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().collect()}
-    return {lang: made[lang][:dictionary_bytes] for lang in sorted(made, key=lambda x: (-often.get(x, 0), x))}
+    return {lang: made[lang] for lang in sorted(made, key=lambda x: (-often.get(x, 0), x))}
 
 
 def predict(
