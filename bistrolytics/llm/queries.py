@@ -58,7 +58,8 @@ def op6_token_counts(spark, sf):
     counted = token_counts.lengths(
         table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     )
-    return token_counts.context_table(token_counts.histogram(counted))
+    limits = tuple(2**k for k in range(9, 18))
+    return token_counts.context_table(token_counts.histogram(counted), limits=limits)
 
 
 @query
