@@ -1,5 +1,6 @@
 """The ten operators against plain answers, on texts with every odd case."""
 
+import numpy as np
 import pyarrow.orc
 import pytest
 import brute
@@ -175,15 +176,27 @@ def test_bands_follow_the_table(documents):
 
 def test_token_counts(documents, corpus):
     counted = token_counts.lengths(documents([*corpus, corpus[0]]), RANKS, PATTERN)
-    table = token_counts.context_table(token_counts.histogram(counted), block=16)
+    hist = token_counts.histogram(counted)
     encoding = token_counts.rank_encoding(RANKS, PATTERN)
     sizes = sorted(len(encoding.encode_ordinary(t or "")) for _, t in [*corpus, corpus[0]])
-    want = []
-    for n in sorted(set(sizes)):
-        up = [s for s in sizes if s <= n]
-        want.append((n, sizes.count(n), len(up), len(sizes) - len(up), sum(up), sum(min(s, n) for s in sizes), sum(sizes), len(up) / len(sizes)))
-    assert rows(table) == expected(want)
-    assert token_counts.quantile(table, 0.5).first()[0] == sizes[(len(sizes) - 1) // 2]
+
+    def answers(limits):
+        out = []
+        for n in sorted(limits):
+            up = [s for s in sizes if s <= n]
+            out.append((n, sizes.count(n), len(up), len(sizes) - len(up), sum(up), sum(min(s, n) for s in sizes), sum(sizes), len(up) / len(sizes)))
+        return expected(out)
+
+    assert rows(token_counts.context_table(hist, block=16)) == answers(set(sizes))
+    limits = (0, 1, 3, 100, 512, sizes[-1], 10**6)
+    table = token_counts.context_table(hist, 16, limits)
+    assert rows(table) == answers(set(sizes) | set(limits))
+    for share in (0.0, 0.5, 1.0):
+        assert token_counts.quantile(table, share).first()[0] == sizes[max(0, -(-int(share * 1000 * len(sizes)) // 1000) - 1)]
+    asked = hist.sparkSession.createDataFrame([(n,) for n in (*limits, 100, None)], "n_tokens int")
+    assert rows(token_counts.at_limits(hist, asked, 16)) == answers(set(limits))
+    nothing = hist.where("false")
+    assert token_counts.context_table(nothing, 16, limits).count() == 0 == token_counts.at_limits(nothing, asked).count()
 
 
 def test_byte_bpe(documents, corpus):
@@ -405,3 +418,98 @@ def test_empty_tables(spark, documents, tmp_path):
     assert token_files.positions(spark, scratch(tmp_path)).count() == 0
     some = documents([(1, "a b")])
     assert [r["contaminated"] for r in decontaminate.digest(decontaminate.matches(some, tests)).collect()] == [False]
+
+
+def plain_rounds(text, meta, label, pool_text, pool_meta, rounds=3, sure=0.97, steps=8):
+    """Weights of both views, with the unlabelled rows that each is taught stacked under its labelled ones."""
+    held = np.arange(len(label)) % 3 == 2
+    sides, pools, y = [text, meta], [pool_text, pool_meta], label[~held]
+    models = [quality.Logistic.fit(side[~held], y) for side in sides]
+    for _ in range(rounds):
+        told = []
+        for model, side, pool in zip(models, sides, pools):
+            p = 1 / (1 + np.exp(-quality.Logistic.fit(model.logit(side[held])[:, None], label[held]).logit(model.logit(pool)[:, None])))
+            told.append(((p >= sure) | (p <= 1 - sure), (p >= 0.5).astype(float)))
+        stacked = []
+        for k in (0, 1):
+            rows, labels = told[1 - k]
+            stacked.append((np.vstack([sides[k][~held], pools[k][rows]]), np.concatenate([y, labels[rows]])))
+        for _ in range(steps):
+            moves = []
+            for k, (x, target) in enumerate(stacked):
+                z = np.hstack([np.clip((x - models[k].mean) / models[k].scale, -6, 6), np.ones((len(x), 1))])
+                p = 1 / (1 + np.exp(-np.clip(z @ models[k].weights, -40, 40)))
+                penalty = np.diag([*[1.0] * (z.shape[1] - 1), 1e-6])
+                move = np.linalg.solve((z.T * (p * (1 - p) + 1e-6)) @ z + penalty, z.T @ (target - p) - penalty @ models[k].weights)
+                models[k] = quality.Logistic(models[k].mean, models[k].scale, models[k].weights + move)
+                moves.append(np.abs(move).max())
+            if max(moves) < 1e-3:
+                break
+    return [model.weights for model in models], [rows.sum() for rows, _ in told]
+
+
+def test_cotraining_over_parts_equals_stacked_rows(spark):
+    """Sums of steps, added up by Spark over parts, give the models of all rows in one place."""
+    r = np.random.default_rng(4)
+    label = (r.random(300) < 0.5).astype(float)
+    unknown = (r.random(900) < 0.5).astype(float)
+
+    def side(y, width, signal):
+        return (r.normal(size=(len(y), width)) + signal * np.outer(2 * y - 1, np.ones(width))).astype(np.float32).astype(float)
+
+    text, meta, pool_text, pool_meta = side(label, 6, 0.9), side(label, 4, 0.7), side(unknown, 6, 0.9), side(unknown, 4, 0.7)
+    rows = spark.createDataFrame([(t, m) for t, m in zip(pool_text.tolist(), pool_meta.tolist())], "text array<float>, meta array<float>")
+    model = quality.cotrain(text, meta, label, quality._pool(rows.repartition(5)))
+    weights, taught = plain_rounds(text, meta, label, pool_text, pool_meta)
+    assert min(taught) > 200
+    assert np.allclose(model.text.weights, weights[0], atol=1e-8) and np.allclose(model.meta.weights, weights[1], atol=1e-8)
+    alone = quality.cotrain(text, meta, label, quality._pool(rows.where("false")))
+    assert not np.allclose(alone.text.weights, weights[0], atol=1e-3)
+
+
+def test_quality_with_clashing_columns_and_repeated_ids(spark):
+    rows = [(k, f"good words number {k} " * 30 if k % 2 else "zz 9 ## " * 30, "en", "s", 500) for k in range(60)]
+    rows += [rows[3], rows[4], (None, rows[5][1], None, None, None), (5, None, "en", "s", None), (7, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(3, 1), (None, 1), (999, 0), (4, None)], "doc_id long, quality int")
+    plain = {(r["doc_id"], r["score"]) for r in quality.score(docs, quality.train(docs, labels)).collect()}
+    for name in ("_y", "_id", "_known", "id", "meta", "_shape", "_0", "_text", "p_text", "kept"):
+        docs, labels = docs.withColumn(name, F.lit("x")), labels.withColumn(name, F.lit("x"))
+    model = quality.train(docs, labels)
+    assert {(r["doc_id"], r["score"]) for r in quality.score(docs, model).select("doc_id", "score").collect()} == plain
+    assert quality.keep_good(docs, labels).columns == docs.columns
+
+
+def test_dictionaries_hold_pieces_of_every_sampled_text(spark):
+    """Not only openings: each text is there with places from all of it, and equal texts count once."""
+    rows = [(k, f"opening words {'abcdefghij'[k]}start " + "filler " * 900 + f" {'abcdefghij'[k]}ending", "en") for k in range(10)]
+    rows += [(50 + k, rows[0][1], "en") for k in range(30)] + [(99, "zz yy", "xx"), (None, "null id text", "en"), (98, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    made = language.learn(docs)
+    assert list(made) == ["en", "xx"] and made["xx"] == b"zz yy"
+    assert all(f"{c}start".encode() in made["en"] and f"{c}ending".encode() in made["en"] for c in "abcdefghij")
+    assert made["en"].count(b"astart") == 1 and b"null id text" in made["en"]
+    assert language.learn(docs.repartition(5)) == made
+    assert len(language.learn(docs, dictionary_bytes=300)["en"]) == 300
+
+
+def test_language_against_the_compressor(spark, documents, corpus):
+    """Predictions are the smallest totals of whole texts over the dictionaries."""
+    import zstandard
+
+    dictionaries = {"aa": b"the cat sat on the mat and the dog ran " * 9, "bb": b"der hund und die katze sind im haus " * 9}
+    pairs = [*corpus, (900, "The dog, and the cat!" * 700), (901, "Die Katze und der Hund " * 40), (902, "12 34"), (None, "the mat")]
+    found = {(r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in language.predict(documents(pairs), dictionaries).collect()}
+    want = set()
+    for doc_id, text in pairs:
+        data = b" ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).encode().split(b" ")).split()
+        data = b" ".join(data)
+        totals = []
+        for k, (name, raw) in enumerate(dictionaries.items()):
+            kept = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            kept.precompute_compress(level=6)
+            packer = zstandard.ZstdCompressor(dict_data=kept, level=6, write_content_size=False, write_checksum=False, write_dict_id=False)
+            totals.append((sum(len(packer.compress(data[a : a + 4096])) for a in range(0, len(data), 4096)), k, name))
+        low, high = sorted(totals)
+        want.add((doc_id, low[2] if data else "und", round((high[0] - low[0]) / high[0], 9) if data else 0.0))
+    assert found == want
