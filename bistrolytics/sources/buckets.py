@@ -9,6 +9,7 @@ marked row, since an overwrite replaces only partitions that it has rows for; re
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -63,14 +64,22 @@ def change_snapshot(
     """Apply upserts and deletes (without ``op``, upserts only), last one per key wins; gives the buckets rewritten."""
     if op not in changes.columns:
         changes = changes.withColumn(op, F.lit("upsert"))
+    return rewrite_buckets(spark, path, changes, lambda before, own: apply_changes(before, own, key, seq, op), key)
+
+
+def rewrite_buckets(
+    spark: SparkSession, path: str, rows: DataFrame, fold: Callable[[DataFrame, DataFrame], DataFrame], key: str = "menu_item_id"
+) -> list[int]:
+    """Replace the buckets that the keys of ``rows`` fall into by ``fold(their rows, rows)``; gives those buckets."""
     buckets, schema = _layout(spark, path)
-    changes = written(changes, "bucket-changes")
-    touched = sorted(r[0] for r in changes.select(_bucket(key, buckets)).distinct().collect())  # at most ``buckets``
+    rows = written(rows, "bucket-changes")
+    touched = sorted(r[0] for r in rows.select(_bucket(key, buckets)).distinct().collect())  # at most ``buckets``
     if not touched:
         return []
     stored = _stored(spark, path, schema)
     before = stored.where(F.col(_BUCKET).isin(touched) & ~F.col(_EMPTY)).drop(_EMPTY, _BUCKET)
-    after = written(apply_changes(before, changes, key, seq, op), "bucket-rows")
+    after = fold(before, rows).select(*[F.col(f.name).cast(f.dataType) for f in before.schema])  # the types of the files
+    after = written(after, "bucket-rows")
     dealt = after.withColumn(_EMPTY, F.lit(False)).withColumn(_BUCKET, _bucket(key, buckets))
     left = {r[0] for r in dealt.select(_BUCKET).distinct().collect()}
     emptied = [(b,) for b in touched if b not in left]

@@ -647,6 +647,7 @@ ORACLES["catalog_changes"] = f"""
 WITH {_LATEST}
 SELECT coalesce(menu_item_id, p_partkey) AS menu_item_id, coalesce(price, p_retailprice) AS price
 FROM part FULL JOIN latest ON menu_item_id = p_partkey WHERE NOT coalesce(gone, false)"""
+ORACLES["catalog_stream_state"] = ORACLES["catalog_changes"]
 ORACLES["catalog_bucket_changes"] = ORACLES["catalog_changes"]
 ORACLES["catalog_stream_changes"] = ORACLES["catalog_changes"]
 _FULL_TEXT = """'Tên: ' || name || ', Giá: ' || price || ', Mô tả: ' || description || ', Danh mục: ' || category

@@ -537,6 +537,17 @@ def catalog_stream_changes(spark, sf):
     return catalog_stream.current_catalog(_prices(spark, sf), log)
 
 
+@query
+def catalog_stream_state(spark, sf):
+    """The same stream into a state kept by item."""
+    schema = src.table(spark, sf, "lineitem").schema
+    lines = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
+    home, changes = scratch_dir(spark, "catalog-state"), src.as_catalog_changes(lines)
+    catalog_stream.start_state(_prices(spark, sf), f"{home}/state", seq_type=dict(changes.dtypes)["seq"])
+    catalog_stream.start_catalog_state_stream(changes, f"{home}/state", f"{home}/checkpoint").awaitTermination()
+    return catalog_stream.read_state(spark, f"{home}/state")
+
+
 def _embedded_catalog(spark, sf):
     return embed.embed_batch(catalog.with_payload(src.catalog(spark, sf)), "full_text")
 
