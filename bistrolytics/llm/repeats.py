@@ -28,7 +28,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ByteType, LongType, StringType, StructField, StructType
 
 from bistrolytics.functions.sizing import written
@@ -51,6 +51,11 @@ def _tag(text: bytes) -> int:
     return (zlib.crc32(text) & 0x7FFFFFF) << _PLACE_BITS
 
 
+def _tag_of(text: Column) -> Column:
+    """The checksum part of ``_tag``."""
+    return F.crc32(F.coalesce(text.cast("string"), F.lit("")).cast("binary")).bitwiseAND(0x7FFFFFF)
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(
         F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)).alias("doc"), docs[text_col].cast("string").alias("_text")
@@ -203,8 +208,9 @@ def _repeats_in(sorted_rows: DataFrame, window: int) -> DataFrame:
 
 def _single_windows(docs: DataFrame, stretches: DataFrame, window: int) -> DataFrame:
     """Every window of the given stretches, with its hash as anchor and body."""
-    wanted = stretches.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("_parts"))
-    joined = docs.join(wanted, "doc").select("doc", "_text", "_parts")
+    # by id and text, so rows that share an id or have none bring each other nothing
+    wanted = stretches.groupBy("doc", F.shiftright("at", _PLACE_BITS).alias("_tag")).agg(F.collect_list(F.struct("at", "n")).alias("_parts"))
+    joined = docs.withColumn("_tag", _tag_of(F.col("_text"))).join(wanted, ["doc", "_tag"]).select("doc", "_text", "_parts")
 
     def run(batches):
         words = Words()
@@ -283,7 +289,7 @@ def remove(
     space; without ``with_text`` it is left out. A column of ``docs`` that has one of these names
     is kept and the new one left out.
     """
-    spans = gone_words(docs, window, id_col, text_col).groupBy("doc").agg(
+    spans = gone_words(docs, window, id_col, text_col).groupBy("doc", F.shiftright("at", _PLACE_BITS).alias("tag")).agg(
         F.collect_list("at").alias("_at"), F.collect_list("n").alias("_n")
     )
     made = [("n_words", LongType()), ("n_removed", LongType()), ("kept_sha256", StringType()), ("kept_text", StringType())]
@@ -291,7 +297,7 @@ def remove(
     inner = [f"c{k}" for k in range(len(docs.columns))]
     text = docs.columns.index(text_col)
     source = docs.toDF(*inner).withColumn("doc", F.coalesce(F.col(inner[docs.columns.index(id_col)]).cast("long"), F.lit(_NO_ID)))
-    joined = source.join(spans, "doc", "left").select(*inner, "_at", "_n")
+    joined = source.withColumn("tag", _tag_of(F.col(inner[text]))).join(spans, ["doc", "tag"], "left").select(*inner, "_at", "_n")
     schema = StructType([joined.schema[c] for c in inner] + [StructField(f"m_{c}", kind) for c, kind in made])
 
     def run(batches):

@@ -52,6 +52,18 @@ def test_repeats_keep_columns_and_rows(documents, corpus):
     assert made.where("text is null").first()["kept_text"] is None
 
 
+def test_repeats_of_many_rows_without_id(spark, documents):
+    """Rows without id are told apart by their texts, so none of them carries the spans of the others."""
+    passage = " ".join(f"p{k}" for k in range(25))
+    pairs = [(None, f"own{k} " * 3 + passage + f" tail{k}") for k in range(5000)] + [(None, pairs_text) for pairs_text in ("", None)]
+    docs = documents(pairs)
+    spans = repeats.gone_words(docs)
+    per_key = spans.groupBy("doc", F.shiftright("at", 36)).count().agg(F.max("count")).first()[0]
+    assert per_key <= 20
+    made = repeats.remove(docs).select("n_words", "n_removed").collect()
+    assert len(made) == 5002 and sorted(r["n_removed"] for r in made) == [0, 0, 0] + [25] * 4999
+
+
 def test_similar(documents, corpus):
     found = similar.similar(documents(corpus))
     assert rows(found) == expected(brute.components(corpus))
