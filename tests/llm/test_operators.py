@@ -1,6 +1,7 @@
 """The ten operators against plain answers, on texts with every odd case."""
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.orc
 import pytest
 import brute
@@ -242,16 +243,23 @@ def test_token_files_with_null_ids(spark, documents, tmp_path):
     assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in found] == [(None, 0, 3), (1, 3, 1), (2, 4, 2), (2, 6, 2)]
 
 
-def test_encoder_equals_the_library():
+def test_encoder_equals_the_library(monkeypatch):
     import random
 
-    import numpy as np
-
     r, parts = random.Random(5), ["a", "B", "é", "É", "é", "'s", "'S", "'", "...", ",", "…", "3", " ", "\n", " ", "Σ", "İ", "🙂", "<|endoftext|>", "<|ENDOFTEXT|>", "\x01", "\x1c", "K", "-"]
     encoder, library = token_files.WordEncoder(WORDS), Tokenizer.from_file(WORDS)
-    for _ in range(1500):
-        text = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
-        assert np.frombuffer(encoder.ids([text.encode()])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(1500)]
+    for text in texts:
+        sizes, ids = encoder.ids(pa.array([text]))
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and sizes.tolist() == [len(ids)], repr(text)
+    # the same in slices, with nulls and a memory that is full all the time
+    for held in (0, token_files.CACHED_BYTES):
+        monkeypatch.setattr(token_files, "CACHED_BYTES", held)
+        for a in range(0, 1500, 100):
+            some = [None, *texts[a : a + 100], None]
+            sizes, ids = token_files.WordEncoder(WORDS).ids(pa.array(some)) if a % 500 else encoder.ids(pa.array(some))
+            want = [library.encode(t or "", add_special_tokens=False).ids for t in some]
+            assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
 def test_licenses(documents):
