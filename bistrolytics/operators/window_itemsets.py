@@ -120,6 +120,10 @@ class SlidingItemsets:
         least = max(1, math.ceil(self.support * sum(n for _, _, n in self.sizes)))
         # a candidate that only slides before the window brought has no complete counts
         brought = self._union("local", moves).select("items").distinct()
-        counts = self._union("counts", moves).where(F.col("part").isin(moves))
+        # a candidate that was dropped and came back was counted in a slide twice, with one result
+        counts = (
+            self._union("counts", moves).where(F.col("part").isin(moves))
+            .groupBy("part", "items").agg(F.max("freq").alias("freq"))
+        )
         sums = counts.groupBy("items").agg(F.sum("freq").alias("freq")).where(F.col("freq") >= least)
         return sums.join(brought, "items", "left_semi")
