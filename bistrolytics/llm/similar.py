@@ -39,7 +39,7 @@ from pyspark.sql.types import (
 
 from bistrolytics.functions.sizing import written
 
-from .texts import Words, bounded_batches, cut, folded_words, places, windows
+from .texts import Words, bounded_batches, cut, folded_words, places, trimmed, windows
 
 COMMON = 64
 BUCKET_BYTES = 16 << 20
@@ -143,7 +143,7 @@ def _packed(docs: DataFrame, length: int, bits: int) -> DataFrame:
                         rows.append((int(bucket[a]), block, int(bucket[a]), who, b"", data))
                 yield _pack_rows(rows)
 
-    return docs.mapInArrow(run, _PACK)
+    return docs.mapInArrow(trimmed(run), _PACK)
 
 
 def _labelled(packed: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def _labelled(packed: DataFrame) -> DataFrame:
         if now is not None and (made := answer(now, blocks, whos, datas)) is not None:
             yield made
 
-    return packed.repartition("to").sortWithinPartitions("bucket").mapInArrow(run, _PACK)
+    return packed.repartition("to").sortWithinPartitions("bucket").mapInArrow(trimmed(run), _PACK)
 
 
 def _profiles(labelled: DataFrame, bits: int, percent: int) -> DataFrame:
@@ -232,7 +232,7 @@ def _profiles(labelled: DataFrame, bits: int, percent: int) -> DataFrame:
         if now is not None:
             yield finish(head, parts)
 
-    return labelled.repartition("block").sortWithinPartitions("block").mapInArrow(run, _PROFILE)
+    return labelled.repartition("block").sortWithinPartitions("block").mapInArrow(trimmed(run), _PROFILE)
 
 
 def _doc_and_mark(doc_id: Column, text: Column) -> tuple[Column, Column]:
@@ -300,7 +300,7 @@ def links(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a[found]), pa.array(b[found])], names=["a", "b"])
 
     rows = cand.unionByName(probe).repartition("a", "part").sortWithinPartitions("a", "part", "kind", "tokens")
-    return rows.mapInArrow(run, _LINK)
+    return rows.mapInArrow(trimmed(run), _LINK)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ text is a slice of its own), so memory does not depend on Arrow's batch size.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -81,6 +83,25 @@ def windows(hashes: np.ndarray, length: int) -> np.ndarray:
     return _mixed(first[:n], rest[half : half + n])
 
 
+def trimmed(run: Callable) -> Callable:
+    """``run`` over batches, after which the Python worker gives memory that it no longer uses back.
+
+    Workers live on from task to task and from operator to operator; what their allocators keep adds up.
+    """
+
+    @functools.wraps(run)
+    def call(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return call
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Lower the session's bytes per Arrow batch to BATCH_BYTES; results do not depend on it."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
