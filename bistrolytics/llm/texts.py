@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from bistrolytics.functions.sizing import bytes_setting
+from bistrolytics.functions import sizing
 
 SLICE_BYTES = 2 << 20
 #: Rows of long texts would make large Arrow batches, of which Spark bounds the number of rows only.
@@ -104,9 +104,7 @@ def trimmed(run: Callable) -> Callable:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Lower the session's bytes per Arrow batch to BATCH_BYTES; results do not depend on it."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < bytes_setting(spark, key, "64m") <= BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+    sizing.bounded_batches(spark, BATCH_BYTES)
 
 
 def cut(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -57,6 +57,24 @@ def test_exclusions_come_before_the_cut(spark, clustered, how):
     assert lists(got) == brute(queries, items, 5, lambda q: gone[q])
 
 
+def test_no_query_is_copied_to_every_block(spark, monkeypatch):
+    """Vectors without structure: bounds prune nothing, and still a query leaves its partition for few blocks only."""
+    rng = np.random.default_rng(8)
+    items, queries = rng.normal(size=(300, 16)), rng.normal(size=(40, 16))
+    monkeypatch.setattr(sim, "_PACKED_ROWS", 16)
+    monkeypatch.setattr(sim, "_PART_BYTES", 1 << 13)
+    copied, plain = [], sim._Cells.visits
+
+    def counted(self, *args, **options):
+        copied.append(plain(self, *args, **options).count())
+        return plain(self, *args, **options)
+
+    monkeypatch.setattr(sim._Cells, "visits", counted)
+    got = sim.cosine_topk(frame(spark, queries, "query_id"), frame(spark, items), 6, **CELLS)
+    assert lists(got) == brute(queries, items, 6)
+    assert sum(copied) <= 3 * len(queries)
+
+
 def test_pruning_leaves_cells_out(spark, clustered):
     items, queries = clustered
     df = frame(spark, items)
