@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .texts import bounded_batches, cut
+from .texts import bounded_batches, cut, trimmed
 
 CHUNK_BYTES = 1 << 20
 KNOWN_WORDS = 400_000
@@ -202,7 +202,7 @@ def _chunks(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         if ids:
             yield row(ids, nulls, sizes, index, 0, places.words)
 
-    return docs.withColumnRenamed("_text", "text").mapInArrow(run, _CHUNK)
+    return docs.withColumnRenamed("_text", "text").mapInArrow(trimmed(run), _CHUNK)
 
 
 def encode(
@@ -272,7 +272,7 @@ def encode(
         columns = zip(*[derive(ids) for _, ids in rows])
         return pa.RecordBatch.from_arrays([head, *[pa.array(list(c)) for c in columns]], names=schema.names)
 
-    return folded.mapInArrow(run, schema)
+    return folded.mapInArrow(trimmed(run), schema)
 
 
 def _gather(index: np.ndarray, first: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -310,7 +310,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
             texts = [text_of(ids[a:b]) for a, b in zip(edges, edges[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text binary")
+    return encoded.select("doc_id", "ids").mapInArrow(trimmed(run), "doc_id long, text binary")
 
 
 class _Digest:

@@ -34,7 +34,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, Str
 
 from bistrolytics.functions.sizing import written
 
-from .texts import per_document, plain_words
+from .texts import per_document, plain_words, trimmed
 
 _KINDS = (
     bytes(range(65, 91)), bytes(range(48, 58)), b"#*$%&|<>", b"!", b"?.", b",;:", b"()[]{}'\"/\\=+-_@^~`", b"\n",
@@ -217,7 +217,7 @@ def _pool(rows: DataFrame) -> PoolSums:
                     total += np.concatenate([part.ravel() for part in found])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells)), pa.array(total)], names=["cell", "part"])
 
-        added = rows.mapInArrow(run, "cell long, part double").groupBy("cell").agg(F.sum("part").alias("part"))
+        added = rows.mapInArrow(trimmed(run), "cell long, part double").groupBy("cell").agg(F.sum("part").alias("part"))
         whole = np.zeros(cells)
         for row in added.collect():
             whole[row["cell"]] = row["part"]
@@ -243,7 +243,7 @@ def train(
 
     shaped = _features(inner, "_0", "_1", "_2", "_3", "_4").select("_id", "_shape", "_source", "_lang", "_chars")
     schema = StructType([StructField("id", shaped.schema["_id"].dataType), *[StructField(c, ArrayType(FloatType())) for c in ("text", "meta")]])
-    features = written(shaped.mapInArrow(meta, schema), "quality-features")
+    features = written(shaped.mapInArrow(trimmed(meta), schema), "quality-features")
     known = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull()).select(
         labels[id_col].alias("_known"), (labels[label_col] > 0).cast("double").alias("_y")
     )

@@ -33,7 +33,7 @@ from pyspark.sql.types import ByteType, LongType, StringType, StructField, Struc
 
 from bistrolytics.functions.sizing import written
 
-from .texts import Words, bounded_batches, cut, places, plain_words, windows
+from .texts import Words, bounded_batches, cut, places, plain_words, trimmed, windows
 
 _NO_ID = -(1 << 63)
 #: A place is the checksum of the text above the word's number, which orders rows with one id.
@@ -62,12 +62,15 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _slice(batch: pa.RecordBatch):
+def _slice(batch: pa.RecordBatch, words: Words):
+    """Slices of a batch with their texts, the hashes of all words, and where each text's words begin."""
     batch = batch.set_column(1, "_text", batch.column(1).cast(pa.binary()))
     for part in cut(batch, "_text"):
         texts = [t or b"" for t in part.column(1).to_pylist()]
         split = [plain_words(t) for t in texts]
-        yield part, texts, split, places([len(w) for w in split])
+        edges, hashes = places([len(w) for w in split]), words.of([w for doc in split for w in doc])
+        del split  # the words themselves take several times the text
+        yield part, texts, hashes, edges
 
 
 def _whole(edges: np.ndarray, window: int, n: int) -> np.ndarray:
@@ -113,8 +116,7 @@ def _stretches(docs: DataFrame, window: int) -> DataFrame:
     def run(batches):
         words = Words()
         for batch in batches:
-            for part, texts, split, edges in _slice(batch):
-                hashes = words.of([w for doc in split for w in doc])
+            for part, texts, hashes, edges in _slice(batch, words):
                 full = windows(hashes, window)
                 if not len(full):
                     continue
@@ -145,7 +147,7 @@ def _stretches(docs: DataFrame, window: int) -> DataFrame:
                 # dealt out by document: these rows only pass through
                 yield _rows(_GONE, doc[gone], at[gone], doc[gone], at[gone], count[gone] + window - 1)
 
-    return docs.mapInArrow(run, _ROWS)
+    return docs.mapInArrow(trimmed(run), _ROWS)
 
 
 class _Group:
@@ -203,7 +205,7 @@ def _repeats_in(sorted_rows: DataFrame, window: int) -> DataFrame:
             if at_head[-1] >= 0:
                 past.doc, past.at, past.n = doc[at_head[-1]], at[at_head[-1]], n[at_head[-1]]
 
-    return sorted_rows.mapInArrow(run, _ROWS)
+    return sorted_rows.mapInArrow(trimmed(run), _ROWS)
 
 
 def _single_windows(docs: DataFrame, stretches: DataFrame, window: int) -> DataFrame:
@@ -222,14 +224,14 @@ def _single_windows(docs: DataFrame, stretches: DataFrame, window: int) -> DataF
                 [batch.column(0), batch.column(1), pa.array(np.cumsum(lists.value_lengths().to_numpy()) - lists.value_lengths().to_numpy()),
                  lists.value_lengths()], names=["doc", "_text", "_from", "_n"],
             )
-            for part, texts, split, edges in _slice(batch):
-                full = windows(words.of([w for doc in split for w in doc]), window)
+            for part, texts, hashes, edges in _slice(batch, words):
+                full = windows(hashes, window)
                 ids, begin, size = part.column(0).to_numpy(), part.column(2).to_numpy(), part.column(3).to_numpy()
                 starts, doc, tag = [], [], []
                 for k, text in enumerate(texts):
                     own = _tag(text)
                     a, n = cell_at[begin[k] : begin[k] + size[k]] - own, cell_n[begin[k] : begin[k] + size[k]]
-                    mine = (a >= 0) & (a < len(split[k]))  # else of another row with this id
+                    mine = (a >= 0) & (a < edges[k + 1] - edges[k])  # else of another row with this id
                     a, n = a[mine], n[mine]
                     each = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
                     starts.append(each + edges[k])
@@ -247,7 +249,7 @@ def _single_windows(docs: DataFrame, stretches: DataFrame, window: int) -> DataF
                 yield _rows(_STRETCH, value[keep], 0, doc[keep], at[keep], one[keep])
                 yield _rows(_GONE, doc[gone], 0, doc[gone], at[gone], one[gone] + window - 1)
 
-    return joined.mapInArrow(run, _ROWS)
+    return joined.mapInArrow(trimmed(run), _ROWS)
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
@@ -323,7 +325,7 @@ def remove(
 
     taken = {c.lower() for c in docs.columns}
     new = [F.col(f"m_{c}").alias(c) for c, _ in made if c not in taken]
-    return joined.mapInArrow(run, schema).select(*[F.col(a).alias(c) for a, c in zip(inner, docs.columns)], *new)
+    return joined.mapInArrow(trimmed(run), schema).select(*[F.col(a).alias(c) for a, c in zip(inner, docs.columns)], *new)
 
 
 def digest(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

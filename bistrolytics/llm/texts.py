@@ -83,21 +83,35 @@ def windows(hashes: np.ndarray, length: int) -> np.ndarray:
     return _mixed(first[:n], rest[half : half + n])
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def trimmed(run: Callable) -> Callable:
-    """``run`` over batches, after which the Python worker gives memory that it no longer uses back.
+    """``run`` over batches, where the Python worker gives memory that it no longer uses back: every BATCH_BYTES and at the end.
 
     Workers live on from task to task and from operator to operator; what their allocators keep adds up.
     """
 
     @functools.wraps(run)
     def call(batches):
+        def paced():
+            passed = 0
+            for batch in batches:
+                passed += batch.nbytes
+                yield batch
+                del batch
+                if passed >= BATCH_BYTES:
+                    passed = 0
+                    _give_back()
+
         try:
-            yield from run(batches)
+            yield from run(paced())
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            _give_back()
 
     return call
 
@@ -159,7 +173,7 @@ def per_document(
         *[docs[c].alias(n) for n, c in zip(inner, head)], docs[text_col].cast("string").alias("text"),
         *[docs[c].alias(f"x{k}") for k, c in enumerate(extra)],
     )
-    return source.mapInArrow(run, schema).toDF(*head, *[name for name, _ in fields])
+    return source.mapInArrow(trimmed(run), schema).toDF(*head, *[name for name, _ in fields])
 
 
 def places(counts: list[int] | np.ndarray) -> np.ndarray:

@@ -118,3 +118,22 @@ def test_stages_carry_columns_with_clashing_names(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, clash, SF).columns == clash.columns
     assert corpus_pipeline.byte_level_bpe(spark, clash, SF).count() == 2
+
+
+def test_workers_give_memory_back_between_batches(monkeypatch):
+    """A worker of substring_dedup kept the arrays of all slices, on top of what the stages before it had left."""
+    import pyarrow as pa
+
+    from bistrolytics.llm import repeats, texts
+
+    class Task:
+        def mapInArrow(self, run, schema):
+            return run
+
+    given = []
+    monkeypatch.setattr(texts, "BATCH_BYTES", 1000)
+    monkeypatch.setattr(texts, "_give_back", lambda: given.append(1))
+    text = " ".join(f"w{k}" for k in range(300))
+    batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([text])], names=["doc", "_text"]) for k in range(5)]
+    found = list(repeats._stretches(Task(), 20)(iter(batches)))
+    assert sum(b.num_rows for b in found) > 0 and len(given) >= 5
