@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import fixed
 from ..functions.checks import check_columns, check_range
-from ..functions.sizing import broadcast_if_fits, written
+from ..functions.sizing import broadcast_if_fits, pieces, written
 from ..sources.artifacts import serve_rules
 from ..sources.export import window_scan
 
@@ -21,6 +21,8 @@ _HASHED = 64
 #: Cells of the pair bound that are counted exactly in one step, and pairs of lines that this may take.
 _CELLS = 4096
 _PAIR_ROWS = 50_000_000
+#: Order lines in a task that gathers orders. A task's memory follows from it, not from the table or from how well it compresses.
+_TASK_LINES = 1 << 19
 
 
 def _readable(order_items: DataFrame) -> DataFrame:
@@ -30,12 +32,22 @@ def _readable(order_items: DataFrame) -> DataFrame:
     )
 
 
+def _by_order(order_items: DataFrame) -> DataFrame:
+    """Readable lines dealt by order, in as many tasks as their number asks for."""
+    lines = _readable(order_items)
+    spark = lines.sparkSession
+    # a stated number is not coalesced by bytes, which are few where names repeat
+    tasks = pieces(lines.count(), _TASK_LINES)
+    least = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return lines.repartition(max(tasks, least), "order_id")
+
+
 def multi_item_lines(order_items: DataFrame) -> DataFrame:
     """(order_id, item_id, first): different items of orders with 2 or more, one of them marked.
 
     Lines are dealt by order once; repeats go, and items are counted, inside that partitioning.
     """
-    lines = _readable(order_items).repartition("order_id").dropDuplicates(["order_id", "item_id"])
+    lines = _by_order(order_items).dropDuplicates(["order_id", "item_id"])
     order = Window.partitionBy("order_id")
     return (
         lines.withColumn("_lowest", F.min("item_id").over(order)).withColumn("_highest", F.max("item_id").over(order))
@@ -52,7 +64,7 @@ def basket_profile(order_items: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("order_id")
     lines = (
-        _readable(order_items).repartition("order_id").groupBy("order_id", "item_id").agg(F.count(F.lit(1)).alias("rows"))
+        _by_order(order_items).groupBy("order_id", "item_id").agg(F.count(F.lit(1)).alias("rows"))
         .withColumn("_lowest", F.min("item_id").over(order)).withColumn("_highest", F.max("item_id").over(order))
     )
     multi, first = F.col("_lowest") < F.col("_highest"), F.col("item_id") == F.col("_lowest")

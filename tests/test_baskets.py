@@ -126,3 +126,13 @@ def test_bounds(spark):
     for bad in ({"min_support": 1.5}, {"min_confidence": -0.1}, {"analyze_days": 366}):
         with pytest.raises(ValueError):
             baskets.generate_combos(lines(spark, ORDERS), **bad)
+
+
+def test_tasks_follow_the_number_of_lines_not_their_bytes(spark, monkeypatch):
+    """Names that repeat compress well, so tasks joined by bytes held ever more lines as the table grew."""
+    monkeypatch.setattr(baskets, "_TASK_LINES", 50)
+    table = lines(spark, [[o % 7, 7 + o % 5, 20] for o in range(400)])
+    assert baskets._by_order(table).rdd.getNumPartitions() == 24
+    kept = baskets.multi_item_lines(table)
+    assert kept.rdd.getNumPartitions() == 24 and kept.count() == 1200
+    assert baskets.basket_profile(table).first() == (1200, 400, 400, 13)
