@@ -8,8 +8,8 @@ look-up per part, and the best ``depth`` are scored again with their real vector
 How many cells and candidates that takes is measured, not guessed: ``tune`` compares a bounded sample of
 queries with exact search over all items and widens both until the asked recall is reached.
 
-Codes lie in packed blocks of one cell, queries are packed by the cell they visit; they meet cell by cell.
-A large cell is many blocks and a cell visited by many queries many chunks, so neither grows one task.
+Codes and unit vectors lie in packed blocks of one cell, a large cell is many blocks. Packed chunks of queries
+meet partitions of blocks where both are read; neither a query nor a candidate is copied per cell.
 """
 
 from __future__ import annotations
@@ -21,14 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.checks import check_columns, check_range
-from ..functions.sizing import cut_lineage, scratch_dir, written
-from .similarity import cosine_topk
+from ..functions.sizing import bounded_batches, cut_lineage, pieces, scratch_dir, written
+from .similarity import _packed, cosine_topk
 
 BLOCK_ROWS = 4096
-CHUNK_ROWS = 256
+CHUNK_ROWS = 256  # queries that are scored at a time
+QUERY_ROWS = 1024  # queries in a packed chunk
 CODES = 256
 
 
@@ -83,10 +84,6 @@ class Books:
         padded[:, : rows.shape[1]] = rows
         return padded.reshape(len(rows), self.parts, -1)
 
-    def tables(self, units: np.ndarray) -> np.ndarray:
-        """(rows, parts, codes): what each code adds to a query's score."""
-        return np.einsum("qpd,pcd->qpc", self._split(units), self.codes)
-
 
 def train_books(items: DataFrame, cells: int | None = None, parts: int = 16, sample_rows: int = 1 << 16, rounds: int = 12, seed: int = 3) -> Books:
     """Centres and code books from at most ``sample_rows`` items."""
@@ -108,7 +105,7 @@ def train_books(items: DataFrame, cells: int | None = None, parts: int = 16, sam
 class PqIndex:
     """Packed codes of every item, the books, and how wide a search must be."""
 
-    blocks: DataFrame  # cell, item_ids, codes
+    blocks: DataFrame  # cell, item_ids, codes, units
     vectors: DataFrame  # item_id, vector
     books: Books
     cells_per_query: int
@@ -130,27 +127,27 @@ class PqIndex:
 
 
 def _blocks(items: DataFrame, books: Books) -> DataFrame:
-    """(cell, item_ids, codes): every item encoded, in blocks of one cell of up to BLOCK_ROWS items."""
+    """(cell, item_ids, codes, units): every item encoded, in blocks of one cell of up to BLOCK_ROWS items, with its unit vector."""
     kind = items.schema["item_id"].dataType
-    coded = StructType([StructField("item_id", kind), StructField("cell", IntegerType()), StructField("code", BinaryType())])
+    coded = StructType([StructField("item_id", kind), StructField("cell", IntegerType()), StructField("code", BinaryType()), StructField("unit", BinaryType())])
     arrow = to_arrow_schema(coded)
 
     def encode(batches):
         for batch in batches:
             if batch.num_rows:
-                cell, codes = books.encode(_unit(batch.column(1).to_pylist()))
+                units = _unit(batch.column(1).to_pylist())
+                cell, codes = books.encode(units)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).cast(arrow.field(0).type), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())],
+                    [batch.column(0).cast(arrow.field(0).type), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([u.tobytes() for u in units], pa.binary())],
                     schema=arrow,
                 )
 
     rows = written(items.select("item_id", "vector").mapInArrow(encode, coded), "pq-codes")
     sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts"))  # a row per cell
     dealt = rows.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("item_id"), F.col("parts")))
-    entry = F.collect_list(F.struct("item_id", "code"))
+    entry = F.collect_list(F.struct("item_id", "code", "unit"))
     packed = dealt.groupBy("cell", "part").agg(F.array_sort(entry).alias("e"))
-    codes = F.transform("e", lambda e: e["code"])
-    return packed.select("cell", F.col("e.item_id").alias("item_ids"), codes.alias("codes"))
+    return packed.select("cell", F.col("e.item_id").alias("item_ids"), F.col("e.code").alias("codes"), F.col("e.unit").alias("units"))
 
 
 def build_pq(items: DataFrame, cells: int | None = None, parts: int = 16, sample_rows: int = 1 << 16, recall: float = 0.95, k: int = 10) -> PqIndex:
@@ -162,62 +159,116 @@ def build_pq(items: DataFrame, cells: int | None = None, parts: int = 16, sample
     return tune(PqIndex(blocks, usable, books, 1, 4 * k), recall, k)
 
 
-def _best_codes(queries: DataFrame, index: PqIndex, depth: int) -> DataFrame:
-    """(query_id, item_id): the ``depth`` best items by their codes in the cells that a query visits."""
+class _Candidates:
+    """A chunk of queries and the best ``depth`` items of each by their codes, over the blocks seen so far."""
+
+    def __init__(self, units: np.ndarray, books: Books, visits: int, depth: int):
+        self.units, self.books, self.depth = units, books, depth
+        # the vector that belongs to a cell's score: cosine to its centre
+        near = np.argsort(-(units @ books.centres.T), axis=1, kind="stable")[:, :visits]
+        self.visited = np.zeros((len(units), len(books.centres)), bool)
+        np.put_along_axis(self.visited, near, True, axis=1)
+        self.bar = np.full(len(units), -np.inf)
+        self.rows, self.ids, self.about, self.scores = np.zeros(0, np.int64), None, np.zeros(0), np.zeros(0)
+        self.fresh, self.waiting = [], 0
+
+    def add(self, cell: int, ids: np.ndarray, codes: np.ndarray, items: np.ndarray) -> None:
+        asking = np.flatnonzero(self.visited[:, cell])
+        if not len(asking):
+            return
+        told = self.books.centres[cell] + self.books.codes[np.arange(self.books.parts), codes].reshape(len(codes), -1)[:, : self.units.shape[1]]
+        for at in range(0, len(asking), CHUNK_ROWS):
+            some = asking[at : at + CHUNK_ROWS]
+            about = np.nan_to_num(self.units[some] @ told.T, nan=-3.0)
+            bar, n = self.bar[some], min(self.depth, len(ids))
+            bar = np.maximum(bar, np.partition(about, len(ids) - n, axis=1)[:, len(ids) - n])
+            row, column = np.nonzero(about >= bar[:, None])
+            exact = np.empty(len(row))
+            for k in range(0, len(row), 1 << 15):
+                exact[k : k + (1 << 15)] = np.einsum("ij,ij->i", self.units[some[row[k : k + (1 << 15)]]], items[column[k : k + (1 << 15)]])
+            self.fresh.append((some[row], ids[column], about[row, column], np.round(np.nan_to_num(exact), 12) + 0.0))
+            self.waiting += len(row)
+            if self.waiting > max(1 << 18, len(self.rows)):
+                self.settle()
+
+    def settle(self) -> None:
+        if not self.fresh:
+            return
+        held = [(self.rows, self.ids, self.about, self.scores)] if len(self.rows) else []
+        rows, ids, about, scores = (np.concatenate(c) for c in zip(*held, *self.fresh))
+        order = np.lexsort((ids, -about, rows))
+        rows, ids, about, scores = rows[order], ids[order], about[order], scores[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+        keep = place < self.depth
+        self.rows, self.ids, self.about, self.scores = rows[keep], ids[keep], about[keep], scores[keep]
+        last = place[keep] == self.depth - 1
+        self.bar[self.rows[last]] = self.about[last]
+        self.fresh, self.waiting = [], 0
+
+    def best(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, item, exact score) of each query's k best candidates."""
+        self.settle()
+        if not len(self.rows):
+            return self.rows, np.zeros(0, np.int64), self.scores
+        order = np.lexsort((self.ids, -self.scores, self.rows))
+        rows = self.rows[order]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+        return rows[keep], self.ids[order][keep], self.scores[order][keep]
+
+
+def _best_items(queries: DataFrame, index: PqIndex, depth: int, k: int) -> DataFrame:
+    """(query_id, item_id): the k best by exact score of the items that codes put first in the cells that a query visits.
+
+    Packed queries meet the blocks of a partition where both are read. Candidates are scored again there, at
+    least the ``depth`` best by codes (as many in each partition of blocks), and only k per query leave a task.
+    """
     books, visits = index.books, min(index.cells_per_query, len(index.books.centres))
     q_kind, i_kind = queries.schema["query_id"].dataType, index.vectors.schema["item_id"].dataType
-    visit = StructType([StructField("query_id", q_kind), StructField("vector", ArrayType(DoubleType())), StructField("cell", IntegerType())])
-    visit_arrow = to_arrow_schema(visit)
 
-    def spread(batches):
+    def place(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            units = _unit(batch.column(1).to_pylist())
-            # the vector that belongs to a cell's score: cosine to its centre
-            near = np.argsort(-(units @ books.centres.T), axis=1, kind="stable")[:, :visits]
-            row = np.repeat(np.arange(len(units)), visits)
-            lists = pa.array(units.tolist(), visit_arrow.field(1).type)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)).cast(visit_arrow.field(0).type), lists.take(pa.array(row)), pa.array(near.ravel(), pa.int32())],
-                schema=visit_arrow,
-            )
-
-    visiting = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(spread, visit)
-    counts = visiting.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("parts"))
-    dealt = visiting.join(F.broadcast(counts), "cell").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")))
-    asking = dealt.groupBy("cell", "part").agg(F.collect_list(F.struct("query_id", "vector")).alias("q"))
-    pairs = asking.join(index.blocks, "cell").select(
-        "cell", F.col("q.query_id").alias("query_ids"), F.col("q.vector").alias("vectors"), "item_ids", "codes"
+            if len(batch):
+                units = _unit(np.stack(batch["vector"]))
+                fits = units.shape[1] == books.centres.shape[1]  # not where nothing was there to train on
+                yield batch.assign(cell=(units @ books.centres.T).argmax(axis=1).astype("int32") if fits else np.zeros(len(batch), "int32"))
+
+    bounded_batches(queries.sparkSession)
+    asked = queries.select(
+        F.col("query_id").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.lit(k).cast("long").alias("depth"), F.lit(None).cast("double").alias("floor")
     )
-    schema = StructType([StructField("query_id", q_kind), StructField("item_id", i_kind), StructField("about", DoubleType())])
+    asked = asked.mapInPandas(place, f"id {q_kind.simpleString()}, vector array<double>, depth bigint, floor double, cell int")
+    parts = min(pieces(queries.count(), QUERY_ROWS), 4 * queries.sparkSession.sparkContext.defaultParallelism)
+    left = _packed(asked, parts, QUERY_ROWS).select("number", "ids", "matrix")
+    schema = StructType([StructField("query_id", q_kind), StructField("item_id", i_kind), StructField("score", DoubleType())])
     arrow = to_arrow_schema(schema)
 
+    def found(query_ids: pa.Array, held: _Candidates):
+        rows, ids, scores = held.best(k)
+        if len(rows):
+            yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(rows)), pa.array(ids, arrow.field(1).type), pa.array(scores)], schema=arrow)
+
     def score(batches):
+        number = query_ids = held = None
         for batch in batches:
-            for k in range(batch.num_rows):
-                cell, asked, units, ids, codes = (batch.column(c)[k] for c in range(5))
-                units = np.asarray(units.as_py())
-                held = np.frombuffer(b"".join(codes.as_py()), np.uint8).reshape(-1, books.parts)
-                tables = books.tables(units)
-                scores = np.repeat((units @ books.centres[cell.as_py()])[:, None], len(held), axis=1)
-                for p in range(books.parts):
-                    scores += tables[:, p, held[:, p]]
-                n = min(depth, scores.shape[1])
-                at = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-                row = np.repeat(np.arange(len(units)), n)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        asked.values.take(pa.array(row)).cast(arrow.field(0).type),
-                        ids.values.take(pa.array(at.ravel())).cast(arrow.field(1).type),
-                        pa.array(np.take_along_axis(scores, at, 1).ravel()),
-                    ],
-                    schema=arrow,
-                )
-
-    best = Window.partitionBy("query_id").orderBy(F.col("about").desc(), "item_id")
-    found = pairs.mapInArrow(score, schema).withColumn("_at", F.row_number().over(best))
-    return found.where(F.col("_at") <= depth).select("query_id", "item_id")
+            for r in range(batch.num_rows):
+                if batch.column("number")[r].as_py() != number:
+                    if held is not None:
+                        yield from found(query_ids, held)
+                    number = batch.column("number")[r].as_py()
+                    # copies, so that no batch is held back
+                    query_ids = pa.concat_arrays([batch.column("ids")[r].values.cast(arrow.field(0).type), pa.nulls(0, arrow.field(0).type)])
+                    units = np.frombuffer(batch.column("matrix")[r].as_buffer(), np.float64).reshape(len(query_ids), -1).copy()
+                    held = _Candidates(units, books, visits, depth)
+                ids = batch.column("item_ids")[r].values.to_numpy(zero_copy_only=False)
+                codes = np.frombuffer(b"".join(batch.column("codes")[r].as_py()), np.uint8).reshape(len(ids), -1)
+                items = np.frombuffer(b"".join(batch.column("units")[r].as_py()), np.float64).reshape(len(ids), -1)
+                held.add(batch.column("cell")[r].as_py(), ids, codes, items)
+        if held is not None:
+            yield from found(query_ids, held)
+
+    pairs = left.hint("shuffle_replicate_nl").crossJoin(index.blocks.select("cell", "item_ids", "codes", "units"))
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
+    return pairs.mapInArrow(score, schema).withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= k).select("query_id", "item_id")
 
 
 def _cosine(a: str, b: str):
@@ -233,7 +284,7 @@ def pq_topk(queries: DataFrame, index: PqIndex, k: int) -> DataFrame:
     check_range("k", k, 1, 10_000)
     check_columns(queries, "query_id", "vector")
     asked = queries.where(F.col("vector").isNotNull()).select("query_id", "vector")
-    found = _best_codes(asked, index, max(index.depth, k))
+    found = _best_items(asked, index, max(index.depth, k), k)
     exact = (
         found.join(asked.withColumnRenamed("vector", "q"), "query_id").join(index.vectors, "item_id")
         .select("query_id", "item_id", (_cosine("q", "vector") + 0.0).alias("score"))

@@ -72,3 +72,13 @@ def test_encoding_is_the_nearest_entry():
         rest = np.append(u - books.centres[c], 0.0).reshape(2, 3)
         for p in range(2):
             assert code[p] == min(range(4), key=lambda j: ((rest[p] - books.codes[p, j]) ** 2).sum())
+
+
+def test_only_the_best_rows_of_a_query_leave_a_task(items, index, monkeypatch):
+    """A search sent a copy of each query per cell visited and ``depth`` candidates per query and block through shuffles."""
+    monkeypatch.setattr(pq, "QUERY_ROWS", 100)
+    queries = items.where("item_id < 300").select(F.col("item_id").alias("query_id"), "vector")
+    found = pq._best_items(queries, index, 40, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and plan.count("Exchange") <= 2
+    assert found.count() == 300 * 5
