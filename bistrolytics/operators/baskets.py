@@ -23,6 +23,8 @@ _CELLS = 4096
 _PAIR_ROWS = 50_000_000
 #: Order lines in a task that gathers orders. A task's memory follows from it, not from the table or from how well it compresses.
 _TASK_LINES = 1 << 19
+#: Pairs and triples per basket up to which they are counted as rows; beyond, the miner gets whole baskets.
+_SUBSETS = 200
 
 
 def _readable(order_items: DataFrame) -> DataFrame:
@@ -164,28 +166,67 @@ class Transactions:
             found = pairs.groupBy("item_id", "other").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
             best = max(best, found or 0)
 
+    def _baskets(self, items: DataFrame, smallest: int) -> DataFrame:
+        """(items, size): baskets of ``smallest`` or more of the named items, sorted."""
+        baskets = (
+            self.lines.select("order_id", "item_id").join(items, "item_id", "left_semi")
+            .groupBy("order_id")
+            .agg(F.sort_array(F.collect_list("item_id")).alias("items"))
+        )
+        sized = baskets.select("items", F.size("items").alias("size")).where(F.col("size") >= smallest)
+        return written(sized, "baskets")
+
     def itemsets(self, support: float) -> DataFrame:
         """(items, freq): every itemset in at least ``ceil(support * N)`` baskets, items sorted.
 
         Items below that count cannot be part of one and leave first, so a
-        basket that reaches the miner holds frequent items only.
+        basket that reaches the miner holds frequent items only. Where baskets are small their pairs
+        and triples are counted as rows, and only items of larger sets reach the miner.
         """
         least = self.min_count(support)
-        frequent = self.item_counts.where(F.col("freq") >= least).select("item_id")
-        baskets = (
-            self.lines.select("order_id", "item_id").join(frequent, "item_id", "left_semi")
-            .groupBy("order_id")
-            .agg(F.collect_list("item_id").alias("items"))
-        )
-        baskets = written(baskets.select("items"), "baskets")
-        rows = baskets.count()
-        if rows == 0:
-            kind = dict(self.lines.dtypes)["item_id"]
-            return self.lines.sparkSession.createDataFrame([], f"items array<{kind}>, freq long")
-        # The miner counts from the baskets it sees; half a basket less keeps the same cut.
-        miner = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / rows)
-        found = miner.fit(baskets).freqItemsets
-        return written(found.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
+        frequent = self.item_counts.where(F.col("freq") >= least)
+        single = frequent.select(F.array("item_id").alias("items"), "freq")
+        baskets = self._baskets(frequent.select("item_id"), 2)
+        size = F.col("size").cast("double")
+        rows, subsets = baskets.agg(
+            F.count(F.lit(1)), F.sum(size * (size - 1) / 2 + size * (size - 1) * (size - 2) / 6)
+        ).first()
+        if rows < least:
+            return written(single, "itemsets")
+        if subsets > rows * _SUBSETS:
+            return written(single.unionByName(_mined(baskets, rows, least, 2)), "itemsets")
+        found = [single]
+        pairs = written(_pairs(baskets).groupBy("a", "b").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= least), "pairs")
+        found.append(pairs.select(F.array("a", "b").alias("items"), "freq"))
+        # a set of 3 has 3 pairs, one of 4 has 4 triples
+        if len(pairs.take(3)) == 3:
+            thirds = _pairs(baskets).join(pairs.select("a", "b"), ["a", "b"], "left_semi").select("a", "b", F.explode("later").alias("c"))
+            triples = written(thirds.groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= least), "triples")
+            triples = triples.select(F.array("a", "b", "c").alias("items"), "freq")
+            found.append(triples)
+            if len(triples.take(4)) == 4:
+                held = triples.select(F.explode("items").alias("item_id")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+                large = self._baskets(held.where(F.col("n") >= 3).select("item_id"), 4)
+                rows = large.count()
+                if rows >= least:
+                    found.append(_mined(large, rows, least, 4))
+        return written(functools.reduce(DataFrame.unionByName, found), "itemsets")
+
+
+def _pairs(baskets: DataFrame) -> DataFrame:
+    """(a, b, later): the pairs of each basket, and its items after both."""
+    first = baskets.select("items", F.posexplode("items").alias("i", "a"))
+    rest = first.select("a", F.slice("items", F.col("i") + 2, F.size("items")).alias("rest"))
+    both = rest.select("a", "rest", F.posexplode("rest").alias("j", "b"))
+    return both.select("a", "b", F.slice("rest", F.col("j") + 2, F.size("rest")).alias("later"))
+
+
+def _mined(baskets: DataFrame, rows: int, least: int, smallest: int) -> DataFrame:
+    """(items, freq): itemsets of ``smallest`` or more items in at least ``least`` of the ``rows`` baskets."""
+    # The miner counts from the baskets it sees; half a basket less keeps the same cut.
+    miner = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / rows)
+    found = miner.fit(baskets.select("items")).freqItemsets.where(F.size("items") >= smallest)
+    return found.select(F.array_sort("items").alias("items"), "freq")
 
 
 def frequent_itemsets(order_items: DataFrame, support: float) -> DataFrame:

@@ -136,3 +136,24 @@ def test_tasks_follow_the_number_of_lines_not_their_bytes(spark, monkeypatch):
     kept = baskets.multi_item_lines(table)
     assert kept.rdd.getNumPartitions() == 24 and kept.count() == 1200
     assert baskets.basket_profile(table).first() == (1200, 400, 400, 13)
+
+
+def test_pairs_and_triples_need_no_miner(spark, monkeypatch):
+    """Trees of the miner took most of a sweep, though few sets are larger than a triple."""
+    orders = [[i % 6, 6 + i % 5, 11 + i % 4] for i in range(120)] + [[i % 6, 20] for i in range(30)] + [[1]] * 9
+    want = brute_itemsets(orders, 0.01)
+    assert max(map(len, want)) == 3
+    monkeypatch.setattr(baskets, "FPGrowth", None)
+    got = baskets.frequent_itemsets(lines(spark, orders), 0.01).collect()
+    assert {tuple(r["items"]): r.freq for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("subsets", [200, 0])
+def test_large_sets_are_found_whichever_way_pairs_are_counted(spark, monkeypatch, subsets):
+    monkeypatch.setattr(baskets, "_SUBSETS", subsets)
+    rng = random.Random(5)
+    orders = [rng.sample(range(9), rng.randint(1, 8)) for _ in range(150)] + [[20, 21], [22, 23, 24]] * 20
+    want = brute_itemsets(orders, 0.05)
+    assert max(map(len, want)) >= 5
+    got = baskets.frequent_itemsets(lines(spark, orders), 0.05).collect()
+    assert {tuple(r["items"]): r.freq for r in got} == want and len(got) == len(want)
