@@ -87,23 +87,37 @@ def build_features(daily: DataFrame) -> DataFrame:
     """Lags 1..7, mean and sample deviation of the 7 days before, calendar columns.
 
     The first 7 calendar days of a series have incomplete windows and are dropped.
-    All windows share one partitioning and order, so they cost one sort.
+    The windows share one partitioning and order, so they cost one sort; the week before is
+    read off the lags, instead of being gone through again for every day.
     """
     by_day = Window.partitionBy("series").orderBy("date")
-    week = by_day.rowsBetween(-7, -1)
     lags = [F.lag("value", k).over(by_day).alias(f"lag_{k}") for k in range(1, 8)]
-    return (
-        fill_days(daily)
-        .select(
-            "series", "date", "value", *lags,
-            F.avg("value").over(week).alias("roll_mean_7"),
-            F.coalesce(F.stddev_samp("value").over(week), F.lit(0.0)).alias("roll_std_7"),
-            *calendar_columns(F.col("date")),
-        )
-        .where(F.col("lag_7").isNotNull())
+    lagged = fill_days(daily).select("series", "date", "value", *lags).where(F.col("lag_7").isNotNull())
+    return _week_before(lagged).select(
+        "series", "date", "value", *[f"lag_{k}" for k in range(1, 8)], "roll_mean_7", "roll_std_7",
+        *calendar_columns(F.col("date")),
     )
 
 
+def _week_before(lagged: DataFrame) -> DataFrame:
+    """With ``roll_mean_7`` and ``roll_std_7`` (sample deviation, 0 for one value) of the lags that have a value.
+
+    Lags are added one by one, the oldest first, as Spark's own aggregates do.
+    """
+    state = lagged.withColumns({"_n": F.lit(0.0), "_sum": F.lit(0.0), "_avg": F.lit(0.0), "_m2": F.lit(0.0)})
+    for k in range(7, 0, -1):
+        x, known = F.col(f"lag_{k}"), F.col(f"lag_{k}").isNotNull()
+        state = state.withColumns({"_n": F.col("_n") + known.cast("double"), "_d": x - F.col("_avg")})
+        state = state.withColumn("_dn", F.col("_d") / F.col("_n"))
+        state = state.withColumns({
+            "_sum": F.col("_sum") + F.coalesce(x, F.lit(0.0)),
+            "_avg": F.when(known, F.col("_avg") + F.col("_dn")).otherwise(F.col("_avg")),
+            "_m2": F.when(known, F.col("_m2") + F.col("_d") * (F.col("_d") - F.col("_dn"))).otherwise(F.col("_m2")),
+        })
+    deviation = F.when(F.col("_n") > 1, F.sqrt(F.col("_m2") / (F.col("_n") - 1))).otherwise(F.lit(0.0))
+    return state.withColumns({"roll_mean_7": F.col("_sum") / F.col("_n"), "roll_std_7": deviation})
+
+
 def flat_forecast(daily: DataFrame, horizon: int) -> DataFrame:
     """The mean of the last 7 observed days, +-20 %; a series without days gives no rows."""
     check_range("horizon", horizon, 1, 30)
@@ -210,13 +224,13 @@ def train_forecast(features: DataFrame, max_iter: int = 150, seed: int = 42) ->
 
 def _last_week(scored: DataFrame) -> DataFrame:
     """One row per series: last date, last 7 values (newest first), scale and deviation of its residuals."""
-    newest = F.max_by(
-        F.struct("date", F.array("value", *[f"lag_{k}" for k in range(1, 7)]).alias("week")), F.col("date")
-    )
+    # numbers on their own are aggregated by hash; a struct would be by sort
+    week = ["value", *[f"lag_{k}" for k in range(1, 7)]]
+    newest = [F.max_by(name, "date").alias(f"_w{k}") for k, name in enumerate(week)]
     return scored.groupBy("series").agg(
-        newest.alias("s"), F.first("_scale").alias("_scale"),
+        F.max("date").alias("last_date"), *newest, F.first("_scale").alias("_scale"),
         F.stddev_pop(F.col("value") - F.col("prediction")).alias("_sigma"),
-    ).select("series", F.col("s.date").alias("last_date"), F.col("s.week").alias("week"), "_scale", "_sigma")
+    ).select("series", "last_date", F.array(*[f"_w{k}" for k in range(7)]).alias("week"), "_scale", "_sigma")
 
 
 def predict_recursive(
