@@ -231,7 +231,7 @@ def encode(
 
     def run(batches):
         library = None
-        codes, first = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        codes, first = np.zeros(0, "<u2"), np.zeros(1, np.int64)
         for batch in batches:
             for k in range(batch.num_rows):
                 chunk = {name: batch.column(name)[k].as_py() for name in _CHUNK.names}
@@ -244,7 +244,7 @@ def encode(
                         library = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=load_ranks(ranks_path), special_tokens={})
                     rest = iter(chunk["long"])
                     words = ["".join(map(_char, library.encode_ordinary(next(rest).decode()))) if w is None else w for w in words]
-                codes = np.concatenate([codes, np.frombuffer("".join(words).encode("utf-16-le"), "<u2").astype(np.int64) - 2])
+                codes = np.concatenate([codes, np.frombuffer("".join(words).encode("utf-16-le"), "<u2") - np.uint16(2)])
                 first = np.concatenate([first, first[-1] + np.cumsum([len(w) for w in words], dtype=np.int64)])
                 index = np.frombuffer(chunk["index"], "<i4")
                 ids = np.frombuffer(chunk["docs"], np.int64)

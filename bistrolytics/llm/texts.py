@@ -21,8 +21,9 @@ from pyspark.sql.types import StructField, StructType
 from bistrolytics.functions import sizing
 
 SLICE_BYTES = 2 << 20
-#: Rows of long texts would make large Arrow batches, of which Spark bounds the number of rows only.
-BATCH_BYTES = 8 << 20
+#: Rows of long texts would make large Arrow batches, of which Spark bounds the number of rows only. A batch is held on
+#: both sides of every Python step of a task, so operators with two such steps per task hold four of them and more.
+BATCH_BYTES = 2 << 20
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ALNUM = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in _FOLD)

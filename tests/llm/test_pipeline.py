@@ -137,3 +137,26 @@ def test_workers_give_memory_back_between_batches(monkeypatch):
     batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([text])], names=["doc", "_text"]) for k in range(5)]
     found = list(repeats._stretches(Task(), 20)(iter(batches)))
     assert sum(b.num_rows for b in found) > 0 and len(given) >= 5
+
+
+def test_batches_of_texts_are_small(spark):
+    """Two Python steps of byte_level_bpe per task held batches of 8 MB on both their sides."""
+    import pyarrow as pa
+
+    from bistrolytics.llm import texts
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "64m")
+    try:
+        texts.bounded_batches(spark)
+        docs = spark.range(24, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), 100_000).alias("text"))
+
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["rows", "size"])
+
+        found = docs.mapInArrow(sizes, "rows long, size long").collect()
+    finally:
+        spark.conf.set(key, old)
+    assert sum(r["rows"] for r in found) == 24 and max(r["size"] for r in found) < 3 << 20
