@@ -28,8 +28,11 @@ from ..functions.sizing import bounded_batches, cut_lineage, pieces, scratch_dir
 from .similarity import _packed, cosine_topk
 
 BLOCK_ROWS = 4096
-CHUNK_ROWS = 256  # queries that are scored at a time
-QUERY_ROWS = 1024  # queries in a packed chunk
+CHUNK_ROWS = 256  # queries that are scored at a time, at most
+QUERY_ROWS = 4096  # queries in a packed chunk
+TILE_ROWS = 1 << 16  # items that are scored at a time, about
+_CELLS = 1 << 20  # scores that are worked out at a time, about
+_EVERY = 8  # one item in so many tells how high the best scores of a tile are
 CODES = 256
 
 
@@ -160,67 +163,114 @@ def build_pq(items: DataFrame, cells: int | None = None, parts: int = 16, sample
 
 
 class _Candidates:
-    """A chunk of queries and the best ``depth`` items of each by their codes, over the blocks seen so far."""
+    """A chunk of queries and the k best items of each by exact score, among the ``depth`` best by codes of every tile.
 
-    def __init__(self, units: np.ndarray, books: Books, visits: int, depth: int):
-        self.units, self.books, self.depth = units, books, depth
+    Blocks gather to tiles. A tile's codes are scored in single precision, a bound from some of its items leaves
+    few of them, and only the ``depth`` best of these are scored with their real vectors.
+    """
+
+    def __init__(self, units: np.ndarray, books: Books, visits: int, depth: int, k: int):
+        self.units, self.books, self.depth, self.k = units, books, depth, k
+        self.single = units.astype(np.float32)
         # the vector that belongs to a cell's score: cosine to its centre
         near = np.argsort(-(units @ books.centres.T), axis=1, kind="stable")[:, :visits]
         self.visited = np.zeros((len(units), len(books.centres)), bool)
         np.put_along_axis(self.visited, near, True, axis=1)
-        self.bar = np.full(len(units), -np.inf)
-        self.rows, self.ids, self.about, self.scores = np.zeros(0, np.int64), None, np.zeros(0), np.zeros(0)
+        self.barred = np.where(self.visited, 0.0, -np.inf).astype(np.float32)
+        self.bar = np.full(len(units), -np.inf)  # the k-th best exact score so far
+        self.rows, self.ids, self.scores = np.zeros(0, np.int64), None, np.zeros(0)
         self.fresh, self.waiting = [], 0
+        self.tile, self.count = [], 0
 
     def add(self, cell: int, ids: np.ndarray, codes: np.ndarray, items: np.ndarray) -> None:
-        asking = np.flatnonzero(self.visited[:, cell])
-        if not len(asking):
+        if not self.visited[:, cell].any():
             return
         told = self.books.centres[cell] + self.books.codes[np.arange(self.books.parts), codes].reshape(len(codes), -1)[:, : self.units.shape[1]]
-        for at in range(0, len(asking), CHUNK_ROWS):
-            some = asking[at : at + CHUNK_ROWS]
-            about = np.nan_to_num(self.units[some] @ told.T, nan=-3.0)
-            bar, n = self.bar[some], min(self.depth, len(ids))
-            bar = np.maximum(bar, np.partition(about, len(ids) - n, axis=1)[:, len(ids) - n])
-            row, column = np.nonzero(about >= bar[:, None])
+        self.tile.append((np.full(len(ids), cell), ids, told.astype(np.float32), items))
+        self.count += len(ids)
+        if self.count >= TILE_ROWS:
+            self.score()
+
+    def score(self) -> None:
+        """Scores the tile."""
+        if not self.tile:
+            return
+        cells, ids, told, items = (np.concatenate(c) for c in zip(*self.tile))
+        self.tile, self.count = [], 0
+        finite = np.isfinite(told).all() and np.isfinite(self.single).all()
+        step = max(1, min(CHUNK_ROWS, _CELLS // len(ids)))
+        for a in range(0, len(self.units), step):
+            about = self.single[a : a + step] @ told.T
+            if not finite:
+                about = np.nan_to_num(about, copy=False, nan=-3.0)
+            if self.barred.any():
+                about += self.barred[a : a + step][:, cells]
+            row, column = self._nearest_codes(about)
             exact = np.empty(len(row))
-            for k in range(0, len(row), 1 << 15):
-                exact[k : k + (1 << 15)] = np.einsum("ij,ij->i", self.units[some[row[k : k + (1 << 15)]]], items[column[k : k + (1 << 15)]])
-            self.fresh.append((some[row], ids[column], about[row, column], np.round(np.nan_to_num(exact), 12) + 0.0))
-            self.waiting += len(row)
+            for n in range(0, len(row), 1 << 14):
+                some = slice(n, n + (1 << 14))
+                exact[some] = np.einsum("ij,ij->i", self.units[a + row[some]], items[column[some]])
+            exact = np.round(np.nan_to_num(exact), 12) + 0.0
+            better = exact >= self.bar[a + row]
+            self.fresh.append((a + row[better], ids[column[better]], exact[better]))
+            self.waiting += int(better.sum())
             if self.waiting > max(1 << 18, len(self.rows)):
                 self.settle()
+        self.settle()
+
+    def _nearest_codes(self, about: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, column) of the ``depth`` best of each row, and what ties with the last."""
+        depth, width = self.depth, about.shape[1]
+        if width <= depth:
+            return np.nonzero(about > -np.inf)
+        floor = np.full(len(about), -np.inf, np.float32)
+        part = about[:, ::_EVERY]
+        rank = int(depth / _EVERY + 4 * math.sqrt(depth / _EVERY) + 4)
+        if 2 * rank < part.shape[1]:  # a value that some more than ``depth`` reach, as far as every eighth item tells
+            floor = np.partition(part, part.shape[1] - rank, axis=1)[:, part.shape[1] - rank]
+        held = about >= floor[:, None]
+        counts = held.sum(axis=1)
+        wrong = np.flatnonzero((counts < depth) | (floor == -np.inf))
+        if len(wrong):
+            floor[wrong] = np.partition(about[wrong], width - depth, axis=1)[:, width - depth]
+            held[wrong] = (about[wrong] >= floor[wrong, None]) & (about[wrong] > -np.inf)
+            counts[wrong] = held[wrong].sum(axis=1)
+        row, column = np.nonzero(held)
+        values = about[row, column]
+        most = int(counts.max(initial=0))
+        if most <= depth:
+            return row, column
+        padded = np.full((len(about), most), -np.inf, np.float32)
+        padded[row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)] = values
+        keep = values >= np.partition(padded, most - depth, axis=1)[:, most - depth][row]
+        return row[keep], column[keep]
 
     def settle(self) -> None:
+        """Sorts what came in and keeps each query's k best; the last score is the new bar."""
         if not self.fresh:
             return
-        held = [(self.rows, self.ids, self.about, self.scores)] if len(self.rows) else []
-        rows, ids, about, scores = (np.concatenate(c) for c in zip(*held, *self.fresh))
-        order = np.lexsort((ids, -about, rows))
-        rows, ids, about, scores = rows[order], ids[order], about[order], scores[order]
+        held = [(self.rows, self.ids, self.scores)] if len(self.rows) else []
+        rows, ids, scores = (np.concatenate(c) for c in zip(*held, *self.fresh))
+        order = np.lexsort((ids, -scores, rows))
+        rows, ids, scores = rows[order], ids[order], scores[order]
         place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
-        keep = place < self.depth
-        self.rows, self.ids, self.about, self.scores = rows[keep], ids[keep], about[keep], scores[keep]
-        last = place[keep] == self.depth - 1
-        self.bar[self.rows[last]] = self.about[last]
+        keep = place < self.k
+        self.rows, self.ids, self.scores = rows[keep], ids[keep], scores[keep]
+        last = place[keep] == self.k - 1
+        self.bar[self.rows[last]] = self.scores[last]
         self.fresh, self.waiting = [], 0
 
-    def best(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, item, exact score) of each query's k best candidates."""
-        self.settle()
-        if not len(self.rows):
-            return self.rows, np.zeros(0, np.int64), self.scores
-        order = np.lexsort((self.ids, -self.scores, self.rows))
-        rows = self.rows[order]
-        keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
-        return rows[keep], self.ids[order][keep], self.scores[order][keep]
+        self.score()
+        return self.rows, self.ids, self.scores
 
 
 def _best_items(queries: DataFrame, index: PqIndex, depth: int, k: int) -> DataFrame:
     """(query_id, item_id): the k best by exact score of the items that codes put first in the cells that a query visits.
 
     Packed queries meet the blocks of a partition where both are read. Candidates are scored again there, at
-    least the ``depth`` best by codes (as many in each partition of blocks), and only k per query leave a task.
+    least the ``depth`` best by codes (as many in each tile of blocks), and only k per query leave a task.
     """
     books, visits = index.books, min(index.cells_per_query, len(index.books.centres))
     q_kind, i_kind = queries.schema["query_id"].dataType, index.vectors.schema["item_id"].dataType
@@ -237,13 +287,14 @@ def _best_items(queries: DataFrame, index: PqIndex, depth: int, k: int) -> DataF
         F.col("query_id").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.lit(k).cast("long").alias("depth"), F.lit(None).cast("double").alias("floor")
     )
     asked = asked.mapInPandas(place, f"id {q_kind.simpleString()}, vector array<double>, depth bigint, floor double, cell int")
-    parts = min(pieces(queries.count(), QUERY_ROWS), 4 * queries.sparkSession.sparkContext.defaultParallelism)
+    count, cores = queries.count(), queries.sparkSession.sparkContext.defaultParallelism
+    parts = max(pieces(count, QUERY_ROWS), min(pieces(count, QUERY_ROWS // 8 or 1), 3 * cores))
     left = _packed(asked, parts, QUERY_ROWS).select("number", "ids", "matrix")
     schema = StructType([StructField("query_id", q_kind), StructField("item_id", i_kind), StructField("score", DoubleType())])
     arrow = to_arrow_schema(schema)
 
     def found(query_ids: pa.Array, held: _Candidates):
-        rows, ids, scores = held.best(k)
+        rows, ids, scores = held.best()
         if len(rows):
             yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(rows)), pa.array(ids, arrow.field(1).type), pa.array(scores)], schema=arrow)
 
@@ -258,7 +309,7 @@ def _best_items(queries: DataFrame, index: PqIndex, depth: int, k: int) -> DataF
                     # copies, so that no batch is held back
                     query_ids = pa.concat_arrays([batch.column("ids")[r].values.cast(arrow.field(0).type), pa.nulls(0, arrow.field(0).type)])
                     units = np.frombuffer(batch.column("matrix")[r].as_buffer(), np.float64).reshape(len(query_ids), -1).copy()
-                    held = _Candidates(units, books, visits, depth)
+                    held = _Candidates(units, books, visits, depth, k)
                 ids = batch.column("item_ids")[r].values.to_numpy(zero_copy_only=False)
                 codes = np.frombuffer(b"".join(batch.column("codes")[r].as_py()), np.uint8).reshape(len(ids), -1)
                 items = np.frombuffer(b"".join(batch.column("units")[r].as_py()), np.float64).reshape(len(ids), -1)
@@ -266,17 +317,38 @@ def _best_items(queries: DataFrame, index: PqIndex, depth: int, k: int) -> DataF
         if held is not None:
             yield from found(query_ids, held)
 
-    pairs = left.hint("shuffle_replicate_nl").crossJoin(index.blocks.select("cell", "item_ids", "codes", "units"))
+    rows = index.blocks.agg(F.coalesce(F.sum(F.size("item_ids")), F.lit(0))).first()[0]
+    tiles = index.blocks.select("cell", "item_ids", "codes", "units").coalesce(pieces(rows, TILE_ROWS))
+    pairs = left.hint("shuffle_replicate_nl").crossJoin(tiles)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
     return pairs.mapInArrow(score, schema).withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= k).select("query_id", "item_id")
 
 
-def _cosine(a: str, b: str):
-    def dot(x, y):
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
+def _cosines(pairs: DataFrame) -> DataFrame:
+    """(query_id, item_id, score) from (query_id, item_id, q, vector): exact, on a grid of 1e-12; null where a number is missing."""
+    schema = StructType([pairs.schema["query_id"], pairs.schema["item_id"], StructField("score", DoubleType())])
+    arrow = to_arrow_schema(schema)
 
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.round(F.when(norms > 0, dot(a, b) / norms).otherwise(F.lit(0.0)), 12)
+    def score(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            left, right = batch.column("q"), batch.column("vector")
+            counts = np.diff(left.offsets.to_numpy())
+            whole = np.diff(right.offsets.to_numpy()) == counts
+            a, b = (side.filter(pa.array(whole)).flatten().cast(pa.float64()) for side in (left, right))
+            missing = (a.is_null().to_numpy(zero_copy_only=False)) | (b.is_null().to_numpy(zero_copy_only=False))
+            a, b = (side.fill_null(0.0).to_numpy(zero_copy_only=False) for side in (a, b))
+            row = np.repeat(np.flatnonzero(whole), counts[whole])
+            dot, own, other = (np.bincount(row, x, batch.num_rows) for x in (a * b, a * a, b * b))
+            norms = np.sqrt(own) * np.sqrt(other)
+            exact = np.round(np.where(norms == 0.0, 0.0, dot / np.where(norms == 0.0, 1.0, norms)), 12) + 0.0
+            known = whole & (np.bincount(row, missing, batch.num_rows) == 0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("query_id").cast(arrow.field(0).type), batch.column("item_id").cast(arrow.field(1).type), pa.array(exact, mask=~known)], schema=arrow
+            )
+
+    return pairs.select("query_id", "item_id", "q", "vector").mapInArrow(score, schema)
 
 
 def pq_topk(queries: DataFrame, index: PqIndex, k: int) -> DataFrame:
@@ -285,10 +357,7 @@ def pq_topk(queries: DataFrame, index: PqIndex, k: int) -> DataFrame:
     check_columns(queries, "query_id", "vector")
     asked = queries.where(F.col("vector").isNotNull()).select("query_id", "vector")
     found = _best_items(asked, index, max(index.depth, k), k)
-    exact = (
-        found.join(asked.withColumnRenamed("vector", "q"), "query_id").join(index.vectors, "item_id")
-        .select("query_id", "item_id", (_cosine("q", "vector") + 0.0).alias("score"))
-    )
+    exact = _cosines(found.join(asked.withColumnRenamed("vector", "q"), "query_id").join(index.vectors, "item_id"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
     return exact.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "item_id", "rank", "score")
 

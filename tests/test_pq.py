@@ -82,3 +82,33 @@ def test_only_the_best_rows_of_a_query_leave_a_task(items, index, monkeypatch):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and plan.count("Exchange") <= 2
     assert found.count() == 300 * 5
+
+
+def test_a_tile_of_blocks_gives_its_best_by_codes_once(monkeypatch):
+    """Every block gave ``depth`` candidates of its own, and all of them were scored and sorted."""
+    r = np.random.default_rng(4)
+    books = pq.Books(r.normal(size=(6, 8)), r.normal(size=(4, 16, 2)))
+    units, items = (pq._unit(r.normal(size=(n, 8))) for n in (30, 900))
+    cell, codes = r.integers(0, 6, 900), r.integers(0, 16, (900, 4)).astype(np.uint8)
+    told = books.centres[cell] + books.codes[np.arange(4), codes].reshape(900, 8)
+    near = np.argsort(-(units @ books.centres.T), axis=1, kind="stable")[:, :4]
+    monkeypatch.setattr(pq, "_CELLS", 5000)
+    held, kept, choose = pq._Candidates(units, books, 4, 40, 5), [], pq._Candidates._nearest_codes
+    monkeypatch.setattr(pq._Candidates, "_nearest_codes", lambda self, about: kept.append(choose(self, about)) or kept[-1])
+    for c in range(6):
+        for part in np.array_split(np.flatnonzero(cell == c), 4):
+            held.add(c, part, codes[part], items[part])
+    rows, ids, scores = held.best()
+    assert sum(len(row) for row, _ in kept) == 30 * 40
+    for q, unit in enumerate(units):
+        some = np.flatnonzero(np.isin(cell, near[q]))
+        best = some[np.argsort(-(told[some] @ unit), kind="stable")[:40]]
+        want = best[np.argsort(-(items[best] @ unit), kind="stable")[:5]]
+        assert ids[rows == q].tolist() == want.tolist() and np.allclose(scores[rows == q], items[want] @ unit)
+
+
+def test_scores_of_pairs_are_exact_and_missing_numbers_give_none(spark):
+    rows = [(0, 1, [3.0, 4.0], [4.0, 3.0]), (0, 2, [0.0, 0.0], [1.0, 0.0]), (1, 3, [1.0, None], [1.0, 1.0]), (1, 4, [1.0], [1.0, 1.0]), (2, 5, [2.0, 0.0], [5.0, 0.0])]
+    pairs = spark.createDataFrame(rows, "query_id long, item_id int, q array<float>, vector array<double>")
+    got = {r.item_id: r.score for r in pq._cosines(pairs).collect()}
+    assert got == {1: 0.96, 2: 0.0, 3: None, 4: None, 5: 1.0}
