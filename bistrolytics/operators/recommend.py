@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import fixed
 from ..functions.checks import check_columns, check_range
-from ..functions.sizing import broadcast_if_fits, cut_lineage
+from ..functions.sizing import broadcast_if_fits, cut_lineage, written
+from ..functions.text import bind
 from .fusion import on_grid
-from .similarity import cosine_topk
+from .similarity import cosine_lists
 
 SMALL_CART = 32
 
@@ -21,9 +22,23 @@ def _attributes(items: DataFrame, ctr: DataFrame) -> DataFrame:
     return items.select("item_id", category.alias("category")).join(ctr.select("item_id", "ctr"), "item_id", "left")
 
 
-def _cart_hits(
-    lines: DataFrame, items: DataFrame, facts: DataFrame, depth: int, most: int, **search
-) -> DataFrame:
+def _lists(asked: DataFrame, items: DataFrame, facts: DataFrame, **search) -> DataFrame:
+    """(item_id, near, ids, single): the nearest items of each of ``asked(item_id, need)``, ``need`` of them, best first.
+
+    ``single`` tells whether no id comes twice.
+    """
+    near = cosine_lists(
+        asked.join(items.select("item_id", "vector"), "item_id").select(F.col("item_id").alias("query_id"), "vector", F.col("need").alias("depth")),
+        items, **search,
+    )
+    entries = F.array_sort(F.collect_list(F.struct("rank", "item_id", "category", "ctr")))
+    lists = near.join(facts, "item_id", "left").groupBy("query_id").agg(entries.alias("near"))
+    ids = F.transform("near", lambda n: n["item_id"])
+    lists = lists.select(F.col("query_id").alias("item_id"), "near", ids.alias("ids"), (F.size(F.array_distinct(ids)) == F.size("near")).alias("single"))
+    return written(lists, "neighbour-lists")
+
+
+def _cart_hits(lines: DataFrame, lists: DataFrame, letters: int, depth: int, most: int) -> DataFrame:
     """(cart_id, item_id, rank, similar, ctr) for carts of at most ``most`` items, from one neighbour list per item.
 
     A cart removes at most ``most`` entries from a list, so lists of ``depth + most``
@@ -34,20 +49,15 @@ def _cart_hits(
     carts = lines.groupBy("cart_id").agg(
         F.collect_set("item_id").alias("members"), F.collect_set("category").alias("categories")
     )
-    asked = lines.select("item_id").distinct().join(items.select("item_id", "vector"), "item_id")
-    near = cosine_topk(
-        asked.select(F.col("item_id").alias("query_id"), "vector"), items, depth + most, **search
-    )
-    entries = F.array_sort(F.collect_list(F.struct("rank", "item_id", "category", "ctr")))
-    lists = (
-        near.join(facts, "item_id", "left")
-        .groupBy("query_id")
-        .agg(entries.alias("near"))
-        .withColumnRenamed("query_id", "item_id")
-    )
-    letters = facts.agg(F.coalesce(F.max(F.octet_length("category")), F.lit(0))).first()[0]
-    lists = broadcast_if_fits(lists, asked.count(), (64 + letters) * (depth + most))
-    others = F.filter("near", lambda n: ~F.array_contains("members", n["item_id"]))
+    asked = lines.select("item_id").distinct()
+    lists = lists.select("item_id", F.filter("near", lambda n: n["rank"] <= depth + most).alias("near"), "ids", "single")
+    lists = lists.withColumn("ids", F.slice("ids", 1, F.size("near"))).join(asked, "item_id", "left_semi")
+    lists = broadcast_if_fits(lists, asked.count(), (72 + letters) * (depth + most))
+    # As many entries as are members more than ``depth`` hold ``depth`` others, so the rest is not looked at.
+    enough = depth + F.size(F.array_intersect("ids", "members"))
+    kept = F.array_except(F.slice("ids", F.lit(1), enough), "members")
+    few = bind(kept, lambda ids: F.filter(F.slice("near", F.lit(1), enough), lambda n: F.array_contains(ids, n["item_id"])))
+    others = F.when(F.col("single"), few).otherwise(F.filter("near", lambda n: ~F.array_contains("members", n["item_id"])))
     known = F.coalesce(F.array_contains("categories", F.col("n.category")), F.lit(False))
     return (
         carts.select("cart_id", "members", "categories", F.explode("members").alias("item_id"))
@@ -89,18 +99,22 @@ def recommend(
         carts.join(facts.select("item_id", "category"), "item_id").select("cart_id", "item_id", "category").distinct()
     )
 
-    # Carts go by size class: small ones together, larger ones by the next power of two. The lists of
-    # a class are as deep as its carts need, and their number does not depend on how many carts there are.
+    # Carts go by size class: small ones together, larger ones by the next power of two. A class takes lists
+    # that are as deep as its carts need. All classes share one search, as deep for an item as its largest cart needs.
     power = F.ceil(F.log2(F.col("_size"))).cast("int")
     classed = cut_lineage(
         lines.groupBy("cart_id").agg(F.count(F.lit(1)).alias("_size"))
         .select("cart_id", F.when(F.col("_size") <= small_cart, F.lit(0)).otherwise(power).alias("_class"))
     )
     classes = sorted(r[0] for r in classed.select("_class").distinct().collect()) or [0]
+    most = F.when(F.col("_class") == 0, F.lit(small_cart)).otherwise(F.pow(F.lit(2.0), F.col("_class"))).cast("long")
+    asked = lines.join(classed, "cart_id").groupBy("item_id").agg((F.max(most) + depth).alias("need"))
+    lists = _lists(asked, usable, facts, **search)
+    letters = facts.agg(F.coalesce(F.max(F.octet_length("category")), F.lit(0))).first()[0]
     parts = []
     for cls in classes:
         own = lines.join(classed.where(F.col("_class") == cls).select("cart_id"), "cart_id", "left_semi")
-        parts.append(_fused(_cart_hits(own, usable, facts, depth, 2**cls if cls else small_cart, **search)))
+        parts.append(_fused(_cart_hits(own, lists, letters, depth, 2**cls if cls else small_cart)))
     fused = functools.reduce(DataFrame.unionByName, parts)
     tops = F.max("rrf").over(Window.partitionBy("cart_id"))
     topped = fused.withColumn("_top", tops)
